@@ -53,27 +53,27 @@ class Ctx:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return self.src.sales()
+        return self.src.sales().cache()
 
     @cached_property
     def future(self) -> DataFrame:
-        return self.src.future()
+        return self.src.future().cache()
 
     @cached_property
     def stores(self) -> DataFrame:
-        return self.src.stores()
+        return self.src.stores().cache()
 
     @cached_property
     def oil(self) -> DataFrame:
-        return self.src.oil()
+        return self.src.oil().cache()
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return self.src.transactions()
+        return self.src.transactions().cache()
 
     @cached_property
     def holidays(self) -> DataFrame:
-        return self.src.holidays()
+        return self.src.holidays().cache()
 
     @cached_property
     def raw(self) -> FT.RawTables:
@@ -272,3 +272,370 @@ for _name, _by in {
         return q
 
     register(_name, _err_sql(_by))(_mk(_by))
+
+
+# ============================================================================ batch 2: profiles, exploration, splits
+from shelfcast.operators import explore as X  # noqa: E402
+from shelfcast.operators import guards as G  # noqa: E402
+from shelfcast.operators import profile as P  # noqa: E402
+from shelfcast.operators import splits as SP  # noqa: E402
+
+WIN = SP.Windows(TD.TRAIN_END, TD.VALIDATION_START, TD.VALIDATION_END, TD.INTERNAL_TEST_START,
+                 TD.INTERNAL_TEST_END, TD.FUTURE_START, TD.FUTURE_END)
+DBL100 = "CAST(100 AS DOUBLE)"
+TRAIN_SQL = f"(SELECT * FROM features WHERE date <= {_d(TD.TRAIN_END)})"
+MONEY_SQL = "DECIMAL(28,8)"
+
+
+def _train(c: Ctx) -> DataFrame:
+    return c.features.filter(F.col("date") <= F.lit(TD.TRAIN_END))
+
+
+def _profile_sql(name: str, table: str, cols: list[str], key: list[str], has_date: bool) -> str:
+    dates = "min(date) AS date_min, max(date) AS date_max" if has_date else \
+        "CAST(NULL AS DATE) AS date_min, CAST(NULL AS DATE) AS date_max"
+    return (f"SELECT '{name}' AS table_name, count(*) AS rows, CAST({len(cols)} AS BIGINT) AS columns, "
+            f"CAST({O.null_cells(cols)} AS BIGINT) AS missing_cells, {dates}, "
+            f"{O.member_rows(table, key)} AS duplicate_key_rows FROM {table}")
+
+
+_PROFILE_TABLES = [
+    ("sales", S.TRAIN_COLUMNS, S.BASE_KEY, True),
+    ("stores", ["store_nbr"] + S.STORE_OUTPUT_COLUMNS, ["store_nbr"], False),
+    ("oil", S.OIL_COLUMNS, ["date"], True),
+    ("transactions", S.TRANSACTION_COLUMNS, ["date", "store_nbr"], True),
+    ("holidays", S.HOLIDAY_COLUMNS, ["date"], True),
+]
+
+
+@register("table_profile", "\nUNION ALL\n".join(_profile_sql(n, n, c, k, d) for n, c, k, d in _PROFILE_TABLES))
+def table_profile(c: Ctx) -> DataFrame:
+    """A1: one profile row per source table."""
+    frames = {"sales": c.sales, "stores": c.stores, "oil": c.oil, "transactions": c.transactions, "holidays": c.holidays}
+    out = None
+    for n, _cols, k, d in _PROFILE_TABLES:
+        p = P.table_profile(frames[n], n, k, "date" if d else None)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("dup_counts", f"SELECT {O.extra_rows('holidays', ['date'])} AS extra_rows, {O.member_rows('holidays', ['date'])} AS member_rows")
+def dup_counts(c: Ctx) -> DataFrame:
+    """Both duplicate flavours on the holiday calendar's date."""
+    from shelfcast.operators.contracts import duplicate_counts
+
+    return duplicate_counts(c.holidays, ["date"])
+
+
+_GAPS_SQL = ("(SELECT CAST(d AS DATE) AS absent_date FROM (SELECT unnest(generate_series((SELECT min(date) FROM features), "
+             "(SELECT max(date) FROM features), INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT date FROM features))")
+
+
+@register("calendar_gaps", f"SELECT * FROM {_GAPS_SQL}")
+def calendar_gaps(c: Ctx) -> DataFrame:
+    """Calendar dates with no labeled row."""
+    return J.calendar_gaps(c.features)
+
+
+@register("raw_conditions", f"""SELECT count(*) AS sales_rows,
+  count(*) FILTER (WHERE sales = 0) AS zero_sales_rows,
+  count(*) FILTER (WHERE sales % 1 <> 0) AS fractional_sales_rows,
+  count(*) FILTER (WHERE onpromotion > 0) AS promoted_rows,
+  round({DBL100} * CAST(count(*) FILTER (WHERE onpromotion > 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS promoted_rate_pct,
+  (SELECT count(*) FROM oil WHERE dcoilwtico IS NULL) AS missing_oil_prices,
+  (SELECT count(*) FROM {_GAPS_SQL}) AS calendar_gap_dates,
+  {O.member_rows('holidays', ['date'])} AS nonunique_holiday_date_rows
+FROM sales""")
+def raw_conditions(c: Ctx) -> DataFrame:
+    """A2."""
+    gaps = J.calendar_gaps(c.features).count()
+    return P.raw_conditions(c.sales, c.oil, c.holidays, gaps)
+
+
+_ALLOWED = S.ALLOWED_MISSING_COLUMNS
+
+
+@register("before_after", f"""SELECT (SELECT count(*) FROM sales) AS raw_rows, count(*) AS final_rows,
+  CAST({len(S.TRAIN_COLUMNS)} AS BIGINT) AS raw_columns, CAST({len(S.LABELED_COLUMNS)} AS BIGINT) AS final_columns,
+  CAST({len(S.LABELED_COLUMNS) - len(S.TRAIN_COLUMNS)} AS BIGINT) AS added_columns,
+  CAST({O.null_cells([x for x in S.LABELED_COLUMNS if x in _ALLOWED])} AS BIGINT) AS expected_gap_cells,
+  CAST({O.null_cells([x for x in S.LABELED_COLUMNS if x not in _ALLOWED])} AS BIGINT) AS unexpected_missing_cells,
+  {O.member_rows('features', S.BASE_KEY)} AS duplicate_key_rows
+FROM features""")
+def before_after(c: Ctx) -> DataFrame:
+    """A3: raw base vs final feature table."""
+    return P.reconcile(c.sales, c.features, S.BASE_KEY, _ALLOWED)
+
+
+@register("calendar_audit", "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS column, CAST(min({x}) AS BIGINT) AS min, CAST(max({x}) AS BIGINT) AS max, "
+    f"count(*) FILTER (WHERE {x} IS NULL) AS nulls FROM features" for x in S.CALENDAR_COLUMNS))
+def calendar_audit(c: Ctx) -> DataFrame:
+    """A4."""
+    return P.column_audit(c.features, S.CALENDAR_COLUMNS)
+
+
+_A5_ALLOWED = S.OIL_FEATURE_COLUMNS + S.TRANSACTION_LAG_COLUMNS
+
+
+@register("structural_checks", f"""SELECT * FROM (SELECT
+  CAST({O.null_cells([x for x in S.LABELED_COLUMNS if x in _A5_ALLOWED])} AS BIGINT) AS expected_history_gap_cells,
+  CAST({O.null_cells([x for x in S.LABELED_COLUMNS if x not in _A5_ALLOWED])} AS BIGINT) AS unexpected_missing_cells,
+  {O.extra_rows('features', S.BASE_KEY)} AS duplicate_date_store_family,
+  count(*) FILTER (WHERE sales < 0) AS negative_sales_rows,
+  count(DISTINCT date) AS unique_dates,
+  (SELECT count(*) FROM {_GAPS_SQL}) AS missing_calendar_dates,
+  count(DISTINCT store_nbr) AS unique_stores,
+  count(DISTINCT family) AS unique_families
+FROM features) UNPIVOT (value FOR "check" IN (expected_history_gap_cells, unexpected_missing_cells, duplicate_date_store_family,
+  negative_sales_rows, unique_dates, missing_calendar_dates, unique_stores, unique_families))""")
+def structural_checks(c: Ctx) -> DataFrame:
+    """A5."""
+    gaps = J.calendar_gaps(c.features).count()
+    return P.structural_checks(c.features, _A5_ALLOWED, gaps)
+
+
+@register("missing_audit", "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS column, count(*) FILTER (WHERE {x} IS NULL) AS missing_cells, "
+    f"round({DBL100} * CAST(count(*) FILTER (WHERE {x} IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS missing_rate_pct "
+    f"FROM labeled_lagged HAVING count(*) FILTER (WHERE {x} IS NULL) > 0"
+    for x in S.LABELED_COLUMNS + S.SALES_FEATURE_COLUMNS))
+def missing_audit(c: Ctx) -> DataFrame:
+    """Columns of the lagged labeled table that have nulls."""
+    return P.missing_audit(c.labeled_lagged)
+
+
+_SPLIT_SQL = (f"CASE WHEN date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)} THEN 'internal_test' "
+              f"WHEN date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)} THEN 'validation' "
+              f"WHEN date <= {_d(TD.TRAIN_END)} THEN 'train' ELSE 'unassigned' END")
+
+
+@register("chrono_split", f"SELECT id, date, store_nbr, family, {_SPLIT_SQL} AS data_split FROM features")
+def chrono_split(c: Ctx) -> DataFrame:
+    """P7."""
+    return SP.chrono_split(c.features, WIN).select("id", "date", "store_nbr", "family", "data_split")
+
+
+@register("split_counts", "\nUNION ALL\n".join(
+    f"SELECT '{s}' AS data_split, {i} AS split_rank, count(*) FILTER (WHERE sp = '{s}') AS rows, "
+    f"count(DISTINCT CASE WHEN sp = '{s}' THEN date END) AS observed_dates FROM (SELECT date, {_SPLIT_SQL} AS sp FROM features)"
+    for i, s in enumerate(SP.SPLIT_ORDER)))
+def split_counts(c: Ctx) -> DataFrame:
+    """Empty splits shown with zero."""
+    return SP.split_counts(SP.chrono_split(c.features, WIN))
+
+
+@register("date_window", f"SELECT * FROM sales WHERE date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)}")
+def date_window(c: Ctx) -> DataFrame:
+    """P5: inclusive validation window."""
+    return SP.date_window(c.sales, TD.VALIDATION_START, TD.VALIDATION_END)
+
+
+@register("train_summary", f"""SELECT count(*) AS rows, min(date) AS start_date, max(date) AS end_date,
+  count(DISTINCT date) AS observed_dates, count(DISTINCT store_nbr) AS stores, count(DISTINCT family) AS product_families,
+  round({DBL100} * CAST(count(*) FILTER (WHERE sales = 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS zero_sales_rate_pct,
+  round({DBL100} * CAST(count(*) FILTER (WHERE onpromotion > 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS promotion_rows_pct
+FROM {TRAIN_SQL}""")
+def train_summary(c: Ctx) -> DataFrame:
+    """A8."""
+    return X.train_summary(_train(c))
+
+
+_TOT = f"CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE)"
+_MEAN = f"round({_TOT} / CAST(count(*) AS DOUBLE), 6)"
+_ZR = f"round({DBL100} * CAST(count(*) FILTER (WHERE sales = 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6)"
+_FAMILY_SQL = f"SELECT family, {_TOT} AS total_sales, {_MEAN} AS average_daily_store_sales, {_ZR} AS zero_sales_rate_pct FROM {TRAIN_SQL} GROUP BY family"
+_STORE_SQL = f"SELECT store_nbr, {_TOT} AS total_sales, {_MEAN} AS average_daily_family_sales FROM {TRAIN_SQL} GROUP BY store_nbr"
+
+
+@register("family_summary", _FAMILY_SQL)
+def family_summary(c: Ctx) -> DataFrame:
+    """A9."""
+    return X.family_summary(_train(c))
+
+
+@register("store_summary", _STORE_SQL)
+def store_summary(c: Ctx) -> DataFrame:
+    """A10."""
+    return X.store_summary(_train(c))
+
+
+@register("top_families", f"SELECT * FROM ({_FAMILY_SQL}) ORDER BY total_sales DESC, family LIMIT 10")
+def top_families(c: Ctx) -> DataFrame:
+    """L2: top-10 families by total sales."""
+    return X.top_k(X.family_summary(_train(c)), "total_sales", 10, ["family"])
+
+
+@register("top_stores", f"SELECT * FROM ({_STORE_SQL}) ORDER BY total_sales DESC, store_nbr LIMIT 10")
+def top_stores(c: Ctx) -> DataFrame:
+    """L2: top-10 stores by total sales."""
+    return X.top_k(X.store_summary(_train(c)), "total_sales", 10, ["store_nbr"])
+
+
+@register("promotion_summary", f"""SELECT CASE WHEN onpromotion > 0 THEN 'with promotion' ELSE 'without promotion' END AS has_promotion,
+  count(*) AS rows, {_MEAN} AS mean_sales, round(median(sales), 4) AS median_sales, {_ZR} AS zero_sales_rate_pct
+FROM {TRAIN_SQL} GROUP BY 1""")
+def promotion_summary(c: Ctx) -> DataFrame:
+    """A11 (exact interpolated median)."""
+    return X.promotion_summary(_train(c))
+
+
+_CAL_GROUPS = {
+    "weekday_non_holiday": "day_of_week NOT IN (6, 7) AND is_holiday <> 1",
+    "weekend_non_holiday": "day_of_week IN (6, 7) AND is_holiday <> 1",
+    "holiday": "is_holiday = 1",
+}
+
+
+@register("calendar_describe", "\nUNION ALL\n".join(
+    f"SELECT '{g}' AS \"group\", count(*) AS count, round({_TOT} / CAST(count(*) AS DOUBLE), 4) AS mean, "
+    f"round(median(sales), 4) AS median, round(stddev_samp(sales), 4) AS std FROM {TRAIN_SQL} WHERE {cond} HAVING count(*) > 0"
+    for g, cond in _CAL_GROUPS.items()))
+def calendar_describe(c: Ctx) -> DataFrame:
+    """Weekday / weekend / holiday sales distribution."""
+    return X.describe_where(_train(c), X.calendar_groups())
+
+
+@register("findings", f"""SELECT {_ZR} AS zero_sales_rate_pct,
+  (SELECT family FROM ({_FAMILY_SQL}) ORDER BY total_sales DESC, family LIMIT 1) AS top_family,
+  (SELECT store_nbr FROM ({_STORE_SQL}) ORDER BY total_sales DESC, store_nbr LIMIT 1) AS top_store,
+  round((CAST(sum(CAST(sales AS {MONEY_SQL})) FILTER (WHERE onpromotion > 0) AS DOUBLE) / CAST(count(*) FILTER (WHERE onpromotion > 0) AS DOUBLE))
+   / nullif(CAST(sum(CAST(sales AS {MONEY_SQL})) FILTER (WHERE onpromotion <= 0) AS DOUBLE) / CAST(count(*) FILTER (WHERE onpromotion <= 0) AS DOUBLE), 0), 6) AS promotion_mean_ratio
+FROM {TRAIN_SQL}""")
+def findings(c: Ctx) -> DataFrame:
+    """A20."""
+    return X.findings(_train(c))
+
+
+_DAILY_SQL = f"(SELECT date, {_TOT} AS daily_sales FROM {TRAIN_SQL} GROUP BY date)"
+
+
+@register("rolling_28d", f"""SELECT d.date, d.daily_sales,
+  CASE WHEN count(*) >= 7 THEN CAST(sum(CAST(w.daily_sales AS {MONEY_SQL})) AS DOUBLE) / CAST(count(*) AS DOUBLE) END AS rolling_28d_mean
+FROM {_DAILY_SQL} d JOIN {_DAILY_SQL} w ON w.date BETWEEN d.date - 27 AND d.date GROUP BY d.date, d.daily_sales""")
+def rolling_28d(c: Ctx) -> DataFrame:
+    """28-calendar-day trailing mean of daily training sales, min 7 observations."""
+    return X.rolling_mean(X.daily_sales(_train(c)))
+
+
+_MS_SQL = ("(SELECT min(date) FROM labeled_lagged WHERE " + " AND ".join(
+    f"{x} IS NOT NULL" for x in S.SALES_LAG_COLUMNS + S.OIL_LAG_COLUMNS) + ")")
+
+
+@register("model_start", f"SELECT {_MS_SQL} AS model_start")
+def model_start(c: Ctx) -> DataFrame:
+    """First date with all sales and oil lags present."""
+    start = SP.model_start(c.labeled_lagged)
+    return c.spark.range(1).select(F.lit(start).cast("date").alias("model_start"))
+
+
+_LABEL_SQL = (f"CASE WHEN date < {_MS_SQL} THEN 'Warm-up' WHEN date BETWEEN {_MS_SQL} AND {_d(TD.TRAIN_END)} THEN 'Train' "
+              f"WHEN date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)} THEN 'Validation' "
+              f"WHEN date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)} THEN 'Internal test' ELSE 'Unassigned' END")
+
+
+@register("split_labels", f"SELECT id, date, {_LABEL_SQL} AS split FROM labeled_lagged")
+def split_labels(c: Ctx) -> DataFrame:
+    """P8."""
+    start = SP.model_start(c.labeled_lagged)
+    return SP.split_labels(c.labeled_lagged, WIN, start).select("id", "date", "split")
+
+
+_HIST_COLS = S.SALES_LAG_COLUMNS + S.TRANSACTION_LAG_COLUMNS + S.OIL_LAG_COLUMNS
+
+
+@register("missing_history", "SELECT split, " + ", ".join(
+    f"round({DBL100} * CAST(count(*) FILTER (WHERE {x} IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS {x}"
+    for x in _HIST_COLS) + f" FROM (SELECT *, {_LABEL_SQL} AS split FROM labeled_lagged) GROUP BY split")
+def missing_history(c: Ctx) -> DataFrame:
+    """A17."""
+    start = SP.model_start(c.labeled_lagged)
+    return SP.missing_history(SP.split_labels(c.labeled_lagged, WIN, start), _HIST_COLS)
+
+
+@register("pair_horizon", "SELECT store_nbr, family, count(DISTINCT date) AS forecast_dates FROM future GROUP BY store_nbr, family")
+def pair_horizon(c: Ctx) -> DataFrame:
+    """A18."""
+    return SP.pair_horizon(c.future)
+
+
+_PERIODS_SQL = f"""(SELECT 'Validation' AS period, min(date) AS forecast_start, max(date) AS forecast_end, {_d(TD.TRAIN_END)} AS cutoff
+   FROM features WHERE date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)}
+ UNION ALL SELECT 'Internal test', min(date), max(date), {_d(TD.VALIDATION_END)}
+   FROM features WHERE date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)}
+ UNION ALL SELECT 'Future', min(date), max(date), {_d(TD.INTERNAL_TEST_END)} FROM future)"""
+_WINDOW_SQL = f"""SELECT period, forecast_start, forecast_end, cutoff,
+  CAST(date_diff('day', forecast_start, forecast_end) + 1 AS INTEGER) AS days,
+  CAST(forecast_end - 16 AS DATE) AS latest_lag_source, forecast_end - 16 <= cutoff AS all_lags_available_by_cutoff
+FROM {_PERIODS_SQL}"""
+
+
+def _periods(c: Ctx) -> DataFrame:
+    def one(df: DataFrame, name: str, cutoff: dt.date) -> DataFrame:
+        return df.agg(
+            F.lit(name).alias("period"), F.min("date").alias("forecast_start"), F.max("date").alias("forecast_end"),
+            F.lit(cutoff).cast("date").alias("cutoff"),
+        )
+    return (
+        one(SP.date_window(c.features, TD.VALIDATION_START, TD.VALIDATION_END), "Validation", TD.TRAIN_END)
+        .unionByName(one(SP.date_window(c.features, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END), "Internal test", TD.VALIDATION_END))
+        .unionByName(one(c.future, "Future", TD.INTERNAL_TEST_END))
+    )
+
+
+@register("window_contract", _WINDOW_SQL)
+def window_contract(c: Ctx) -> DataFrame:
+    """Observed evaluation windows, their lag source and lag safety."""
+    return SP.window_contract(_periods(c))
+
+
+@register("segments", "SELECT id, promotion_segment, holiday_segment, is_weekend_group FROM diagnostics")
+def segments(c: Ctx) -> DataFrame:
+    """P9."""
+    return c.diagnostics.select("id", "promotion_segment", "holiday_segment", "is_weekend_group")
+
+
+@register("forecast_day", "SELECT id, date, forecast_day FROM diagnostics")
+def forecast_day(c: Ctx) -> DataFrame:
+    """P14."""
+    return c.diagnostics.select("id", "date", "forecast_day")
+
+
+@register("project_contract", f"SELECT {', '.join(S.FUTURE_COLUMNS)} FROM features")
+def project_contract(c: Ctx) -> DataFrame:
+    """The labeled table projected to the future contract (column subset + order)."""
+    return c.features.select(*S.FUTURE_COLUMNS)
+
+
+# ---------------------------------------------------------------------------- evidence / metrics
+@register("oil_evidence", "\nUNION ALL\n".join(
+    f"SELECT {lag} AS lag_days, count(*) AS required_dates, count(*) FILTER (WHERE oil_lag_{lag} IS NULL) AS missing_values, "
+    f"count(*) FILTER (WHERE oil_lag_{lag}_age_days > 0) AS last_known_values, CAST(max(oil_lag_{lag}_age_days) AS BIGINT) AS maximum_source_age_days, "
+    f"(SELECT min(date) FROM oil) AS source_date_min, (SELECT max(date) FROM oil) AS source_date_max FROM oil_lookup"
+    for lag in S.SAFE_LAGS))
+def oil_evidence(c: Ctx) -> DataFrame:
+    """A21."""
+    dates = c.store_dates.select("date").distinct()
+    return P.oil_evidence(FT.oil_lookup(dates, c.oil), c.oil)
+
+
+@register("transaction_evidence", "\nUNION ALL\n".join(
+    f"SELECT {lag} AS lag_days, count(*) AS required_store_dates, "
+    f"count(*) FILTER (WHERE transactions_lag_available_count = 0) AS rows_with_no_available_lag, "
+    f"count(*) FILTER (WHERE transactions_lag_{lag} IS NULL) AS missing_values FROM txn_lookup"
+    for lag in S.SAFE_LAGS))
+def transaction_evidence(c: Ctx) -> DataFrame:
+    """A22."""
+    return P.transaction_evidence(QUERIES["exact_lags_store"](c.spark, c.src.sf_dir))
+
+
+@register("store_join_evidence", f"""SELECT (SELECT count(*) FROM sales) AS input_rows, count(*) AS output_rows,
+  (SELECT count(DISTINCT id) FROM sales) AS input_unique_ids, count(DISTINCT id) AS output_unique_ids,
+  (SELECT CAST(COALESCE(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM sales s2 LEFT JOIN stores st2 ON s2.store_nbr = st2.store_nbr GROUP BY date, s2.store_nbr, family) WHERE c > 1) AS base_key_duplicate_rows_after_join,
+  CAST({O.null_cells(S.STORE_OUTPUT_COLUMNS)} AS BIGINT) AS missing_store_metadata_cells_after_join,
+  strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max
+FROM (SELECT s.*, st.city, st.state, st.store_type, st.store_cluster FROM sales s LEFT JOIN stores st ON s.store_nbr = st.store_nbr) sj""")
+def store_join_evidence(c: Ctx) -> DataFrame:
+    """A23."""
+    joined = J.store_join(c.sales, c.stores, validate=False)
+    return J.store_join_evidence(c.sales, joined)

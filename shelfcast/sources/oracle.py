@@ -235,3 +235,38 @@ PRELUDE = prelude()
 
 def sql(body: str) -> str:
     return PRELUDE + body
+
+
+def audit_sql(table: str, rules: dict[str, str] | None = None, unique: dict[str, list[str]] | None = None,
+              non_empty: bool = False) -> str:
+    """(rule, violations) rows: the SQL twin of ``contracts.audit``."""
+    parts = []
+    for name, pred in (rules or {}).items():
+        parts.append(f"SELECT '{name}' AS rule, CAST(count(*) FILTER (WHERE {pred}) AS BIGINT) AS violations FROM {table}")
+    if non_empty:
+        parts.append(f"SELECT 'non_empty' AS rule, CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS violations FROM {table}")
+    for name, keys in (unique or {}).items():
+        k = ", ".join(keys)
+        parts.append(
+            f"SELECT '{name}' AS rule, CAST(COALESCE(sum(c - 1), 0) AS BIGINT) AS violations "
+            f"FROM (SELECT count(*) AS c FROM {table} GROUP BY {k}) WHERE c > 1"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def any_null(cols: list[str]) -> str:
+    return " OR ".join(f"{c} IS NULL" for c in cols)
+
+
+def null_cells(cols: list[str]) -> str:
+    return " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
+
+
+def member_rows(table: str, keys: list[str]) -> str:
+    return (f"(SELECT CAST(COALESCE(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM {table} "
+            f"GROUP BY {', '.join(keys)}) WHERE c > 1)")
+
+
+def extra_rows(table: str, keys: list[str]) -> str:
+    return (f"(SELECT CAST(COALESCE(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM {table} "
+            f"GROUP BY {', '.join(keys)}) WHERE c > 1)")

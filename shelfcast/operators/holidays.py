@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shelfcast import schemas as S
 from shelfcast.functions.columns import count_if
 from shelfcast.operators.contracts import ContractError
-from shelfcast.session import broadcast_if_small
+from shelfcast.session import broadcast_if_small, small_lookup
 
 LOOKUP_ROWS = 5_000_000
 
@@ -87,33 +87,45 @@ def scoped_lookups(holidays: DataFrame, check: bool = True) -> dict[str, DataFra
     return {"national": nat, "regional": reg, "local": loc}
 
 
-def attach_holiday_flags(
-    rows: DataFrame, holidays: DataFrame, check: bool = True, with_active_count: bool = False
-) -> DataFrame:
-    """J11 + H1: left-join the scoped flags onto rows carrying date, city, state; absent -> 0."""
+def prepared_lookups(holidays: DataFrame, check: bool = True) -> dict[str, DataFrame]:
+    """Scoped lookups with prefixed flag columns, cached and size-checked once for reuse."""
     lk = scoped_lookups(holidays, check=check)
-    flags = S.HOLIDAY_FEATURE_COLUMNS + ["n_active", "n_events"]
+    keys = {"national": ["date"], "regional": ["date", "state"], "local": ["date", "city"]}
+    out = {}
+    for scope, p in _PREFIX.items():
+        df = lk[scope].select(*keys[scope], *[F.col(f).alias(f"{p}{f}") for f in _LOOKUP_FLAGS])
+        out[scope] = small_lookup(df, LOOKUP_ROWS)
+    return out
+
+
+_PREFIX = {"national": "_n_", "regional": "_r_", "local": "_l_"}
+_LOOKUP_FLAGS = S.HOLIDAY_FEATURE_COLUMNS + ["n_active", "n_events"]
 
-    def prefixed(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-        return broadcast_if_small(df.select(*keys, *[F.col(f).alias(f"{p}{f}") for f in flags]), LOOKUP_ROWS)
 
+def attach_holiday_flags(
+    rows: DataFrame, holidays: DataFrame | dict, check: bool = True, with_active_count: bool = False
+) -> DataFrame:
+    """J11 + H1: left-join the scoped flags onto rows carrying date, city, state; absent -> 0.
+
+    ``holidays`` is the raw calendar or the result of ``prepared_lookups``.
+    """
+    lk = holidays if isinstance(holidays, dict) else prepared_lookups(holidays, check=check)
     out = (
-        rows.join(prefixed(lk["national"], ["date"], "_n_"), ["date"], "left")
-        .join(prefixed(lk["regional"], ["date", "state"], "_r_"), ["date", "state"], "left")
-        .join(prefixed(lk["local"], ["date", "city"], "_l_"), ["date", "city"], "left")
+        rows.join(lk["national"], ["date"], "left")
+        .join(lk["regional"], ["date", "state"], "left")
+        .join(lk["local"], ["date", "city"], "left")
     )
+    prefixes = list(_PREFIX.values())
     for f in S.HOLIDAY_FEATURE_COLUMNS:
         out = out.withColumn(
-            f,
-            F.greatest(*[F.coalesce(F.col(f"{p}{f}"), F.lit(0)) for p in ("_n_", "_r_", "_l_")]).cast("int"),
+            f, F.greatest(*[F.coalesce(F.col(f"{p}{f}"), F.lit(0)) for p in prefixes]).cast("int")
         )
     if with_active_count:
         for f in ("n_active", "n_events"):
             out = out.withColumn(
-                f,
-                reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{p}{f}"), F.lit(0)) for p in ("_n_", "_r_", "_l_")]).cast("long"),
+                f, reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{p}{f}"), F.lit(0)) for p in prefixes]).cast("long")
             )
-    return out.drop(*[f"{p}{f}" for p in ("_n_", "_r_", "_l_") for f in flags])
+    return out.drop(*[f"{p}{f}" for p in prefixes for f in _LOOKUP_FLAGS])
 
 
 def holiday_flags(holidays: DataFrame, stores: DataFrame, store_dates: DataFrame) -> DataFrame:

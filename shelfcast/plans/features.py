@@ -22,7 +22,7 @@ from shelfcast.operators.contracts import audit, enforce
 from shelfcast.operators.joins import add_calendar_features, store_join
 from shelfcast.operators.lags import asof_lookup, exact_lag_lookup, exact_lags
 from shelfcast.functions.columns import nonnull_count
-from shelfcast.session import broadcast_if_small
+from shelfcast.session import small_lookup
 from shelfcast.sources import readers as R
 
 LOOKUP_ROWS = 5_000_000
@@ -53,15 +53,15 @@ def attach_features(
     stores: DataFrame,
     oil_lk: DataFrame,
     txn_lk: DataFrame,
-    holidays: DataFrame,
+    holidays: DataFrame | dict,
     has_target: bool,
     validate: bool = True,
     name: str = "base",
 ) -> DataFrame:
     df = store_join(base, stores, name=name, validate=validate)
     df = add_calendar_features(df)
-    df = df.join(broadcast_if_small(oil_lk, LOOKUP_ROWS), "date", "left")
-    df = df.join(broadcast_if_small(txn_lk, LOOKUP_ROWS), ["date", "store_nbr"], "left").withColumn(
+    df = df.join(oil_lk, "date", "left")
+    df = df.join(txn_lk, ["date", "store_nbr"], "left").withColumn(
         "transactions_lag_available_count", nonnull_count(S.TRANSACTION_LAG_COLUMNS)
     )
     df = H.attach_holiday_flags(df, holidays, check=validate)
@@ -76,10 +76,13 @@ def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFra
         R.check_transactions(raw.transactions)
         R.check_holidays(raw.holidays)
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
-    oil_lk = oil_lookup(dates, raw.oil)
-    txn_lk = transaction_lookup(raw.transactions)
-    labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, raw.holidays, True, validate, "train")
-    future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, raw.holidays, False, validate, "test")
+    # Lookups are keyed by date or (date, store): computed once, size-checked once,
+    # broadcast to both base tables.
+    oil_lk = small_lookup(oil_lookup(dates, raw.oil), LOOKUP_ROWS)
+    txn_lk = small_lookup(transaction_lookup(raw.transactions), LOOKUP_ROWS)
+    hol_lk = H.prepared_lookups(raw.holidays, check=validate)
+    labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, hol_lk, True, validate, "train")
+    future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, hol_lk, False, validate, "test")
     return labeled, future
 
 

@@ -639,3 +639,291 @@ def store_join_evidence(c: Ctx) -> DataFrame:
     """A23."""
     joined = J.store_join(c.sales, c.stores, validate=False)
     return J.store_join_evidence(c.sales, joined)
+
+
+# ============================================================================ batch 3: model, sinks, scoring
+import json as _json  # noqa: E402
+
+from shelfcast.operators.ml_stages import fit_preprocessor  # noqa: E402
+from shelfcast.plans import model as MD  # noqa: E402
+from shelfcast.session import new_output_path  # noqa: E402
+
+FIT_GRID = {
+    "Ridge Regression": MD.MODEL_GRIDS["Ridge Regression"],
+    "XGBoost Regression": {k: [v] for k, v in MD.DEFAULT_REFERENCE["XGBoost Regression"].items()},
+}
+_TRAIN_LAGGED_SQL = f"(SELECT * FROM labeled_lagged WHERE date BETWEEN {_MS_SQL} AND {_d(TD.TRAIN_END)})"
+
+
+def _model_frames(c: Ctx) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, validation, internal test) of the lagged labeled table, warm-up excluded."""
+    lab = c.labeled_lagged
+    start = SP.model_start(lab)
+    train = lab.filter(F.col("date").between(F.lit(start), F.lit(TD.TRAIN_END)))
+    val = SP.date_window(lab, TD.VALIDATION_START, TD.VALIDATION_END)
+    test = SP.date_window(lab, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END)
+    return train, val, test
+
+
+def _future_lagged(c: Ctx) -> DataFrame:
+    return FT.add_sales_lags(c.future_features, c.sales)
+
+
+@register("impute_median", "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS column, round(COALESCE(median(CAST({x} AS DOUBLE)), 0), 6) AS median, "
+    f"count(*) FILTER (WHERE {x} IS NULL) > 0 AS has_indicator FROM {_TRAIN_LAGGED_SQL}" for x in S.NUMERIC_FEATURES))
+def impute_median(c: Ctx) -> DataFrame:
+    """M2: fitted training medians and which columns get a missing indicator."""
+    from shelfcast.operators.ml_stages import MedianIndicatorImputer
+
+    train, _, _ = _model_frames(c)
+    m = MedianIndicatorImputer(inputCols=S.NUMERIC_FEATURES).fit(train)
+    ind = set(m.getOrDefault(m.indicatorCols))
+    rows = [(col, round(v, 6), col in ind) for col, v in zip(S.NUMERIC_FEATURES, m.getOrDefault(m.medians))]
+    return c.spark.createDataFrame(rows, "column string, median double, has_indicator boolean")
+
+
+def _scale_sql() -> str:
+    parts = []
+    for x in S.NUMERIC_FEATURES:
+        med = f"(SELECT COALESCE(median(CAST({x} AS DOUBLE)), 0) FROM {_TRAIN_LAGGED_SQL})"
+        parts.append(f"SELECT '{x}' AS column, round(COALESCE(nullif(stddev_pop(COALESCE(CAST({x} AS DOUBLE), {med})), 0), 1), 6) AS scale FROM {_TRAIN_LAGGED_SQL}")
+        parts.append(f"SELECT '{x}__missing' AS column, round(COALESCE(nullif(stddev_pop(CAST({x} IS NULL AS DOUBLE)), 0), 1), 6) AS scale "
+                     f"FROM {_TRAIN_LAGGED_SQL} HAVING count(*) FILTER (WHERE {x} IS NULL) > 0")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("scale_std", _scale_sql())
+def scale_std(c: Ctx) -> DataFrame:
+    """M3: population-std scales (1 when zero) of imputed numerics and indicators."""
+    from shelfcast.operators.ml_stages import MedianIndicatorImputer, PopulationScaler
+
+    train, _, _ = _model_frames(c)
+    imp = MedianIndicatorImputer(inputCols=S.NUMERIC_FEATURES).fit(train)
+    cols = S.NUMERIC_FEATURES + imp.indicator_names()
+    sc = PopulationScaler(inputCols=cols).fit(imp.transform(train))
+    rows = [(col, round(v, 6)) for col, v in zip(cols, sc.getOrDefault(sc.scales))]
+    return c.spark.createDataFrame(rows, "column string, scale double")
+
+
+@register("encode_onehot")
+def encode_onehot(c: Ctx) -> DataFrame:
+    """M1 + M4: one-hot (unseen -> all zeros) and assembled vector width per validation row."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, val, _ = _model_frames(c)
+    prep, _ = fit_preprocessor(train, S.CATEGORICAL_FEATURES, S.NUMERIC_FEATURES)
+    out = prep.transform(val)
+    return out.select("id", F.size(vector_to_array("features")).alias("width"),
+                      F.size(F.filter(vector_to_array("store_nbr__ohe"), lambda x: x != 0)).alias("store_hot"))
+
+
+@register("grid_search")
+def grid_search(c: Ctx) -> DataFrame:
+    """M7 + M8: chronological grid (full ridge grid + the default boosted configuration)."""
+    train, val, _ = _model_frames(c)
+    return MD.grid_search(train, val, FIT_GRID)
+
+
+@register("fit_ridge")
+def fit_ridge(c: Ctx) -> DataFrame:
+    """M5: ridge (alpha 1.0) fitted on the training window; validation metrics."""
+    train, val, _ = _model_frames(c)
+    return MD.grid_search(train, val, {"Ridge Regression": {"alpha": [1.0]}})
+
+
+@register("fit_gbt")
+def fit_gbt(c: Ctx) -> DataFrame:
+    """M6: boosted trees (100 trees, depth 6, rate 0.3); validation metrics."""
+    train, val, _ = _model_frames(c)
+    return MD.grid_search(train, val, {"XGBoost Regression": {k: [v] for k, v in MD.DEFAULT_REFERENCE["XGBoost Regression"].items()}})
+
+
+@register("select_model")
+def select_model(c: Ctx) -> DataFrame:
+    """L3: best leaderboard row (rmsle, then wape, then run id)."""
+    train, val, _ = _model_frames(c)
+    return MD.select_model(MD.grid_search(train, val, {"Ridge Regression": MD.MODEL_GRIDS["Ridge Regression"]}))
+
+
+def _ridge_bundle(c: Ctx, train: DataFrame) -> dict:
+    return MD.fit_bundle(train, "Ridge Regression", {"alpha": 1.0}, {"selected_by": "validation rmsle"})
+
+
+@register("internal_test")
+def internal_test(c: Ctx) -> DataFrame:
+    """M9: refit on train + validation, score the internal test window once."""
+    train, val, test = _model_frames(c)
+    bundle = _ridge_bundle(c, train.unionByName(val))
+    pred = MD.predictions(bundle["model"], test)
+    return M.forecast_metrics(pred)
+
+
+@register("fit_bundle")
+def fit_bundle(c: Ctx) -> DataFrame:
+    """Final fit on every modelled labeled row; the manifest as one row."""
+    train, val, test = _model_frames(c)
+    bundle = _ridge_bundle(c, train.unionByName(val).unionByName(test))
+    md = bundle["metadata"]
+    return c.spark.createDataFrame(
+        [(md["method"], md["training_rows"], md["training_start"], md["training_end"], len(md["assembled_columns"]),
+          _json.dumps(md, sort_keys=True))],
+        "method string, training_rows long, training_start string, training_end string, transformed_feature_count long, manifest string",
+    )
+
+
+def _final_bundle(c: Ctx) -> dict:
+    train, val, test = _model_frames(c)
+    return _ridge_bundle(c, train.unionByName(val).unionByName(test))
+
+
+@register("score_batch")
+def score_batch(c: Ctx) -> DataFrame:
+    """Score the complete 16-day future batch."""
+    return MD.score_batch(_final_bundle(c), _future_lagged(c))
+
+
+@register("batch_inference")
+def batch_inference(c: Ctx) -> DataFrame:
+    """Cutoff, coverage, lags, score, write (to the shared scratch folder)."""
+    out = new_output_path(c.spark, "batch_forecast")
+    MD.run_batch_inference(_final_bundle(c), c.features, c.future_features, out)
+    return R.read_table(c.spark, out, T_FORECAST, fmt="csv")
+
+
+@register("model_roundtrip")
+def model_roundtrip(c: Ctx) -> DataFrame:
+    """Save + load the bundle; parity of scores before and after."""
+    bundle = _final_bundle(c)
+    fut = _future_lagged(c)
+    before = MD.score_batch(bundle, fut, check_window=False)
+    path = new_output_path(c.spark, "bundle")
+    MD.save_bundle(bundle, path)
+    after = MD.score_batch(MD.load_bundle(path), fut, check_window=False)
+    return J.forecast_parity(after, before)
+
+
+from pyspark.sql import types as _T  # noqa: E402
+
+T_FORECAST = _T.StructType([
+    _T.StructField("id", _T.LongType()), _T.StructField("date", _T.DateType()),
+    _T.StructField("store_nbr", _T.IntegerType()), _T.StructField("family", _T.StringType()),
+    _T.StructField("forecast_sales", _T.FloatType()),
+])
+
+# ---------------------------------------------------------------------------- sinks / windows / submission
+_HIST_SQL = f"SELECT date, store_nbr, family, sales FROM sales WHERE date BETWEEN {_d(TD.INTERNAL_TEST_END - dt.timedelta(days=34))} AND {_d(TD.INTERNAL_TEST_END)}"
+
+
+@register("history_window", _HIST_SQL)
+def history_window(c: Ctx) -> DataFrame:
+    """Pruned 35-day history ending exactly at the cutoff."""
+    return R.history_window(c.sales, TD.INTERNAL_TEST_END)
+
+
+@register("compact_history", _HIST_SQL)
+def compact_history(c: Ctx) -> DataFrame:
+    """Write the sorted gzip CSV history and read it back."""
+    path = new_output_path(c.spark, "history")
+    R.write_compact_history(c.sales, TD.INTERNAL_TEST_END, path)
+    return R.read_compact_history(c.spark, path)
+
+
+@register("sink_table", "SELECT * FROM features")
+def sink_table(c: Ctx) -> DataFrame:
+    """Write the feature table as date-partitioned parquet (refusing overwrite) and read it back."""
+    path = new_output_path(c.spark, "features")
+    R.write_table(c.features.withColumn("year", F.year("date")), path, partition_by=["year"])
+    return c.spark.read.parquet(path).select(*S.LABELED_COLUMNS)
+
+
+_BASELINE_SQL = (f"SELECT f.id, f.date, f.store_nbr, f.family, CAST(COALESCE(s16.sales, 0) AS FLOAT) AS forecast_sales "
+                 f"FROM future f LEFT JOIN sales s16 ON s16.date = f.date - 16 AND s16.store_nbr = f.store_nbr AND s16.family = f.family")
+
+
+def _baseline_forecast(c: Ctx) -> DataFrame:
+    """Seasonal-naive forecast: the exact 16-day sales lag (0 when absent)."""
+    lag = FT.add_sales_lags(c.future, c.sales)
+    return lag.select("id", "date", "store_nbr", "family",
+                      F.coalesce("sales_lag_16", F.lit(0.0)).cast("float").alias("forecast_sales"))
+
+
+@register("sink_forecast", _BASELINE_SQL)
+def sink_forecast(c: Ctx) -> DataFrame:
+    """Value rules, then an atomic CSV write; read back."""
+    path = new_output_path(c.spark, "forecast")
+    R.write_forecast(_baseline_forecast(c), path)
+    return R.read_table(c.spark, path, T_FORECAST, fmt="csv")
+
+
+@register("check_forecast", O.audit_sql(f"({_BASELINE_SQL})", {
+    "non_finite_forecast": "forecast_sales IS NULL OR isnan(forecast_sales) OR isinf(forecast_sales)",
+    "negative_forecast": "forecast_sales < 0"}, non_empty=True))
+def check_forecast(c: Ctx) -> DataFrame:
+    """V6."""
+    return R.forecast_rules(_baseline_forecast(c))
+
+
+@register("forecast_summary", f"""SELECT count(*) AS rows, min(date) AS start_date, max(date) AS end_date,
+  round(min(CAST(forecast_sales AS DOUBLE)), 6) AS min_forecast,
+  round(CAST(sum(CAST(CAST(forecast_sales AS DOUBLE) AS {MONEY_SQL})) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS mean_forecast,
+  round(max(CAST(forecast_sales AS DOUBLE)), 6) AS max_forecast FROM ({_BASELINE_SQL})""")
+def forecast_summary(c: Ctx) -> DataFrame:
+    """A24."""
+    return M.forecast_summary(_baseline_forecast(c))
+
+
+@register("submission", f"SELECT t.id, CAST(b.forecast_sales AS DOUBLE) AS sales FROM template t JOIN ({_BASELINE_SQL}) b ON t.id = b.id")
+def submission(c: Ctx) -> DataFrame:
+    """Template ids with forecasts (every id must match)."""
+    return J.submission(c.src.template(), _baseline_forecast(c))
+
+
+_PRED_SQL = "sales * CAST(80 + 5 * (store_nbr % 9) AS DOUBLE) / CAST(100 AS DOUBLE)"
+
+
+@register("forecast_parity", f"""SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unexpected_rows, CAST(0 AS BIGINT) AS missing_rows,
+  CAST(0 AS BIGINT) AS value_mismatches, count(*) AS matching_rows, count(DISTINCT date) AS forecast_dates FROM diagnostics""")
+def forecast_parity(c: Ctx) -> DataFrame:
+    """The diagnostics forecast vs an independent recomputation from the raw sales table."""
+    a = c.diagnostics.select("id", "date", "store_nbr", "family", F.col("predicted_sales").alias("forecast_sales"))
+    raw = SP.date_window(c.sales, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END)
+    e = raw.select("id", "date", "store_nbr", "family",
+                   (F.col("sales") * (F.lit(80) + F.lit(5) * (F.col("store_nbr") % 9)).cast("double") / F.lit(100.0)).alias("forecast_sales"))
+    return J.forecast_parity(a, e)
+
+
+@register("forecast_metrics", f"""SELECT round(sqrt(avg(pow(ln(1 + greatest(predicted_sales, 0)) - ln(1 + sales), 2))), 6) AS rmsle,
+  round(CAST(sum(CAST(abs(greatest(predicted_sales, 0) - sales) AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS wape_pct,
+  round(CAST(sum(CAST(greatest(predicted_sales, 0) - sales AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS signed_bias_pct,
+  round(CAST(sum(CAST(greatest(sales - greatest(predicted_sales, 0), 0) AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS underforecast_pct,
+  round(CAST(sum(CAST(greatest(greatest(predicted_sales, 0) - sales, 0) AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS overforecast_pct
+FROM diagnostics""")
+def forecast_metrics(c: Ctx) -> DataFrame:
+    """Rmsle, wape, bias, under / over forecast % (predictions clipped at 0)."""
+    return M.forecast_metrics(c.diagnostics)
+
+
+@register("daily_totals", f"SELECT date, CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) AS actual_sales, "
+                          f"CAST(sum(CAST(predicted_sales AS {MONEY_SQL})) AS DOUBLE) AS predicted_sales FROM diagnostics GROUP BY date")
+def daily_totals(c: Ctx) -> DataFrame:
+    """A15."""
+    return M.daily_totals(c.diagnostics)
+
+
+_PAIR_ERR_SQL = f"""SELECT family, store_nbr, round(sqrt(avg(pow(ln(1 + predicted_sales) - ln(1 + sales), 2))), 6) AS rmsle,
+  round(CAST(sum(CAST(abs(predicted_sales - sales) AS {MONEY_SQL})) AS DOUBLE) / nullif(CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE), 0) * 100.0, 6) AS wape_pct
+FROM diagnostics GROUP BY family, store_nbr"""
+
+
+@register("best_per_group", f"SELECT family, store_nbr, rmsle, wape_pct FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY rmsle, wape_pct, store_nbr) AS rn FROM ({_PAIR_ERR_SQL})) WHERE rn = 1")
+def best_per_group(c: Ctx) -> DataFrame:
+    """Per family, the store with the lowest rmsle (then wape, then store)."""
+    e = M.error_summary(c.diagnostics, ["family", "store_nbr"]).select("family", "store_nbr", "rmsle", "wape_pct")
+    return X.best_per_group(e, ["family"], [F.col("rmsle"), F.col("wape_pct"), F.col("store_nbr")])
+
+
+@register("sorted_report", _err_sql(["store_nbr"]) + " ORDER BY absolute_error DESC, store_nbr")
+def sorted_report(c: Ctx) -> DataFrame:
+    """L1: store error report sorted by absolute error (sort only at the report)."""
+    return M.error_summary(c.diagnostics, ["store_nbr"]).orderBy(F.desc("absolute_error"), "store_nbr")

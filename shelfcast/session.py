@@ -85,6 +85,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def small_lookup(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Cache a lookup that several joins reuse, prove its size once, then broadcast it.
+
+    Above ``max_rows`` the cached frame is returned unhinted (shuffle join).
+    """
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()
+    return F.broadcast(cached) if n <= max_rows else cached
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for driver-side checks in local mode."""
     return path[5:] if path.startswith("file:") else path

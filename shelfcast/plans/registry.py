@@ -927,3 +927,256 @@ def best_per_group(c: Ctx) -> DataFrame:
 def sorted_report(c: Ctx) -> DataFrame:
     """L1: store error report sorted by absolute error (sort only at the report)."""
     return M.error_summary(c.diagnostics, ["store_nbr"]).orderBy(F.desc("absolute_error"), "store_nbr")
+
+
+# ============================================================================ batch 4: contracts, joins, holidays, records, requests
+from shelfcast.sources import records as REC  # noqa: E402
+from shelfcast.streaming import jobs as SJ  # noqa: E402
+from shelfcast.streaming import requests as RQ  # noqa: E402
+
+_KEYNULL = O.any_null(S.BASE_KEY)
+
+
+@register("check_base", O.audit_sql("sales", {"null_base_key": _KEYNULL, "null_id": "id IS NULL", "invalid_date": "date IS NULL"},
+                                    {"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, non_empty=True))
+def check_base(c: Ctx) -> DataFrame:
+    """V1 audit of the labeled base."""
+    return J.base_rules(c.sales)
+
+
+@register("check_stores", O.audit_sql("stores", {"null_store_nbr": "store_nbr IS NULL",
+                                                 "missing_store_metadata": O.any_null(S.STORE_OUTPUT_COLUMNS)},
+                                      {"duplicate_store_nbr": ["store_nbr"]}, non_empty=True))
+def check_stores(c: Ctx) -> DataFrame:
+    """V2 audit of store metadata."""
+    return J.store_rules(c.stores)
+
+
+_FINAL_CHECKED = [x for x in S.LABELED_COLUMNS if x not in set(S.ALLOWED_MISSING_COLUMNS)]
+_FULL = "(SELECT o.id AS oid, p.id AS pid, o.sales AS os, p.sales AS ps FROM sales o FULL JOIN features p ON o.id = p.id)"
+
+
+@register("check_final", O.audit_sql("features", {"unexpected_missing_cells": O.any_null(_FINAL_CHECKED)},
+                                     {"duplicate_base_key": S.BASE_KEY}) + "\nUNION ALL\n" + O.audit_sql(_FULL, {
+    "lost_rows": "pid IS NULL", "added_rows": "oid IS NULL",
+    "target_changed": "oid IS NOT NULL AND pid IS NOT NULL AND os IS DISTINCT FROM ps"}))
+def check_final(c: Ctx) -> DataFrame:
+    """V3: feature table vs its base (rows, ids, target, allowed nulls, unique key)."""
+    return FT.final_rules(c.features, c.sales, has_target=True)
+
+
+_CUT = TD.INTERNAL_TEST_END
+_W0, _W1 = _CUT + dt.timedelta(days=1), _CUT + dt.timedelta(days=16)
+_KNOWN = S.CATEGORICAL_FEATURES + ["onpromotion"] + S.HOLIDAY_FEATURE_COLUMNS
+
+
+@register("check_window", O.audit_sql("future_features", {
+    "null_base_key": _KEYNULL, "null_id": "id IS NULL",
+    "date_outside_window": f"NOT (date BETWEEN {_d(_W0)} AND {_d(_W1)})",
+    "missing_known_context": O.any_null(_KNOWN),
+    "month_mismatch": "month <> month(date)", "day_of_month_mismatch": "day_of_month <> day(date)",
+    "day_of_week_mismatch": "day_of_week <> isodow(date)"},
+    {"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, non_empty=True) + f"""
+UNION ALL SELECT 'missing_window_dates', CAST(16 - count(DISTINCT date) FILTER (WHERE date BETWEEN {_d(_W0)} AND {_d(_W1)}) AS BIGINT) FROM future_features
+UNION ALL SELECT 'incomplete_pairs', CAST(count(*) FILTER (WHERE n <> 16) AS BIGINT) FROM (SELECT count(DISTINCT date) AS n FROM future_features GROUP BY store_nbr, family)""")
+def check_window(c: Ctx) -> DataFrame:
+    """V4: the future batch against the 16-day window after the cutoff."""
+    return G.window_rules(_future_lagged(c), _CUT)
+
+
+@register("check_training", O.audit_sql(_TRAIN_LAGGED_SQL, {"invalid_sales": "sales IS NULL OR sales < 0"}, non_empty=True))
+def check_training(c: Ctx) -> DataFrame:
+    """V5."""
+    train, _, _ = _model_frames(c)
+    return G.training_rules(train)
+
+
+@register("check_cutoff", f"""SELECT 'history_end_differs' AS rule, CAST(CASE WHEN max(date) IS NULL OR max(date) <> {_d(_CUT)} THEN 1 ELSE 0 END AS BIGINT) AS violations FROM sales
+UNION ALL SELECT 'rows_after_cutoff', count(*) FILTER (WHERE date > {_d(_CUT)}) FROM sales""")
+def check_cutoff(c: Ctx) -> DataFrame:
+    """V9: history ends exactly at the cutoff."""
+    return G.cutoff_rules(c.sales, _CUT)
+
+
+@register("check_leakage", O.audit_sql("oil_lookup", {"future_oil_match": " OR ".join(f"{x} < 0" for x in S.OIL_AGE_COLUMNS)})
+          + "\nUNION ALL\n" + O.audit_sql("future", {"lag_source_after_cutoff": f"date - 16 > {_d(_CUT)}"})
+          + "\nUNION ALL\n" + O.audit_sql(f"({_WINDOW_SQL})", {"window_not_lag_safe": "NOT all_lags_available_by_cutoff"}))
+def check_leakage(c: Ctx) -> DataFrame:
+    """No as-of match after its reference date, no lag source after the cutoff, lag-safe windows."""
+    dates = c.store_dates.select("date").distinct()
+    return G.leakage_rules(FT.oil_lookup(dates, c.oil), c.future, _CUT, SP.window_contract(_periods(c)))
+
+
+@register("attach_m1", "SELECT s.*, " + ", ".join(f"o.{x}" for x in S.OIL_FEATURE_COLUMNS)
+          + " FROM sales s LEFT JOIN oil_lookup o ON s.date = o.date")
+def attach_m1(c: Ctx) -> DataFrame:
+    """Guarded many-to-one attach of the oil lookup (nullable columns declared)."""
+    dates = c.store_dates.select("date").distinct()
+    return J.attach_m1(c.sales, FT.oil_lookup(dates, c.oil), ["date"], S.OIL_FEATURE_COLUMNS,
+                       nullable=S.OIL_FEATURE_COLUMNS, name="oil join", broadcast_rows=FT.LOOKUP_ROWS, check_required=True)
+
+
+@register("unmapped_events", """SELECT s.date, s.locale, s.locale_name, s.description FROM scheduled s
+WHERE (s.locale = 'Regional' AND s.locale_name NOT IN (SELECT state FROM stores))
+   OR (s.locale = 'Local' AND s.locale_name NOT IN (SELECT city FROM stores))""")
+def unmapped_events(c: Ctx) -> DataFrame:
+    """Scheduled events whose locale reaches no store (anti-joins on state / city)."""
+    sched = H.classify_events(c.holidays).filter("is_scheduled")
+    reg = J.missing_keys(sched.filter(F.col("locale") == "Regional").withColumn("state", F.col("locale_name")), c.stores, ["state"])
+    loc = J.missing_keys(sched.filter(F.col("locale") == "Local").withColumn("city", F.col("locale_name")), c.stores, ["city"])
+    cols = ["date", "locale", "locale_name", "description"]
+    return reg.select(*cols).unionByName(loc.select(*cols))
+
+
+@register("missing_store_rows", "SELECT * FROM transactions WHERE store_nbr NOT IN (SELECT store_nbr FROM stores)")
+def missing_store_rows(c: Ctx) -> DataFrame:
+    """Transaction rows whose store has no metadata (anti-join)."""
+    return J.missing_keys(c.transactions, c.stores, ["store_nbr"])
+
+
+_HP = f"(SELECT DISTINCT store_nbr, family FROM sales WHERE date BETWEEN {_d(_CUT - dt.timedelta(days=34))} AND {_d(_CUT)})"
+
+
+@register("pair_coverage", f"""SELECT count(*) FILTER (WHERE f.store_nbr IS NULL) AS missing_pairs,
+  count(*) FILTER (WHERE h.store_nbr IS NULL) AS unexpected_pairs
+FROM {_HP} h FULL JOIN (SELECT DISTINCT store_nbr, family FROM future) f ON h.store_nbr = f.store_nbr AND h.family = f.family""")
+def pair_coverage(c: Ctx) -> DataFrame:
+    """Future pairs vs the 35-day serving history (idle pairs show as unexpected)."""
+    return J.pair_coverage(c.future, R.history_window(c.sales, _CUT))
+
+
+@register("holiday_attach", f"SELECT id, {', '.join(S.HOLIDAY_FEATURE_COLUMNS)} FROM features")
+def holiday_attach(c: Ctx) -> DataFrame:
+    """Holiday flags left-joined onto the base by date / state / city, absent -> 0."""
+    base = J.store_join(c.sales, c.stores, validate=False)
+    return H.attach_holiday_flags(base, c.holidays).select("id", *S.HOLIDAY_FEATURE_COLUMNS)
+
+
+@register("event_classes", f"""SELECT ntype, CASE WHEN is_planned THEN 'planned_event' WHEN is_earthquake THEN 'earthquake_excluded'
+  WHEN ntype = 'event' THEN 'unknown_event' WHEN ntype IN ({', '.join(O._q(t) for t in S.SCHEDULED_TYPES)}) THEN 'scheduled'
+  ELSE 'dropped_type' END AS event_class, count(*) AS rows FROM events_classified GROUP BY ALL""")
+def event_classes(c: Ctx) -> DataFrame:
+    """H2."""
+    return H.event_classes(c.holidays)
+
+
+@register("holiday_evidence", f"""SELECT
+  (SELECT count(*) FROM holidays) AS source_calendar_rows,
+  (SELECT count(*) FROM events_classified WHERE ntype = 'event') AS source_type_event_rows,
+  (SELECT count(*) FROM scheduled) AS scheduled_source_rows,
+  (SELECT count(*) FROM events_classified WHERE is_planned) AS planned_type_event_rows,
+  (SELECT count(*) FROM events_classified WHERE is_earthquake) AS earthquake_event_rows_excluded,
+  (SELECT count(*) FROM events_classified WHERE ntype = 'event' AND NOT is_planned AND NOT is_earthquake) AS unknown_type_event_rows,
+  (SELECT count(*) FROM mapped) AS mapped_scheduled_store_rows,
+  (SELECT count(*) FROM scheduled s WHERE (s.locale = 'Regional' AND s.locale_name NOT IN (SELECT state FROM stores))
+      OR (s.locale = 'Local' AND s.locale_name NOT IN (SELECT city FROM stores))) AS unmapped_scheduled_source_rows,
+  (SELECT count(*) FROM holiday_lookup) AS normalized_store_date_rows,
+  (SELECT count(*) FROM holidays WHERE transferred) AS source_rows_with_transferred_true,
+  CAST(0 AS BIGINT) AS normalized_duplicate_store_date_rows,
+  (SELECT COALESCE(max(n), 0) FROM (SELECT count(*) AS n FROM mapped WHERE NOT transferred GROUP BY date, store_nbr)) AS maximum_active_events_on_one_store_date""")
+def holiday_evidence(c: Ctx) -> DataFrame:
+    """H3 (+ A19): normalisation counters without expanding national events."""
+    return H.holiday_evidence(c.holidays, c.stores)
+
+
+# ---------------------------------------------------------------------------- JSON records
+_REC5 = ["id", "date", "store_nbr", "family", "onpromotion"]
+
+
+@register("json_records", "SELECT to_json(struct_pack(" + ", ".join(f"{x} := {x}" for x in _REC5) + ")) AS record FROM future")
+def json_records(c: Ctx) -> DataFrame:
+    """Future rows as JSON records (ISO dates)."""
+    return REC.to_records(c.future, _REC5)
+
+
+def _records(c: Ctx) -> DataFrame:
+    return REC.to_records(c.future_features, S.FUTURE_COLUMNS)
+
+
+@register("json_batch_ingest", "SELECT * FROM future_features")
+def json_batch_ingest(c: Ctx) -> DataFrame:
+    """JSON records parsed with the typed contract; only valid rows returned."""
+    valid, _ = REC.parse_records(_records(c))
+    return valid
+
+
+@register("record_rules", """SELECT 'unparseable_record' AS rule, CAST(0 AS BIGINT) AS violations
+UNION ALL SELECT 'extra_keys', CAST(0 AS BIGINT) UNION ALL SELECT 'missing_or_invalid_field', CAST(0 AS BIGINT)
+UNION ALL SELECT 'out_of_range', CAST(0 AS BIGINT) UNION ALL SELECT 'non_empty', CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM future_features""")
+def record_rules(c: Ctx) -> DataFrame:
+    """V8: per-record contract over the future batch as JSON."""
+    return REC.record_rules(_records(c))
+
+
+# ---------------------------------------------------------------------------- request log
+_OUTCOME_SQL = """CASE WHEN path <> '/forecast' THEN NULL
+  WHEN status_code = 422 AND COALESCE(row_count, 0) = 0 THEN 'schema_rejection' WHEN status_code = 422 THEN 'contract_rejection'
+  WHEN status_code IN (401, 403) THEN 'authentication_rejection' WHEN status_code = 503 THEN 'service_unavailable'
+  WHEN status_code >= 500 THEN 'model_error' WHEN status_code >= 200 AND status_code < 300 THEN 'success' ELSE 'other_response' END"""
+_KP = "CASE WHEN path IN ('/health', '/forecast', '/metrics') THEN path ELSE 'other' END"
+_AVG = "CAST(sum(CAST(latency_ms AS DECIMAL(28,6))) AS DOUBLE) / CAST(count(*) AS DOUBLE)"
+
+
+@register("request_outcome", f"SELECT request_id, {_KP} AS known_path, {_OUTCOME_SQL} AS forecast_outcome FROM request_log")
+def request_outcome(c: Ctx) -> DataFrame:
+    """R2."""
+    return RQ.with_outcome(c.src.request_log()).select("request_id", "known_path", "forecast_outcome")
+
+
+@register("request_rollup", f"SELECT {_KP} AS path, count(*) AS request_count, {_AVG} AS average_ms, max(latency_ms) AS maximum_ms FROM request_log GROUP BY 1")
+def request_rollup(c: Ctx) -> DataFrame:
+    """Per-path requests and latency."""
+    return RQ.path_rollup(c.src.request_log())
+
+
+@register("status_rollup", "SELECT CAST(status_code AS VARCHAR) AS status, count(*) AS responses FROM request_log GROUP BY 1")
+def status_rollup(c: Ctx) -> DataFrame:
+    """Responses per status."""
+    return RQ.status_rollup(c.src.request_log())
+
+
+@register("outcome_rollup", f"SELECT {_OUTCOME_SQL} AS forecast_outcome, count(*) AS requests, CAST(sum(row_count) AS BIGINT) AS rows_received "
+                            f"FROM request_log WHERE path = '/forecast' GROUP BY 1")
+def outcome_rollup(c: Ctx) -> DataFrame:
+    """Forecast outcomes and received rows."""
+    return RQ.outcome_rollup(c.src.request_log())
+
+
+_R4 = {"forecast_requests": ("path = '/forecast'", 4), "status_200": ("status_code = 200", 1), "status_422": ("status_code = 422", 2),
+       "status_401": ("status_code = 401", 1), "success": (f"({_OUTCOME_SQL}) = 'success'", 1),
+       "contract_rejections": (f"({_OUTCOME_SQL}) = 'contract_rejection'", 1), "schema_rejections": (f"({_OUTCOME_SQL}) = 'schema_rejection'", 1),
+       "authentication_rejections": (f"({_OUTCOME_SQL}) = 'authentication_rejection'", 1)}
+
+
+@register("rollup_checks", "\nUNION ALL\n".join(
+    [f"SELECT 'min_{k}' AS rule, CAST(CASE WHEN count(*) FILTER (WHERE {cond}) < {v} THEN 1 ELSE 0 END AS BIGINT) AS violations FROM request_log"
+     for k, (cond, v) in _R4.items()]
+    + ["SELECT 'min_rows_received', CAST(CASE WHEN COALESCE(sum(row_count) FILTER (WHERE path = '/forecast'), 0) < 2 THEN 1 ELSE 0 END AS BIGINT) FROM request_log"]))
+def rollup_checks(c: Ctx) -> DataFrame:
+    """Post-run counter expectations (0 = met)."""
+    return RQ.rollup_checks(c.src.request_log(), successful_batch_rows=1)
+
+
+@register("request_rollup_stream", f"""SELECT CAST(date_trunc('day', timestamp_utc) AS DATE) AS window_start, {_KP} AS path, count(*) AS request_count,
+  {_AVG} AS average_ms, max(latency_ms) AS maximum_ms FROM request_log GROUP BY 1, 2""")
+def request_rollup_stream(c: Ctx) -> DataFrame:
+    """R1 streaming: events file stream -> daily windows per path (complete mode, checkpointed)."""
+    out = new_output_path(c.spark, "rollup")
+    stream = TD.request_log_from(c.src.events_stream())
+    SJ.run_rollup_stream(c.spark, stream, out, new_output_path(c.spark, "rollup_ckpt"))
+    res = c.spark.read.parquet(out)
+    return res.select(F.to_date("window_start").alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
+
+
+@register("stream_score")
+def stream_score(c: Ctx) -> DataFrame:
+    """Complete future batches arriving as JSON Lines files, scored per micro-batch."""
+    inp = new_output_path(c.spark, "stream_in")
+    recs = _records(c)
+    # Two arriving batches: the complete future batch, then the same batch missing its last day.
+    recs.write.mode("errorifexists").text(f"{inp}/batch=0")
+    last = F.get_json_object("record", "$.date") == F.lit(str(TD.FUTURE_END))
+    recs.filter(~last).write.mode("errorifexists").text(f"{inp}/batch=1")
+    out, quarantine = new_output_path(c.spark, "stream_out"), new_output_path(c.spark, "stream_quarantine")
+    SJ.run_scoring_stream(c.spark, inp, _final_bundle(c), c.sales, out, quarantine, new_output_path(c.spark, "stream_ckpt"))
+    return c.spark.read.parquet(out)

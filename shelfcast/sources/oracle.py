@@ -81,8 +81,8 @@ def prelude() -> str:
     hcols = ",\n    ".join(f"CAST(COALESCE(h.{c}, 0) AS INTEGER) AS {c}" for c in S.HOLIDAY_FEATURE_COLUMNS)
     return f"""WITH
 stores_raw AS (
-  SELECT CAST(n_nationkey AS INTEGER) AS store_nbr, n_name AS city, r_name AS state,
-         chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type, CAST(n_regionkey AS INTEGER) AS cluster
+  SELECT CAST(n_nationkey + 1 AS INTEGER) AS store_nbr, n_name AS city, r_name AS state,
+         chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type, CAST(n_regionkey + 1 AS INTEGER) AS cluster
   FROM nation JOIN region ON n_regionkey = r_regionkey
 ),
 stores AS (SELECT store_nbr, city, state, type AS store_type, cluster AS store_cluster FROM stores_raw),
@@ -91,7 +91,7 @@ families AS (
   FROM (SELECT DISTINCT p_type AS family FROM part)
 ),
 sales_all AS (
-  SELECT CAST(l_shipdate AS DATE) AS date, CAST(s_nationkey AS INTEGER) AS store_nbr, p_type AS family,
+  SELECT CAST(l_shipdate AS DATE) AS date, CAST(s_nationkey + 1 AS INTEGER) AS store_nbr, p_type AS family,
          CAST(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS sales,
          CAST(SUM(CASE WHEN l_discount >= CAST({TD.PROMO_DISCOUNT} AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS onpromotion
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -121,7 +121,7 @@ oil AS (
   FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) <= 5 GROUP BY 1
 ),
 transactions AS (
-  SELECT CAST(o_orderdate AS DATE) AS date, CAST(c_nationkey AS INTEGER) AS store_nbr, CAST(COUNT(*) AS INTEGER) AS transactions
+  SELECT CAST(o_orderdate AS DATE) AS date, CAST(c_nationkey + 1 AS INTEGER) AS store_nbr, CAST(COUNT(*) AS INTEGER) AS transactions
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
 ),
 years AS (

@@ -1,6 +1,6 @@
 """Store-sales tables derived by Spark from the driver's TPC-H-style tables.
 
-Mapping (one store per nation, one product family per part type):
+Mapping (one store per nation, numbered nation key + 1; one product family per part type):
 
 * sales          lineitem x part x supplier summed per (ship date, supplier nation, part type)
 * stores         nation x region; city = nation, state = region
@@ -96,11 +96,11 @@ class Source:
         nation = self.raw("nation")
         region = self.raw("region")
         return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-            F.col("n_nationkey").cast("int").alias("store_nbr"),
+            (F.col("n_nationkey") + 1).cast("int").alias("store_nbr"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("state"),
             F.expr("chr(65 + n_nationkey % 5)").alias("type"),
-            F.col("n_regionkey").cast("int").alias("cluster"),
+            (F.col("n_regionkey") + 1).cast("int").alias("cluster"),
         )
 
     def stores(self) -> DataFrame:
@@ -133,7 +133,7 @@ class Source:
             F.when(F.col("l_discount") >= F.lit(PROMO_DISCOUNT), 1).otherwise(0).alias("promo"),
         )
         part = self.raw("part").select("p_partkey", F.col("p_type").alias("family"))
-        supp = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("store_nbr"))
+        supp = self.raw("supplier").select("s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("store_nbr"))
         joined = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
         return joined.groupBy("date", "store_nbr", "family").agg(
             F.sum("amount").cast("double").alias("sales"),
@@ -185,7 +185,7 @@ class Source:
 
     def transactions(self) -> DataFrame:
         orders = self.raw("orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("date"))
-        cust = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("store_nbr"))
+        cust = self.raw("customer").select("c_custkey", (F.col("c_nationkey") + 1).cast("int").alias("store_nbr"))
         return (
             orders.join(cust, orders.o_custkey == cust.c_custkey)
             .groupBy("date", "store_nbr")
@@ -234,35 +234,46 @@ class Source:
 
     def request_log(self) -> DataFrame:
         """events read as the service's JSON request log."""
-        ev = self.raw("events")
-        k = F.get_json_object("props", "$.k").cast("int")
-        path = F.lit("/admin")
-        for event_type, event_path in EVENT_PATHS.items():
-            path = F.when(F.col("event_type") == event_type, F.lit(event_path)).otherwise(path)
-        status = (
-            F.when(k % 10 <= 5, 200).when(k % 10 == 6, 422).when(k % 10 == 7, 401)
-            .when(k % 10 == 8, 503).otherwise(500)
-        )
-        frame = ev.select(
-            F.lit("http_request").alias("event"),
-            F.col("ts").cast("timestamp").alias("timestamp_utc"),
-            F.col("event_id").cast("string").alias("request_id"),
-            F.when(path == "/forecast", "POST").otherwise("GET").alias("method"),
-            path.alias("path"),
-            status.cast("int").alias("status_code"),
-            F.col("value").alias("latency_ms"),
-            k.alias("k"),
-        )
-        rows = (
-            F.when((F.col("path") == "/forecast") & (F.col("status_code") == 200), (F.col("k") % 3 + 1) * 16)
-            .when((F.col("path") == "/forecast") & (F.col("status_code") != 401), (F.col("k") % 3) * 16)
-            .otherwise(0)
-        )
-        return frame.withColumn("row_count", rows.cast("long")).drop("k")
+        return request_log_from(self.raw("events"))
 
+    def events_stream(self) -> DataFrame:
+        """The events file as a file-source stream (one file per trigger)."""
+        schema = self.raw("events").schema
+        return (
+            self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(self.sf_dir)
+        )
     # -- evaluation frame ---------------------------------------------------------
     def forecast_eval(self) -> DataFrame:
         """Internal-test rows with a deterministic stand-in forecast per store."""
         s = self.sales().filter(F.col("date").between(d(INTERNAL_TEST_START), d(INTERNAL_TEST_END)))
         pred = F.col("sales") * (F.lit(80) + F.lit(5) * (F.col("store_nbr") % 9)).cast("double") / F.lit(100.0)
         return s.withColumn("predicted_sales", pred)
+
+
+def request_log_from(ev: DataFrame) -> DataFrame:
+    """Map raw events (batch or stream) to request-log records."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    path = F.lit("/admin")
+    for event_type, event_path in EVENT_PATHS.items():
+        path = F.when(F.col("event_type") == event_type, F.lit(event_path)).otherwise(path)
+    status = (
+        F.when(k % 10 <= 5, 200).when(k % 10 == 6, 422).when(k % 10 == 7, 401)
+        .when(k % 10 == 8, 503).otherwise(500)
+    )
+    frame = ev.select(
+        F.lit("http_request").alias("event"),
+        F.col("ts").cast("timestamp").alias("timestamp_utc"),
+        F.col("event_id").cast("string").alias("request_id"),
+        F.when(path == "/forecast", "POST").otherwise("GET").alias("method"),
+        path.alias("path"),
+        status.cast("int").alias("status_code"),
+        F.col("value").alias("latency_ms"),
+        k.alias("k"),
+    )
+    rows = (
+        F.when((F.col("path") == "/forecast") & (F.col("status_code") == 200), (F.col("k") % 3 + 1) * 16)
+        .when((F.col("path") == "/forecast") & (F.col("status_code") != 401), (F.col("k") % 3) * 16)
+        .otherwise(0)
+    )
+    return frame.withColumn("row_count", rows.cast("long")).drop("k")

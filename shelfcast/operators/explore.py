@@ -1,8 +1,8 @@
 """Training-period exploration (A8-A11, A16, A20), rolling mean (W1), top-k (L2), best-per-group.
 
 All group summaries are ``groupBy().agg`` with partial aggregation; money
-sums are DECIMAL (exact, order-free); the exact median is Spark's
-``median`` (interpolated, like pandas). Top-k uses ``orderBy().limit`` which
+sums are DECIMAL (exact, order-free); the exact median is the
+skew-safe distributed one of ``quantiles`` (interpolated, like pandas). Top-k uses ``orderBy().limit`` which
 plans as TakeOrderedAndProject (per-task top-k, then merge): no global sort.
 """
 
@@ -12,9 +12,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfcast.functions.columns import count_if
+from shelfcast.operators.quantiles import grouped_median
 
 MONEY = "decimal(28,8)"
 DP = 6
@@ -68,12 +68,16 @@ def store_summary(train: DataFrame) -> DataFrame:
 def promotion_summary(train: DataFrame) -> DataFrame:
     """Rows, mean, exact median, zero rate; labelled with / without promotion."""
     label = F.when(F.col("onpromotion") > 0, "with promotion").otherwise("without promotion")
-    return train.groupBy(label.alias("has_promotion")).agg(
+    lab = train.withColumn("has_promotion", label)
+    base = lab.groupBy("has_promotion").agg(
         F.count(F.lit(1)).alias("rows"),
         F.round(_mean(), DP).alias("mean_sales"),
-        F.round(F.median("sales"), STAT_DP).alias("median_sales"),
         _zero_rate().alias("zero_sales_rate_pct"),
     )
+    med = grouped_median(lab, ["has_promotion"], "sales", "median_sales")
+    return base.join(med, "has_promotion", "left").select(
+        "has_promotion", "rows", "mean_sales", F.round("median_sales", STAT_DP).alias("median_sales"), "zero_sales_rate_pct"
+    )
 
 
 def describe_where(df: DataFrame, groups: dict[str, Column], value: str = "sales") -> DataFrame:
@@ -84,12 +88,15 @@ def describe_where(df: DataFrame, groups: dict[str, Column], value: str = "sales
     """
     labels = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in groups.items()]))
     exploded = df.select(F.explode(labels).alias("group"), F.col(value).alias("v"))
-    return exploded.groupBy("group").agg(
+    base = exploded.groupBy("group").agg(
         F.count(F.lit(1)).alias("count"),
         F.round(F.sum(F.col("v").cast(MONEY)).cast("double") / F.count(F.lit(1)).cast("double"), STAT_DP).alias("mean"),
-        F.round(F.median("v"), STAT_DP).alias("median"),
         F.round(F.stddev_samp("v"), STAT_DP).alias("std"),
     )
+    med = grouped_median(exploded, ["group"], "v")
+    return base.join(med, "group", "left").select(
+        "group", "count", "mean", F.round("median", STAT_DP).alias("median"), "std"
+    )
 
 
 def calendar_groups() -> dict[str, Column]:
@@ -150,7 +157,12 @@ def top_k(df: DataFrame, by: str, k: int = 10, tie: Sequence[str] = ()) -> DataF
     return df.orderBy(F.desc(by), *tie).limit(k)
 
 
-def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per group under ``order`` (row_number = 1)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First row per group under ascending ``order`` (then the remaining columns).
+
+    ``min(struct(order..., rest...))`` per group: a partial aggregate, so a
+    hot group is reduced map-side instead of being sorted in one window task.
+    """
+    rest = [c for c in df.columns if c not in set(group) | set(order)]
+    best = df.groupBy(*group).agg(F.min(F.struct(*order, *rest)).alias("_b"))
+    return best.select(*group, *[F.col(f"_b.{c}").alias(c) for c in list(order) + rest]).select(*df.columns)

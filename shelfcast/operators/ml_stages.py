@@ -1,7 +1,7 @@
 """Fitted preprocessing stages for Spark ML pipelines (M1-M4).
 
-* ``MedianIndicatorImputer``: median per numeric column fitted on the
-  training frame (one aggregate pass); missing-indicator columns only for
+* ``MedianIndicatorImputer``: exact median per numeric column fitted on the
+  training frame (one distributed, skew-safe pass; see ``quantiles``); missing-indicator columns only for
   columns that had nulls at fit; an all-null column imputes 0.
 * ``PopulationScaler``: divide by the population standard deviation (no
   centering); a zero or undefined deviation scales by 1. Indicators are
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import count_if
+from shelfcast.operators.quantiles import column_medians
 
 INDICATOR_SUFFIX = "__missing"
 
@@ -43,11 +44,9 @@ class MedianIndicatorImputer(Estimator, _ColsParams, DefaultParamsReadable, Defa
 
     def _fit(self, df: DataFrame) -> "MedianIndicatorImputerModel":
         cols = self.getInputCols()
-        row = df.agg(
-            *[F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-            *[count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-        ).first()
-        medians = [float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+        row = df.agg(*[count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        exact = column_medians(df, cols)
+        medians = [float(exact[c]) if exact[c] is not None else 0.0 for c in cols]
         indicators = [c for i, c in enumerate(cols) if row[f"n{i}"]]
         return MedianIndicatorImputerModel(inputCols=cols, medians=medians, indicatorCols=indicators)
 

@@ -72,15 +72,18 @@ def attach_features(
 def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(labeled 34 columns, future 33 columns)."""
     if validate:
-        R.check_oil(raw.oil)
-        R.check_transactions(raw.transactions)
-        R.check_holidays(raw.holidays)
+        audit_df = R.source_rules(raw.oil, raw.transactions, raw.holidays)
+        failed = [r.rule for r in audit_df.collect() if r.violations]
+        if "holidays_unknown_event" in failed:
+            H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
+        if failed:
+            raise R.ContractError(f"source tables violate their contracts: {sorted(failed)}")
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
     # Lookups are keyed by date or (date, store): computed once, size-checked once,
     # broadcast to both base tables.
     oil_lk = small_lookup(oil_lookup(dates, raw.oil), LOOKUP_ROWS)
     txn_lk = small_lookup(transaction_lookup(raw.transactions), LOOKUP_ROWS)
-    hol_lk = H.prepared_lookups(raw.holidays, check=validate)
+    hol_lk = H.prepared_lookups(raw.holidays, check=False)  # unknown events already audited
     labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, hol_lk, True, validate, "train")
     future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, hol_lk, False, validate, "test")
     return labeled, future

@@ -24,6 +24,7 @@ from shelfcast.plans import features as FT
 from shelfcast.sources import oracle as O
 from shelfcast.sources import readers as R
 from shelfcast.sources import testdata as TD
+from shelfcast.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, oracle_body: str | None = None):
     def deco(fn: Callable[["Ctx"], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Ctx(spark, sf_dir))
+            return fn(ctx_for(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -44,6 +45,18 @@ def register(name: str, oracle_body: str | None = None):
     return deco
 
 
+_CONTEXTS: dict[tuple[str, str], "Ctx"] = {}
+
+
+def ctx_for(spark: SparkSession, sf_dir: str) -> "Ctx":
+    """One context per (application, input folder): derived tables are built,
+    validated and materialised once per session and shared by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = Ctx(spark, sf_dir)
+    return _CONTEXTS[key]
+
+
 class Ctx:
     """Per-query access to the derived tables (lazy, memoised within one query)."""
 
@@ -81,7 +94,10 @@ class Ctx:
 
     @cached_property
     def tables(self) -> tuple[DataFrame, DataFrame]:
-        return FT.build_feature_tables(self.raw, validate=True)
+        """Validated feature tables, checkpointed into the shared checkpoint folder
+        (lineage cut: later plans start from the written table)."""
+        labeled, future = FT.build_feature_tables(self.raw, validate=True)
+        return materialize(labeled, "features"), materialize(future, "future_features")
 
     @property
     def features(self) -> DataFrame:
@@ -93,7 +109,7 @@ class Ctx:
 
     @cached_property
     def labeled_lagged(self) -> DataFrame:
-        return FT.add_sales_lags(self.features, self.sales)
+        return materialize(FT.add_sales_lags(self.features, self.sales), "labeled_lagged")
 
     @cached_property
     def store_dates(self) -> DataFrame:
@@ -920,7 +936,7 @@ FROM diagnostics GROUP BY family, store_nbr"""
 def best_per_group(c: Ctx) -> DataFrame:
     """Per family, the store with the lowest rmsle (then wape, then store)."""
     e = M.error_summary(c.diagnostics, ["family", "store_nbr"]).select("family", "store_nbr", "rmsle", "wape_pct")
-    return X.best_per_group(e, ["family"], [F.col("rmsle"), F.col("wape_pct"), F.col("store_nbr")])
+    return X.best_per_group(e, ["family"], ["rmsle", "wape_pct", "store_nbr"])
 
 
 @register("sorted_report", _err_sql(["store_nbr"]) + " ORDER BY absolute_error DESC, store_nbr")

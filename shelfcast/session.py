@@ -75,6 +75,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` once as a parquet table under the shared
+    checkpoint folder and reading it back (one computation; later plans start
+    from a pruned, filter-pushed scan and survive executor loss)."""
+    path = new_output_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 

@@ -57,6 +57,28 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def source_rules(oil: DataFrame, transactions: DataFrame, holidays: DataFrame) -> DataFrame:
+    """S3 + S4 + S5 + H2 in one action: the three small sources audited together."""
+    from shelfcast.operators.holidays import classify_events
+
+    require_columns(oil, S.OIL_COLUMNS, "oil")
+    require_columns(transactions, S.TRANSACTION_COLUMNS, "transactions")
+    require_columns(holidays, S.HOLIDAY_COLUMNS, "holidays")
+    v = F.col("dcoilwtico")
+    a = audit(oil, {"oil_null_date": F.col("date").isNull(),
+                    "oil_bad_price": v.isNotNull() & (~is_finite(v) | (v <= 0))},
+              unique={"oil_duplicate_date": ["date"]})
+    b = audit(transactions, {
+        "transactions_null_value": F.greatest(*[F.col(c).isNull() for c in S.TRANSACTION_COLUMNS]),
+        "transactions_negative": F.col("transactions") < 0,
+    }, unique={"transactions_duplicate_date_store": ["date", "store_nbr"]})
+    c = audit(classify_events(holidays), {
+        "holidays_null_value": F.greatest(*[F.col(x).isNull() for x in S.HOLIDAY_COLUMNS]),
+        "holidays_unknown_event": F.col("is_unknown_event"),
+    })
+    return a.unionByName(b).unionByName(c)
+
+
 def check_oil(oil: DataFrame) -> DataFrame:
     """S3: dates valid and unique; available prices finite and positive."""
     require_columns(oil, S.OIL_COLUMNS, "oil")

@@ -87,8 +87,21 @@ class Source:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self) -> None:
+        self._daily: DataFrame | None = None
+        self._raw: dict[str, DataFrame] = {}
+
+    def daily_sales(self) -> DataFrame:
+        """All daily sales, derived once per source and cached (one lineitem scan)."""
+        if self._daily is None:
+            self._daily = self.sales_all().cache()
+        return self._daily
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        """One DataFrame per input table (file listing and footer reads happen once)."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        return self._raw[name]
 
     # -- dimensions -----------------------------------------------------------
     def stores_raw(self) -> DataFrame:
@@ -151,16 +164,18 @@ class Source:
 
     def sales(self, end: dt.date = INTERNAL_TEST_END) -> DataFrame:
         """Labeled base table (train.csv shape) up to ``end``."""
-        return self.with_id(self.sales_all(end=end)).select(
+        daily = self.daily_sales().filter(F.col("date") <= d(end))
+        return self.with_id(daily).select(
             "id", "date", "store_nbr", "family", "sales", "onpromotion"
         )
 
     def future(self, start: dt.date = FUTURE_START, days: int = 16) -> DataFrame:
         """Future base (test.csv shape): every observed pair on each of ``days`` days."""
         end = start + dt.timedelta(days=days - 1)
-        pairs = self.sales_all(end=start - dt.timedelta(days=1)).select("store_nbr", "family").distinct()
+        daily = self.daily_sales()
+        pairs = daily.filter(F.col("date") < d(start)).select("store_nbr", "family").distinct()
         grid = pairs.withColumn("date", F.explode(F.sequence(d(start), d(end))))
-        promo = self.sales_all(start=start, end=end).select("date", "store_nbr", "family", "onpromotion")
+        promo = daily.filter(F.col("date").between(d(start), d(end))).select("date", "store_nbr", "family", "onpromotion")
         base = grid.join(promo, ["date", "store_nbr", "family"], "left").withColumn(
             "onpromotion", F.coalesce("onpromotion", F.lit(0).cast("long"))
         )
@@ -193,9 +208,7 @@ class Source:
         )
 
     def _years(self) -> tuple[int, int]:
-        row = self.raw("lineitem").agg(
-            F.min(F.year("l_shipdate")).alias("y0"), F.max(F.year("l_shipdate")).alias("y1")
-        ).first()
+        row = self.daily_sales().agg(F.min(F.year("date")).alias("y0"), F.max(F.year("date")).alias("y1")).first()
         return int(row.y0), int(row.y1)
 
     def holidays(self) -> DataFrame:

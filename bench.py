@@ -27,7 +27,9 @@ HEADLINE = [
     "error_summary_store",      # A14
     "family_summary",           # A9
     "rolling_28d",              # W1
-    "score_batch",              # M10 + M11: fit + score the 16-day batch
+    "fit_bundle",               # M10: fit preprocessing + ridge on every modelled row
+    "score_batch",              # M11: validate + score the 16-day batch (fitted bundle)
+    "batch_inference",          # M12: checks, coverage, sales lags, score, write
     "request_rollup",           # R1
 ]
 
@@ -44,7 +46,7 @@ def main() -> None:
         df = registry.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
-        if name == "score_batch":
+        if name in ("score_batch", "batch_inference"):
             rows[name] = df.count()
     total = round(sum(times.values()), 3)
     out = {
@@ -54,6 +56,8 @@ def main() -> None:
         "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "scored_rows": rows.get("score_batch"),
+        "batch_inference_rows_per_sec": round(rows["batch_inference"] / times["batch_inference"], 1)
+        if rows.get("batch_inference") else None,
     }
     print(json.dumps(out))
     spark.stop()

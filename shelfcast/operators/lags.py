@@ -72,7 +72,7 @@ def exact_lags(
             raise ContractError(f"{prefix} history must be unique by {[date_col, *keys]} ({extra} extra rows).")
     lookup = exact_lag_lookup(history, keys, value, lags, prefix, date_col)
     names = _lag_names(prefix, lags)
-    out = base.join(lookup, [date_col, *keys], "left")
+    out = base.join(lookup, [date_col, *keys], "left").select(*base.columns, *names)
     if count_col:
         out = out.withColumn(count_col, nonnull_count(names))
     return out

@@ -778,8 +778,7 @@ def internal_test(c: Ctx) -> DataFrame:
 @register("fit_bundle")
 def fit_bundle(c: Ctx) -> DataFrame:
     """Final fit on every modelled labeled row; the manifest as one row."""
-    train, val, test = _model_frames(c)
-    bundle = _ridge_bundle(c, train.unionByName(val).unionByName(test))
+    bundle = _final_bundle(c)
     md = bundle["metadata"]
     return c.spark.createDataFrame(
         [(md["method"], md["training_rows"], md["training_start"], md["training_end"], len(md["assembled_columns"]),
@@ -789,8 +788,11 @@ def fit_bundle(c: Ctx) -> DataFrame:
 
 
 def _final_bundle(c: Ctx) -> dict:
-    train, val, test = _model_frames(c)
-    return _ridge_bundle(c, train.unionByName(val).unionByName(test))
+    """Final fit on every modelled labeled row, once per session context."""
+    if getattr(c, "_bundle", None) is None:
+        train, val, test = _model_frames(c)
+        c._bundle = _ridge_bundle(c, train.unionByName(val).unionByName(test))
+    return c._bundle
 
 
 @register("score_batch")

@@ -2,11 +2,12 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of 100 TB would land in one
-task. Here the values are range-partitioned on (group, value) instead: a
-hot group is split across many sorted partitions, each row's rank inside
-its group is its offset within the partition plus the counts of the
-group's earlier partitions (a table of at most partitions x groups rows),
-and only the one or two middle rows per group survive the final filter.
+task. Here (group, value) counts are range-partitioned on (group, value)
+instead: a hot group is split across many sorted partitions, each value's
+rank range inside its group is its running weight within the partition plus
+the weights of the group's earlier partitions (a table of at most
+partitions x groups rows), and only the one or two values covering the
+middle ranks survive the final filter.
 """
 
 from __future__ import annotations
@@ -20,26 +21,30 @@ from pyspark.sql.window import Window
 
 def grouped_median(df: DataFrame, group: Sequence[str], value: str, alias: str = "median") -> DataFrame:
     """(*group, alias): exact median of non-null ``value`` per group; groups with no
-    values are absent. Position (n-1)/2, linear interpolation between neighbours."""
+    values are absent. Position (n-1)/2, linear interpolation between neighbours.
+
+    Repeated values are first collapsed to (group, value, weight) by a partial
+    aggregate, so low-cardinality columns shrink to a few rows before any
+    shuffle; ranks are prefix sums of weights.
+    """
     g = list(group)
     v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = (
-        v.repartitionByRange(*g, "_v")
-        .sortWithinPartitions(*g, "_v")
-        .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    )
-    per_part = ranged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    vc = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    counts = vc.groupBy(*g).agg(F.sum("_w").alias("_n"))
+    ranged = vc.repartitionByRange(*g, "_v").withColumn("_pid", F.spark_partition_id())
+    inside = Window.partitionBy("_pid", *g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.withColumn("_cum", F.sum("_w").over(inside))
+    per_part = ranged.groupBy("_pid", *g).agg(F.sum("_w").alias("_c"))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per_part = per_part.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    ranked = ranged.join(per_part, ["_pid", *g]).withColumn(
-        "_rank", F.col("_before") + (F.col("_mid") - F.col("_m0"))
-    )
+    ranked = ranged.join(per_part, ["_pid", *g]).join(counts, g)
+    end = F.col("_before") + F.col("_cum")  # this value covers ranks [end - w, end - 1]
+    start = end - F.col("_w")
     pos_lo = F.floor((F.col("_n") - 1) / 2)
     pos_hi = F.ceil((F.col("_n") - 1) / 2)
-    mid = ranked.join(counts, g).filter((F.col("_rank") == pos_lo) | (F.col("_rank") == pos_hi))
+    hit = ((start <= pos_lo) & (pos_lo < end)) | ((start <= pos_hi) & (pos_hi < end))
     lo, hi = F.min("_v"), F.max("_v")
-    return mid.groupBy(*g).agg((lo + (hi - lo) * F.lit(0.5)).alias(alias))
+    return ranked.filter(hit).groupBy(*g).agg((lo + (hi - lo) * F.lit(0.5)).alias(alias))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

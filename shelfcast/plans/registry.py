@@ -1178,11 +1178,11 @@ def rollup_checks(c: Ctx) -> DataFrame:
 @register("request_rollup_stream", f"""SELECT CAST(date_trunc('day', timestamp_utc) AS DATE) AS window_start, {_KP} AS path, count(*) AS request_count,
   {_AVG} AS average_ms, max(latency_ms) AS maximum_ms FROM request_log GROUP BY 1, 2""")
 def request_rollup_stream(c: Ctx) -> DataFrame:
-    """R1 streaming: events file stream -> daily windows per path (complete mode, checkpointed)."""
+    """R1 streaming: events file stream -> daily windows per path (update mode, watermark-bounded state)."""
     out = new_output_path(c.spark, "rollup")
     stream = TD.request_log_from(c.src.events_stream())
     SJ.run_rollup_stream(c.spark, stream, out, new_output_path(c.spark, "rollup_ckpt"))
-    res = c.spark.read.parquet(out)
+    res = SJ.latest_rollup(c.spark, out)
     return res.select(F.to_date("window_start").alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
 
 

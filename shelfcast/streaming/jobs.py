@@ -1,8 +1,9 @@
 """Structured Streaming jobs.
 
-* ``run_rollup_stream``: request-log files -> windowed per-path rollup; each
-  micro-batch of the complete-mode aggregate replaces a parquet table in
-  the shared folder (checkpointed, restartable after executor or driver loss).
+* ``run_rollup_stream``: request-log files -> windowed per-path rollup in
+  update mode (watermark-bounded state); changed windows are appended per
+  micro-batch and ``latest_rollup`` reads the newest version (checkpointed,
+  restartable after executor or driver loss).
 * ``run_scoring_stream`` (R3): arriving JSON Lines record files, one file per
   micro-batch (= one complete future batch); each batch is parsed and
   validated (S17/V8), checked for the window and pair coverage, given exact
@@ -30,22 +31,34 @@ from shelfcast.streaming.requests import path_rollup_stream
 
 def run_rollup_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
                       window: str = "1 day", watermark: str = "1 hour") -> str:
+    """Update-mode rollup: only windows changed by a micro-batch are emitted and
+    appended with their batch id; state for windows behind the watermark is
+    dropped, so state stays bounded on an endless stream. ``latest_rollup``
+    reads the newest version of every (window, path)."""
     agg = path_rollup_stream(source, window, watermark).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
         "path", "request_count", "average_ms", "maximum_ms",
     )
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
 
     q = (
-        agg.writeStream.outputMode("complete").foreachBatch(replace)
+        agg.writeStream.outputMode("update").foreachBatch(append)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return out_path
 
 
+def latest_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """Newest emitted version per (window_start, path): a partial aggregate, no window."""
+    rows = spark.read.parquet(path)
+    vals = ["window_end", "request_count", "average_ms", "maximum_ms"]
+    best = rows.groupBy("window_start", "path").agg(F.max(F.struct("batch_id", *vals)).alias("_b"))
+    return best.select("window_start", "path", *[F.col(f"_b.{c}").alias(c) for c in vals])
+
+
 def run_scoring_stream(
     spark: SparkSession,
     input_dir: str,
@@ -102,4 +115,4 @@ def run_scoring_stream(
     return out_path
 
 
-__all__ = ["run_rollup_stream", "run_scoring_stream", "ContractError"]
+__all__ = ["run_rollup_stream", "latest_rollup", "run_scoring_stream", "ContractError"]

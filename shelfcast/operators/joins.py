@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfcast import schemas as S
 from shelfcast.functions.columns import count_if, day_of_week_iso
 from shelfcast.operators.contracts import ContractError, audit, duplicate_counts, enforce
-from shelfcast.session import broadcast_if_small
+from shelfcast.session import broadcast_if_small, small_lookup
 
 DIM_ROWS = 5_000_000
 
@@ -93,16 +93,22 @@ def attach_m1(
     return joined
 
 
-def store_join(base: DataFrame, stores: DataFrame, name: str = "base", validate: bool = True) -> DataFrame:
-    """Attach store metadata (m:1); every store must exist; stores broadcast when small."""
-    if validate:
-        enforce(base_rules(base), name)
-        enforce(store_rules(stores), "stores")
-    st = broadcast_if_small(stores.select("store_nbr", *S.STORE_OUTPUT_COLUMNS), DIM_ROWS)
+def store_join(
+    base: DataFrame, stores: DataFrame, name: str = "base", validate: bool = True, stores_checked: bool = False
+) -> DataFrame:
+    """Attach store metadata (m:1); every store must exist.
+
+    Stores are cached and broadcast after a bounded count. With ``validate``
+    the base contract (V1) and the "store exists" rule run as ONE action; the
+    store contract (V2) runs unless the caller already checked it.
+    """
+    st = small_lookup(stores.select("store_nbr", *S.STORE_OUTPUT_COLUMNS), DIM_ROWS)
     if validate:
-        n_missing = missing_keys(base.select("store_nbr"), st, ["store_nbr"]).count()
-        if n_missing:
-            raise ContractError(f"{name} contains {n_missing:,} rows whose store_nbr is absent from stores.")
+        if not stores_checked:
+            enforce(store_rules(stores), "stores")
+        known = base.select("store_nbr").join(st.select("store_nbr", F.lit(True).alias("_known")), "store_nbr", "left")
+        rules = base_rules(base).unionByName(audit(known, {"store_absent_from_stores": F.col("_known").isNull()}))
+        enforce(rules, name)
     return base.join(st, "store_nbr", "left").select(*base.columns, *S.STORE_OUTPUT_COLUMNS)
 
 

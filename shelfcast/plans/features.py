@@ -58,7 +58,7 @@ def attach_features(
     validate: bool = True,
     name: str = "base",
 ) -> DataFrame:
-    df = store_join(base, stores, name=name, validate=validate)
+    df = store_join(base, stores, name=name, validate=validate, stores_checked=validate)
     df = add_calendar_features(df)
     df = df.join(oil_lk, "date", "left")
     df = df.join(txn_lk, ["date", "store_nbr"], "left").withColumn(
@@ -78,6 +78,9 @@ def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFra
             H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
         if failed:
             raise R.ContractError(f"source tables violate their contracts: {sorted(failed)}")
+        from shelfcast.operators.joins import store_rules
+
+        enforce(store_rules(raw.stores), "stores")
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
     # Lookups are keyed by date or (date, store): computed once, size-checked once,
     # broadcast to both base tables.

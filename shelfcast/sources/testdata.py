@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfcast.session import broadcast_if_small
+from shelfcast.session import small_lookup
 
 # --- fixed values: evaluation windows of the driver data --------------------
 ID_EPOCH = dt.date(1995, 1, 1)
@@ -154,7 +154,9 @@ class Source:
         )
 
     def with_id(self, df: DataFrame) -> DataFrame:
-        fam = broadcast_if_small(self.families(), 10_000)
+        if "_fam" not in self._raw:
+            self._raw["_fam"] = small_lookup(self.families(), 10_000)
+        fam = self._raw["_fam"]
         return df.join(fam, "family").withColumn(
             "id",
             F.datediff("date", d(ID_EPOCH)).cast("long") * F.lit(100000)

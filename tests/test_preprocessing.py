@@ -151,7 +151,7 @@ def test_store_join_preserves_rows_and_rejects_missing_metadata(spark):
 
 def test_store_join_rejects_unknown_store(spark):
     other = spark.createDataFrame([(9, "X", "Y", "A", 1)], "store_nbr int, city string, state string, store_type string, store_cluster int")
-    with pytest.raises(ContractError, match="absent from stores"):
+    with pytest.raises(ContractError, match="store_absent_from_stores"):
         J.store_join(_base(spark), other)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -60,7 +59,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
@@ -104,20 +104,9 @@ def small_lookup(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataF
     return F.broadcast(cached) if n <= max_rows else cached
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for driver-side checks in local mode."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of ``path``."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def ensure_parent(path: str) -> None:
-    parent = os.path.dirname(local_path(path))
-    if parent and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-        os.makedirs(parent, exist_ok=True)

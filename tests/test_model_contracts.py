@@ -176,3 +176,19 @@ def test_zero_actual_total_raises_but_segment_is_null(spark):
         forecast_metrics(df).collect()
     row = error_summary(df, ["seg"]).first()
     assert row.wape_pct is None and row.error_contribution_pct == 100.0
+
+
+def test_strict_csv_scan(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_text("id,date,store_nbr,family,sales,onpromotion\n1,2017-01-01,1,GROCERY I,5.5,0\n")
+    df = R.read_table(spark, str(good), S.BASE_SCHEMA, fmt="csv")
+    row = df.first()
+    assert row.date == D(2017, 1, 1) and row.sales == 5.5 and df.schema == S.BASE_SCHEMA
+    bad = tmp_path / "bad.csv"
+    bad.write_text("id,store_nbr,date,family,sales,onpromotion\n1,1,2017-01-01,GROCERY I,5.5,0\n")
+    with pytest.raises(Exception):
+        R.read_table(spark, str(bad), S.BASE_SCHEMA, fmt="csv").collect()
+    overflow = tmp_path / "overflow.csv"
+    overflow.write_text("id,date,store_nbr,family,sales,onpromotion\n1,2017-01-01,99999999999,GROCERY I,5.5,0\n")
+    with pytest.raises(Exception):
+        R.read_table(spark, str(overflow), S.BASE_SCHEMA, fmt="csv").collect()

@@ -1101,7 +1101,7 @@ def holiday_evidence(c: Ctx) -> DataFrame:
 _REC5 = ["id", "date", "store_nbr", "family", "onpromotion"]
 
 
-@register("json_records", "SELECT to_json(struct_pack(" + ", ".join(f"{x} := {x}" for x in _REC5) + ")) AS record FROM future")
+@register("json_records", "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{x} := {x}" for x in _REC5) + ")) AS VARCHAR) AS record FROM future")
 def json_records(c: Ctx) -> DataFrame:
     """Future rows as JSON records (ISO dates)."""
     return REC.to_records(c.future, _REC5)

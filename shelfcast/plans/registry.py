@@ -1183,7 +1183,8 @@ def request_rollup_stream(c: Ctx) -> DataFrame:
     stream = TD.request_log_from(c.src.events_stream())
     SJ.run_rollup_stream(c.spark, stream, out, new_output_path(c.spark, "rollup_ckpt"))
     res = SJ.latest_rollup(c.spark, out)
-    return res.select(F.to_date("window_start").alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))  # UTC day, any session zone
+    return res.select(day.alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
 
 
 @register("stream_score")

@@ -278,7 +278,11 @@ def request_log_from(ev: DataFrame) -> DataFrame:
     )
     frame = ev.select(
         F.lit("http_request").alias("event"),
-        F.col("ts").cast("timestamp").alias("timestamp_utc"),
+        # the log's wall-clock times are UTC: build the instant independently of the session zone
+        F.to_timestamp(
+            F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")),
+            "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX",
+        ).alias("timestamp_utc"),
         F.col("event_id").cast("string").alias("request_id"),
         F.when(path == "/forecast", "POST").otherwise("GET").alias("method"),
         path.alias("path"),

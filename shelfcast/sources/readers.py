@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast import schemas as S
-from shelfcast.functions.columns import count_if, is_finite
+from shelfcast.functions.columns import is_finite
 from shelfcast.operators.contracts import ContractError, audit, enforce, require_columns
 from shelfcast.session import path_exists
 
@@ -213,5 +213,5 @@ def write_forecast(forecast: DataFrame, path: str, overwrite: bool = False, fmt:
 __all__ = [
     "read_table", "csv_header", "check_oil", "check_transactions", "check_holidays",
     "processed_rules", "history_window", "history_rules", "write_table", "write_compact_history",
-    "read_compact_history", "forecast_rules", "write_forecast", "count_if",
+    "read_compact_history", "forecast_rules", "write_forecast", "source_rules", "ContractError",
 ]

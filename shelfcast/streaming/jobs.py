@@ -18,10 +18,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfcast.operators import guards as G
-from shelfcast.operators.contracts import ContractError
 from shelfcast.operators.joins import pair_coverage
 from shelfcast.plans import model as MD
 from shelfcast.plans.features import add_sales_lags
@@ -115,4 +113,4 @@ def run_scoring_stream(
     return out_path
 
 
-__all__ = ["run_rollup_stream", "latest_rollup", "run_scoring_stream", "ContractError"]
+__all__ = ["run_rollup_stream", "latest_rollup", "run_scoring_stream"]

@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from shelfcast.llm import exact_dedup, minhash_dedup, packing, tokens
+from pyspark.sql import functions as F
+
+from shelfcast.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_extract,
+    language_id,
+    lz_fingerprint,
+    minhash_dedup,
+    packing,
+    token_scan,
+    tokens,
+)
+from shelfcast.llm.scratch import Scratch
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The first id that the rank files leave free.
+END_ID = 50_256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +40,44 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_dedup(_table(spark, sf_dir, "documents"), width=3, least=85)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern)
+    decoded = byte_bpe.decode_documents(encoded, ranks, pattern)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    samples = language_id.sample_texts(docs.where(~held_out))
+    found = language_id.identify_language(docs, samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    args = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    files = token_scan.token_files(docs, tokens.rank_encoder, *args, end_id=END_ID)
+    with Scratch(spark) as tmp:
+        files = tmp.write(files, "token-files", keep=True)
+    counts = token_scan.token_counts(files, END_ID)
+    return counts.where("terminated").select("doc_id", "n_tokens")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +85,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_lz_fingerprint": op6_lz_fingerprint,
+    "op7_language_id": op7_language_id,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

@@ -152,3 +152,23 @@ def _verified(source: DataFrame, suspects: DataFrame) -> DataFrame:
     normal = known.select("id", F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER).alias("text"))
     same = normal.groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
     return same.where("size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "size")
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``found``, the result of exact_dedup, keeps; all columns stay.
+
+    Defined cases: of rows that repeat both id and text one stays, whichever
+    its other columns; a null id is like any other value.
+    """
+    kept = found.where("kept").groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = kept.agg(F.max(F.lit(1)).alias("__one"))
+    repeated = found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n"))
+    normal = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), _UPPER, _LOWER)
+    marked = docs.withColumn("__text", F.sha2(normal, 256))
+    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
+    out = marked.join(kept, same, "left_semi")
+    twice = repeated.where("__n > 1")
+    if not twice.isEmpty():
+        again = out.join(twice, same, "left_semi").dropDuplicates([id_col, "__text"])
+        out = out.join(twice, same, "left_anti").unionByName(again)
+    return out.select(*docs.columns)

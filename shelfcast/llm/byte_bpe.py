@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import hashing
-from shelfcast.llm.tokens import ChunkEncoder, Memo, cached_encoder
 
 
 class PerfectHash:
@@ -83,17 +84,26 @@ def _hash_all(keys: list[bytes]) -> np.ndarray:
 
 
 class ByteBpe:
-    """Encodes and decodes by ``ranks``, a file of base64 tokens and their ids."""
+    """Encodes and decodes by ``ranks``, a file of base64 tokens and their ids.
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 300_000):
+    Ids of the last ``memo`` different pre-tokens at most are held, flat, for
+    the next texts; the store starts anew when it is full.
+    """
+
+    def __init__(self, ranks: str, pattern: str, memo: int = 600_000):
         with open(ranks, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.keys = list(self.ranks)
         self.ids = np.fromiter(self.ranks.values(), np.int32, len(self.keys))
         self.whole = PerfectHash(self.keys)
         self.split = regex.compile(pattern)
-        self.memo = Memo(memo)
         self.token_bytes = {i: k for k, i in self.ranks.items()}
+        self.most = memo
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.stop = array("i"), array("q", [0])
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token that is not a token: the pair of lowest rank, leftmost first, is merged."""
@@ -122,25 +132,34 @@ class ByteBpe:
             at = after[at]
         return out
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token."""
-        out = [self.memo.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
-            asked = [words[i] for i in missing]
-            for i, word, key in zip(missing, asked, self.whole.candidates(asked).tolist()):
-                out[i] = [int(self.ids[key])] if self.keys[key] == word else self.merge(word)
-                if len(word) <= 64:
-                    self.memo.put(word, out[i])
-        return out
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, its matches of the pattern encoded separately."""
+    def _learn(self, words: list[str]) -> None:
+        """Stores the ids of pre-tokens not stored yet."""
+        asked = [w.encode() for w in words]
+        for text, word, key in zip(words, asked, self.whole.candidates(asked).tolist()):
+            if self.keys[key] == word:
+                self.flat.append(int(self.ids[key]))
+            else:
+                self.flat.extend(self.merge(word))
+            self.number[text] = len(self.number)
+            self.stop.append(len(self.flat))
+
+    def column(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each match of the pattern encoded separately, and the n + 1 bounds of each text's ids."""
+        if len(self.number) > self.most:
+            self._clear()
         parts = [self.split.findall(t) for t in texts]
-        known: dict[str, int] = {}
-        at = [[known.setdefault(w, len(known)) for w in p] for p in parts]
-        ids = self.words([w.encode() for w in known])
-        return [np.array([x for k in p for x in ids[k]], np.int32) for p in at]
+        words = list(chain.from_iterable(parts))
+        found = list(map(self.number.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, at in zip(words, found) if at is None)))
+            found = list(map(self.number.__getitem__, words))
+        at = np.array(found, np.int64)
+        stop = np.array(self.stop, np.int64)
+        take = stop[at + 1] - stop[at]
+        ends = np.cumsum(take)
+        out = np.array(self.flat, np.int32)[np.repeat(stop[at] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.cumsum([0, *map(len, parts)])
+        return out, np.concatenate([[0], ends])[bounds]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -156,12 +175,11 @@ def model(ranks: str, pattern: str) -> ByteBpe:
     return _models[ranks, pattern]
 
 
-def chunk_encoder(ranks: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(model(ranks, pattern).texts, leading_space=True, memo=100_000)
-
-
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) of every row's whole text, one row for one row.
+def encode_documents(
+    docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False
+) -> DataFrame:
+    """(id_col, ids array<int>) of every row's whole text, one row for one row;
+    with ``decode`` also ``decoded``, the bytes that these ids stand for.
 
     Defined cases: a null or empty text has no ids (an empty array). Text like
     a special token is ordinary text. Rows that repeat an id, or have none, are
@@ -169,14 +187,19 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached_encoder(chunk_encoder, ranks, pattern)
-        for piece in hashing.slices(batches, "text", 16 << 20):
-            ids, bounds = encoder.column(piece.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column("id"), lists], names=["id", "ids"])
+        bpe = model(ranks, pattern)
+        for piece in hashing.slices(batches, "text", 4 << 20):
+            ids, bounds = bpe.column([t or "" for t in piece.column("text").to_pylist()])
+            columns = [piece.column("id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+            if decode:
+                listed = ids.tolist()
+                texts = [bpe.decode(listed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                columns.append(pa.array(texts, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    schema = "id long, ids array<int>" + (", decoded binary" if decode else "")
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -48,9 +48,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern)
-    decoded = byte_bpe.decode_documents(encoded, ranks, pattern)
-    return decoded.select(
+    encoded = byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern, decode=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

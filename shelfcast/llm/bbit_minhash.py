@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,23 +99,30 @@ def link_components(
     banding: Banding,
     floor: float,
     texts: Callable[[DataFrame], DataFrame],
-    confirm: Callable,
+    width: int,
+    least: int,
     cell: int = 256,
 ) -> DataFrame:
     """(id, component) of the nodes that are linked with another.
 
-    ``classes`` is a written table (node, bits, keys), one row per distinct
-    set; ``texts`` gives (node, text) for a frame of nodes; ``confirm`` is the
-    exact test of two text columns. Pairs whose estimate is under ``floor``
-    (well under the similarity asked for) are not confirmed.
+    ``classes`` is a written table (node, n, bits, keys), one row per distinct
+    set of n shingles of ``width`` words; ``texts`` gives (node, text) for a
+    frame of nodes. Linked are sets with 100 * |A & B| >= least * |A | B|. Pairs
+    whose estimate is under ``floor`` (well under that) are not confirmed.
 
     First every member of a bucket is tested against the bucket's smallest
-    node. Then, in buckets that still hold several components, all pairs of
-    nodes in different components are tested, in cells of about ``cell``
-    members a side, so no bucket gathers in one task and a large group of
-    copies never yields all its pairs. Pairs inside one component need no
+    node. Then, in buckets that still hold several components, nodes in
+    different components are tested, in cells of about ``cell`` members a
+    side, so no bucket gathers in one task. Pairs inside one component need no
     test: they change no component.
+
+    In a large group of copies with many edits each, most nodes end alone, and
+    testing all their pairs would grow with its square. An exact bound spares
+    that: shingles that only one node of the open buckets has are in no
+    intersection, so |A & B| is at most the smaller count of the others, and
+    nodes and pairs that cannot reach ``least`` are left out.
     """
+    confirm = jaccard_confirm(width, least, 100)
     spark = classes.sparkSession
     with Scratch(spark) as tmp:
         exploded = classes.select("node", F.explode("keys").alias("key"))
@@ -141,18 +149,27 @@ def link_components(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
         )
         split = tmp.write(split.where("low != high").select("key", "n"), "split")
-        open_ = placed.select("key", "node", "component").join(split, "key").join(bits, "node")
+        open_ = placed.select("key", "node", "component").join(split, "key")
+        owned = shared.join(open_.select("node").distinct(), "node", "left_semi")
+        single = owned.mapInArrow(_items(width), "node long, item long").groupBy("item")
+        single = single.agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+        single = tmp.write(single.groupBy("node").agg(F.count(F.lit(1)).alias("own_items")), "single")
+        sized = classes.select("node", "bits", F.col("n").alias("items")).join(single, "node", "left")
+        sized = sized.withColumn("common", F.col("items") - F.coalesce("own_items", F.lit(0)))
+        sized = sized.where(F.col("common") * 100 >= F.col("items") * least).select("node", "bits", "items", "common")
+        open_ = open_.join(sized, "node")
         cells = F.ceil(F.col("n") / cell).cast("long")
         open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), cells))
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
         open_ = tmp.write(
             open_.select(
-                "key", "node", "component", "bits", "own",
+                "key", "node", "component", "bits", "items", "common", "own",
                 F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"),
             ),
             "open",
         )
         x, y = open_.alias("x"), open_.alias("y")
+        most = F.least("x.common", "y.common")
         same_cell = (
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.cell_a") == F.col("y.cell_a"))
@@ -164,6 +181,7 @@ def link_components(
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
             & ((F.col("x.cell_a") == F.col("x.cell_b")) | (F.col("x.own") != F.col("y.own")))
+            & (most * 100 >= (F.col("x.items") + F.col("y.items") - most) * least)
             & (estimated_similarity(F.col("x.bits"), F.col("y.bits"), banding.k) >= floor),
         ).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         pairs = pairs.distinct().join(star, ["u", "v"], "left_anti")
@@ -173,6 +191,22 @@ def link_components(
         return connected_components(links.unionByName(more), "u", "v")
 
 
+def _items(width: int):
+    """(node, item) for every shingle of each node's text."""
+
+    def run(batches):
+        for piece in hashing.slices(batches, "text"):
+            data, bounds = hashing.text_bytes(piece.column("text"))
+            words, first = hashing.word_hashes(data, bounds)
+            sets = [np.unique(hashing.shingle_hashes(words[a:b], width)) for a, b in zip(first[:-1], first[1:])]
+            own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("node").take(pa.array(own)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "item"]
+            )
+
+    return run
+
+
 def jaccard_confirm(width: int, least: int, of: int):
     """An exact test of two text columns: of * intersection >= least * union of
     their sets of ``width``-word shingles. Sets are taken from the whole texts."""

@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import hashing
-from shelfcast.llm.bbit_minhash import Banding, Sketcher, jaccard_confirm, link_components, set_digest
+from shelfcast.llm.bbit_minhash import Banding, Sketcher, link_components, set_digest
 from shelfcast.llm.scratch import Scratch
 
 #: At similarity 0.8 a pair is missed with probability 5e-5, at 0.85 with 4e-7.
 BANDING = Banding(rows=5, bands=25, k=128)
 #: The estimate from 128 values has a standard deviation of at most 0.05.
 MARGIN = 0.22
-_SCHEMA = "id long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>"
+_SCHEMA = "id long, tie long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>"
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, width: int, banding: Banding) -> DataFrame:
-    """(id, n_shingles, h1, h2, keys, bits) of every row; keys and bits are null for an empty set."""
+    """(id, tie, n_shingles, h1, h2, keys, bits) of every row; keys and bits are null for an empty set.
+
+    ``tie`` is a hash of the text, which tells rows that repeat an id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(banding)
@@ -44,17 +47,22 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, width: int, bandin
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("id"),
+                    piece.column("tie"),
                     pa.array(n, pa.int64()),
                     pa.array([x[0] for x in named], pa.int64()),
                     pa.array([x[1] for x in named], pa.int64()),
                     pa.array(lists["keys"], pa.list_(pa.int64())),
                     pa.array(lists["bits"], pa.list_(pa.int64())),
                 ],
-                names=["id", "n_shingles", "h1", "h2", "keys", "bits"],
+                names=["id", "tie", "n_shingles", "h1", "h2", "keys", "bits"],
             )
 
+    return _source(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, _SCHEMA)
+    return source.withColumn("tie", F.xxhash64("text"))
 
 
 def minhash_dedup(
@@ -83,22 +91,21 @@ def minhash_dedup(
         table = tmp.write(sketch_table(docs, id_col, text_col, width, banding), "sketches")
         known = table.where("id is not null and n_shingles > 0")
         classes = known.groupBy("h1", "h2").agg(
-            F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
+            F.min(F.struct("id", "tie")).alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
         )
         # The node id is generated once, in a written table, so it is fixed from here on.
         classes = tmp.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
         def texts(nodes: DataFrame) -> DataFrame:
-            reps = classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("id"))
-            source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            return source.join(reps, "id").select("node", "text").distinct()
+            reps = classes.join(nodes, "node", "left_semi").select("node", "rep.id", "rep.tie")
+            same = _source(docs, id_col, text_col).join(reps, ["id", "tie"])
+            return same.groupBy("node").agg(F.first("text").alias("text"))
 
-        found = link_components(
-            classes.select("node", "keys", "bits"), banding, least / 100 - MARGIN, texts, jaccard_confirm(width, least, 100)
-        )
+        sets = classes.select("node", "n", "keys", "bits")
+        found = link_components(sets, banding, least / 100 - MARGIN, texts, width, least)
         # A repeated id may stand in several classes: those are one document, so ids are joined up too.
         own = known.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("rows"))
-        named = classes.select("h1", "h2", "node", "rep").join(found.withColumnRenamed("id", "node"), "node", "left")
+        named = classes.select("h1", "h2", "node", F.col("rep.id").alias("rep")).join(found.withColumnRenamed("id", "node"), "node", "left")
         named = named.withColumn("component", F.coalesce("component", "node"))
         lows = tmp.write(named.groupBy("component").agg(F.min("rep").alias("low")), "lows")
         named = tmp.write(named.join(lows, "component").select("h1", "h2", "low"), "named")

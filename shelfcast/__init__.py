@@ -11,6 +11,6 @@ DataFrame API so Catalyst can prune, push down and plan it. Sub-packages:
 * ``streaming`` request-log rollups and file-stream batch scoring
 """
 
-from shelfcast.session import get_spark, scratch_dir, checkpoint, broadcast_if_small
+from shelfcast.session import checkpoint, get_spark, scratch_dir
 
-__all__ = ["get_spark", "scratch_dir", "checkpoint", "broadcast_if_small"]
+__all__ = ["get_spark", "scratch_dir", "checkpoint"]

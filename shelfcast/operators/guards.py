@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
@@ -17,6 +17,22 @@ from shelfcast.operators.contracts import ContractError, audit, forbid_columns,
 from shelfcast.operators.splits import pair_horizon
 
 
+def window_row_rules(cutoff: dt.date, horizon: int = S.FORECAST_HORIZON_DAYS) -> dict[str, Column]:
+    """The rules of V4 that one row can break."""
+    first, last = cutoff + dt.timedelta(days=1), cutoff + dt.timedelta(days=horizon)
+    d = F.col("date")
+    known = S.CATEGORICAL_FEATURES + ["onpromotion"] + S.HOLIDAY_FEATURE_COLUMNS
+    return {
+        "null_base_key": F.greatest(*[F.col(k).isNull() for k in S.BASE_KEY]),
+        "null_id": F.col("id").isNull(),
+        "date_outside_window": ~d.between(F.lit(first), F.lit(last)),
+        "missing_known_context": F.greatest(*[F.col(c).isNull() for c in known]),
+        "month_mismatch": F.col("month") != F.month(d),
+        "day_of_month_mismatch": F.col("day_of_month") != F.dayofmonth(d),
+        "day_of_week_mismatch": F.col("day_of_week") != day_of_week_iso(d),
+    }
+
+
 def window_rules(future: DataFrame, cutoff: dt.date, horizon: int = S.FORECAST_HORIZON_DAYS) -> DataFrame:
     """V4: the future batch is exactly the ``horizon`` days after ``cutoff``, complete per pair."""
     require_columns(future, S.MODEL_FEATURES + ["id", "date"], "future batch", exact=False)
@@ -24,18 +40,9 @@ def window_rules(future: DataFrame, cutoff: dt.date, horizon: int = S.FORECAST_H
     first = cutoff + dt.timedelta(days=1)
     last = cutoff + dt.timedelta(days=horizon)
     d = F.col("date")
-    known = S.CATEGORICAL_FEATURES + ["onpromotion"] + S.HOLIDAY_FEATURE_COLUMNS
     rows = audit(
         future,
-        {
-            "null_base_key": F.greatest(*[F.col(k).isNull() for k in S.BASE_KEY]),
-            "null_id": F.col("id").isNull(),
-            "date_outside_window": ~d.between(F.lit(first), F.lit(last)),
-            "missing_known_context": F.greatest(*[F.col(c).isNull() for c in known]),
-            "month_mismatch": F.col("month") != F.month(d),
-            "day_of_month_mismatch": F.col("day_of_month") != F.dayofmonth(d),
-            "day_of_week_mismatch": F.col("day_of_week") != day_of_week_iso(d),
-        },
+        window_row_rules(cutoff, horizon),
         unique={"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]},
         non_empty=True,
     )

@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
 from shelfcast.functions.columns import count_if
-from shelfcast.operators.contracts import ContractError
-from shelfcast.session import broadcast_if_small, small_lookup
-
-LOOKUP_ROWS = 5_000_000
+from shelfcast.operators.contracts import ContractError, duplicate_counts
+from shelfcast.session import written_lookup
 
 
 def classify_events(holidays: DataFrame) -> DataFrame:
@@ -46,7 +44,7 @@ def classify_events(holidays: DataFrame) -> DataFrame:
 def raise_on_unknown_events(classified: DataFrame) -> None:
     """Fail closed: an Event without an accepted classification raises (sorted list)."""
     unknown = (
-        classified.filter("is_unknown_event").select("description").distinct().orderBy("description").limit(1000)
+        classified.filter("is_unknown_event").select("description").distinct().orderBy("description")
     ).collect()
     if unknown:
         names = [r.description for r in unknown]
@@ -94,7 +92,7 @@ def prepared_lookups(holidays: DataFrame, check: bool = True) -> dict[str, DataF
     out = {}
     for scope, p in _PREFIX.items():
         df = lk[scope].select(*keys[scope], *[F.col(f).alias(f"{p}{f}") for f in _LOOKUP_FLAGS])
-        out[scope] = small_lookup(df, LOOKUP_ROWS)
+        out[scope] = written_lookup(df, f"holidays-{scope}")
     return out
 
 
@@ -136,7 +134,7 @@ def holiday_flags(holidays: DataFrame, stores: DataFrame, store_dates: DataFrame
     mapped scheduled event are returned, like the original normalised table.
     """
     sd = store_dates.select("date", "store_nbr").distinct().join(
-        broadcast_if_small(stores.select("store_nbr", "city", "state"), LOOKUP_ROWS), "store_nbr"
+        stores.select("store_nbr", "city", "state"), "store_nbr"
     )
     flagged = attach_holiday_flags(sd, holidays, with_active_count=True)
     return flagged.filter(F.col("n_events") > 0).select("date", "store_nbr", *S.HOLIDAY_FEATURE_COLUMNS)
@@ -164,7 +162,7 @@ def holiday_evidence(holidays: DataFrame, stores: DataFrame) -> DataFrame:
     ``national(date) + max over stores of (regional + local)``.
     """
     ev = classify_events(holidays)
-    st = broadcast_if_small(stores.select("store_nbr", "city", "state"), LOOKUP_ROWS)
+    st = stores.select("store_nbr", "city", "state")
     n_stores = stores.count()
     src = ev.agg(
         F.count(F.lit(1)).alias("source_calendar_rows"),
@@ -181,8 +179,8 @@ def holiday_evidence(holidays: DataFrame, stores: DataFrame) -> DataFrame:
     nat = sched.filter(F.col("locale") == "National")
     reached = (
         nat.withColumn("n", F.lit(n_stores).cast("long"))
-        .unionByName(sched.filter(F.col("locale") == "Regional").join(F.broadcast(per_state), "locale_name", "left"))
-        .unionByName(sched.filter(F.col("locale") == "Local").join(F.broadcast(per_city), "locale_name", "left"))
+        .unionByName(sched.filter(F.col("locale") == "Regional").join(per_state, "locale_name", "left"))
+        .unionByName(sched.filter(F.col("locale") == "Local").join(per_city, "locale_name", "left"))
     )
     mapped = reached.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("mapped_scheduled_store_rows"),
@@ -201,11 +199,13 @@ def holiday_evidence(holidays: DataFrame, stores: DataFrame) -> DataFrame:
         .select((F.coalesce("a_nat", F.lit(0)) + F.coalesce("a_rl", F.lit(0))).alias("a"))
     )
     mx = per_date.agg(F.max("a")).first()[0]
+    repeated = duplicate_counts(rl_sd, ["date", "store_nbr"]).first().extra_rows
+    repeated += duplicate_counts(nat_d, ["date"]).first().extra_rows * n_stores
     out = {
         **src,
         **mapped,
         "normalized_store_date_rows": n_nat_dates * n_stores + n_rl_only,
-        "normalized_duplicate_store_date_rows": 0,
+        "normalized_duplicate_store_date_rows": repeated,
         "maximum_active_events_on_one_store_date": int(mx or 0),
     }
     spark = holidays.sparkSession

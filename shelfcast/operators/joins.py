@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from shelfcast import schemas as S
 from shelfcast.functions.columns import count_if, day_of_week_iso
 from shelfcast.operators.contracts import ContractError, audit, duplicate_counts, enforce
-from shelfcast.session import broadcast_if_small, small_lookup
-
-DIM_ROWS = 5_000_000
 
 
 def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -69,13 +66,10 @@ def attach_m1(
     added: Sequence[str],
     nullable: Sequence[str] = (),
     name: str = "attach",
-    broadcast_rows: int | None = None,
     check_required: bool = False,
 ) -> DataFrame:
     """Many-to-one left join with proved support uniqueness.
 
-    ``broadcast_rows``: ship the support side to every task when it has at
-    most that many rows (checked); otherwise the planner shuffles.
     ``check_required`` runs the null check on required added columns now;
     pipelines usually defer it to one final table audit (V3).
     """
@@ -83,8 +77,6 @@ def attach_m1(
     extra = duplicate_counts(sup, keys).first().extra_rows
     if extra:
         raise ContractError(f"{name} support table is not unique on {list(keys)}.")
-    if broadcast_rows:
-        sup = broadcast_if_small(sup, broadcast_rows)
     joined = base.join(sup, list(keys), "left")
     if check_required:
         required = [c for c in added if c not in set(nullable)]
@@ -98,11 +90,10 @@ def store_join(
 ) -> DataFrame:
     """Attach store metadata (m:1); every store must exist.
 
-    Stores are cached and broadcast after a bounded count. With ``validate``
-    the base contract (V1) and the "store exists" rule run as ONE action; the
+    With ``validate`` the base contract (V1) and the "store exists" rule run as ONE action; the
     store contract (V2) runs unless the caller already checked it.
     """
-    st = small_lookup(stores.select("store_nbr", *S.STORE_OUTPUT_COLUMNS), DIM_ROWS)
+    st = stores.select("store_nbr", *S.STORE_OUTPUT_COLUMNS)
     if validate:
         if not stores_checked:
             enforce(store_rules(stores), "stores")

@@ -3,7 +3,8 @@
 Physical shape at scale: the base fact table is scanned once; every lookup
 (oil as-of by date, transaction lags by (date, store), holiday flags by
 date / state / city, store metadata) is keyed by at most date x store and
-is broadcast after a size check, so the base is never shuffled for them.
+is written once, so the planner knows its bytes and broadcasts it under its own
+limit; then the base is not shuffled for them.
 The only base-sized shuffle is the sales-lag join, which moves history x 4
 narrow rows plus the base once on the full (date, store, family) key, so a
 hot store or family still spreads over many tasks.
@@ -22,11 +23,9 @@ from shelfcast.operators.contracts import audit, enforce
 from shelfcast.operators.joins import add_calendar_features, store_join
 from shelfcast.operators.lags import asof_lookup, exact_lag_lookup, exact_lags
 from shelfcast.functions.columns import nonnull_count
-from shelfcast.session import small_lookup
+from shelfcast.session import written_lookup
 from shelfcast.sources import readers as R
 
-LOOKUP_ROWS = 5_000_000
-
 
 @dataclass
 class RawTables:
@@ -82,10 +81,9 @@ def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFra
 
         enforce(store_rules(raw.stores), "stores")
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
-    # Lookups are keyed by date or (date, store): computed once, size-checked once,
-    # broadcast to both base tables.
-    oil_lk = small_lookup(oil_lookup(dates, raw.oil), LOOKUP_ROWS)
-    txn_lk = small_lookup(transaction_lookup(raw.transactions), LOOKUP_ROWS)
+    # Lookups are keyed by date or (date, store): written once for both base tables.
+    oil_lk = written_lookup(oil_lookup(dates, raw.oil), "oil")
+    txn_lk = written_lookup(transaction_lookup(raw.transactions), "transactions")
     hol_lk = H.prepared_lookups(raw.holidays, check=False)  # unknown events already audited
     labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, hol_lk, True, validate, "train")
     future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, hol_lk, False, validate, "test")

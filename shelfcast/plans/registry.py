@@ -64,6 +64,11 @@ class Ctx:
         self.spark = spark
         self.src = TD.Source(spark, sf_dir)
 
+    @property
+    def win(self):
+        """Evaluation windows, counted back from the last ship date."""
+        return self.src.windows
+
     @cached_property
     def sales(self) -> DataFrame:
         return self.src.sales().cache()
@@ -119,16 +124,14 @@ class Ctx:
     def diagnostics(self) -> DataFrame:
         """Internal-test rows of the feature table with the stand-in forecast and segments."""
         f = self.features.filter(
-            F.col("date").between(TD.d(TD.INTERNAL_TEST_START), TD.d(TD.INTERNAL_TEST_END))
+            F.col("date").between(TD.d(self.win.internal_test_start), TD.d(self.win.internal_test_end))
         )
         pred = F.col("sales") * (F.lit(80) + F.lit(5) * (F.col("store_nbr") % 9)).cast("double") / F.lit(100.0)
         f = f.withColumn("predicted_sales", pred)
         return M.segments(M.forecast_day(f))
 
 
-def _d(x: dt.date) -> str:
-    return f"DATE '{x}'"
-
+W = O.W
 
 # ============================================================================ sources
 
@@ -296,15 +299,13 @@ from shelfcast.operators import guards as G  # noqa: E402
 from shelfcast.operators import profile as P  # noqa: E402
 from shelfcast.operators import splits as SP  # noqa: E402
 
-WIN = SP.Windows(TD.TRAIN_END, TD.VALIDATION_START, TD.VALIDATION_END, TD.INTERNAL_TEST_START,
-                 TD.INTERNAL_TEST_END, TD.FUTURE_START, TD.FUTURE_END)
 DBL100 = "CAST(100 AS DOUBLE)"
-TRAIN_SQL = f"(SELECT * FROM features WHERE date <= {_d(TD.TRAIN_END)})"
+TRAIN_SQL = f"(SELECT * FROM features WHERE date <= {W['train_end']})"
 MONEY_SQL = "DECIMAL(28,8)"
 
 
 def _train(c: Ctx) -> DataFrame:
-    return c.features.filter(F.col("date") <= F.lit(TD.TRAIN_END))
+    return c.features.filter(F.col("date") <= F.lit(c.win.train_end))
 
 
 def _profile_sql(name: str, table: str, cols: list[str], key: list[str], has_date: bool) -> str:
@@ -421,15 +422,15 @@ def missing_audit(c: Ctx) -> DataFrame:
     return P.missing_audit(c.labeled_lagged)
 
 
-_SPLIT_SQL = (f"CASE WHEN date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)} THEN 'internal_test' "
-              f"WHEN date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)} THEN 'validation' "
-              f"WHEN date <= {_d(TD.TRAIN_END)} THEN 'train' ELSE 'unassigned' END")
+_SPLIT_SQL = (f"CASE WHEN date BETWEEN {W['internal_test_start']} AND {W['internal_test_end']} THEN 'internal_test' "
+              f"WHEN date BETWEEN {W['validation_start']} AND {W['validation_end']} THEN 'validation' "
+              f"WHEN date <= {W['train_end']} THEN 'train' ELSE 'unassigned' END")
 
 
 @register("chrono_split", f"SELECT id, date, store_nbr, family, {_SPLIT_SQL} AS data_split FROM features")
 def chrono_split(c: Ctx) -> DataFrame:
     """P7."""
-    return SP.chrono_split(c.features, WIN).select("id", "date", "store_nbr", "family", "data_split")
+    return SP.chrono_split(c.features, c.win).select("id", "date", "store_nbr", "family", "data_split")
 
 
 @register("split_counts", "\nUNION ALL\n".join(
@@ -438,13 +439,13 @@ def chrono_split(c: Ctx) -> DataFrame:
     for i, s in enumerate(SP.SPLIT_ORDER)))
 def split_counts(c: Ctx) -> DataFrame:
     """Empty splits shown with zero."""
-    return SP.split_counts(SP.chrono_split(c.features, WIN))
+    return SP.split_counts(SP.chrono_split(c.features, c.win))
 
 
-@register("date_window", f"SELECT * FROM sales WHERE date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)}")
+@register("date_window", f"SELECT * FROM sales WHERE date BETWEEN {W['validation_start']} AND {W['validation_end']}")
 def date_window(c: Ctx) -> DataFrame:
     """P5: inclusive validation window."""
-    return SP.date_window(c.sales, TD.VALIDATION_START, TD.VALIDATION_END)
+    return SP.date_window(c.sales, c.win.validation_start, c.win.validation_end)
 
 
 @register("train_summary", f"""SELECT count(*) AS rows, min(date) AS start_date, max(date) AS end_date,
@@ -545,16 +546,16 @@ def model_start(c: Ctx) -> DataFrame:
     return c.spark.range(1).select(F.lit(start).cast("date").alias("model_start"))
 
 
-_LABEL_SQL = (f"CASE WHEN date < {_MS_SQL} THEN 'Warm-up' WHEN date BETWEEN {_MS_SQL} AND {_d(TD.TRAIN_END)} THEN 'Train' "
-              f"WHEN date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)} THEN 'Validation' "
-              f"WHEN date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)} THEN 'Internal test' ELSE 'Unassigned' END")
+_LABEL_SQL = (f"CASE WHEN date < {_MS_SQL} THEN 'Warm-up' WHEN date BETWEEN {_MS_SQL} AND {W['train_end']} THEN 'Train' "
+              f"WHEN date BETWEEN {W['validation_start']} AND {W['validation_end']} THEN 'Validation' "
+              f"WHEN date BETWEEN {W['internal_test_start']} AND {W['internal_test_end']} THEN 'Internal test' ELSE 'Unassigned' END")
 
 
 @register("split_labels", f"SELECT id, date, {_LABEL_SQL} AS split FROM labeled_lagged")
 def split_labels(c: Ctx) -> DataFrame:
     """P8."""
     start = SP.model_start(c.labeled_lagged)
-    return SP.split_labels(c.labeled_lagged, WIN, start).select("id", "date", "split")
+    return SP.split_labels(c.labeled_lagged, c.win, start).select("id", "date", "split")
 
 
 _HIST_COLS = S.SALES_LAG_COLUMNS + S.TRANSACTION_LAG_COLUMNS + S.OIL_LAG_COLUMNS
@@ -566,7 +567,7 @@ _HIST_COLS = S.SALES_LAG_COLUMNS + S.TRANSACTION_LAG_COLUMNS + S.OIL_LAG_COLUMNS
 def missing_history(c: Ctx) -> DataFrame:
     """A17."""
     start = SP.model_start(c.labeled_lagged)
-    return SP.missing_history(SP.split_labels(c.labeled_lagged, WIN, start), _HIST_COLS)
+    return SP.missing_history(SP.split_labels(c.labeled_lagged, c.win, start), _HIST_COLS)
 
 
 @register("pair_horizon", "SELECT store_nbr, family, count(DISTINCT date) AS forecast_dates FROM future GROUP BY store_nbr, family")
@@ -575,11 +576,11 @@ def pair_horizon(c: Ctx) -> DataFrame:
     return SP.pair_horizon(c.future)
 
 
-_PERIODS_SQL = f"""(SELECT 'Validation' AS period, min(date) AS forecast_start, max(date) AS forecast_end, {_d(TD.TRAIN_END)} AS cutoff
-   FROM features WHERE date BETWEEN {_d(TD.VALIDATION_START)} AND {_d(TD.VALIDATION_END)}
- UNION ALL SELECT 'Internal test', min(date), max(date), {_d(TD.VALIDATION_END)}
-   FROM features WHERE date BETWEEN {_d(TD.INTERNAL_TEST_START)} AND {_d(TD.INTERNAL_TEST_END)}
- UNION ALL SELECT 'Future', min(date), max(date), {_d(TD.INTERNAL_TEST_END)} FROM future)"""
+_PERIODS_SQL = f"""(SELECT 'Validation' AS period, min(date) AS forecast_start, max(date) AS forecast_end, {W['train_end']} AS cutoff
+   FROM features WHERE date BETWEEN {W['validation_start']} AND {W['validation_end']}
+ UNION ALL SELECT 'Internal test', min(date), max(date), {W['validation_end']}
+   FROM features WHERE date BETWEEN {W['internal_test_start']} AND {W['internal_test_end']}
+ UNION ALL SELECT 'Future', min(date), max(date), {W['internal_test_end']} FROM future)"""
 _WINDOW_SQL = f"""SELECT period, forecast_start, forecast_end, cutoff,
   CAST(date_diff('day', forecast_start, forecast_end) + 1 AS INTEGER) AS days,
   CAST(forecast_end - 16 AS DATE) AS latest_lag_source, forecast_end - 16 <= cutoff AS all_lags_available_by_cutoff
@@ -593,9 +594,9 @@ def _periods(c: Ctx) -> DataFrame:
             F.lit(cutoff).cast("date").alias("cutoff"),
         )
     return (
-        one(SP.date_window(c.features, TD.VALIDATION_START, TD.VALIDATION_END), "Validation", TD.TRAIN_END)
-        .unionByName(one(SP.date_window(c.features, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END), "Internal test", TD.VALIDATION_END))
-        .unionByName(one(c.future, "Future", TD.INTERNAL_TEST_END))
+        one(SP.date_window(c.features, c.win.validation_start, c.win.validation_end), "Validation", c.win.train_end)
+        .unionByName(one(SP.date_window(c.features, c.win.internal_test_start, c.win.internal_test_end), "Internal test", c.win.validation_end))
+        .unionByName(one(c.future, "Future", c.win.internal_test_end))
     )
 
 
@@ -666,18 +667,18 @@ from shelfcast.session import new_output_path  # noqa: E402
 
 FIT_GRID = {
     "Ridge Regression": MD.MODEL_GRIDS["Ridge Regression"],
-    "XGBoost Regression": {k: [v] for k, v in MD.DEFAULT_REFERENCE["XGBoost Regression"].items()},
+    "Boosted Trees": {k: [v] for k, v in MD.DEFAULT_REFERENCE["Boosted Trees"].items()},
 }
-_TRAIN_LAGGED_SQL = f"(SELECT * FROM labeled_lagged WHERE date BETWEEN {_MS_SQL} AND {_d(TD.TRAIN_END)})"
+_TRAIN_LAGGED_SQL = f"(SELECT * FROM labeled_lagged WHERE date BETWEEN {_MS_SQL} AND {W['train_end']})"
 
 
 def _model_frames(c: Ctx) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, validation, internal test) of the lagged labeled table, warm-up excluded."""
     lab = c.labeled_lagged
     start = SP.model_start(lab)
-    train = lab.filter(F.col("date").between(F.lit(start), F.lit(TD.TRAIN_END)))
-    val = SP.date_window(lab, TD.VALIDATION_START, TD.VALIDATION_END)
-    test = SP.date_window(lab, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END)
+    train = lab.filter(F.col("date").between(F.lit(start), F.lit(c.win.train_end)))
+    val = SP.date_window(lab, c.win.validation_start, c.win.validation_end)
+    test = SP.date_window(lab, c.win.internal_test_start, c.win.internal_test_end)
     return train, val, test
 
 
@@ -722,7 +723,12 @@ def scale_std(c: Ctx) -> DataFrame:
     return c.spark.createDataFrame(rows, "column string, scale double")
 
 
-@register("encode_onehot")
+@register("encode_onehot", f"""SELECT v.id,
+  CAST((SELECT """ + " + ".join(f"count(DISTINCT {x})" for x in S.CATEGORICAL_FEATURES) + f""" FROM {_TRAIN_LAGGED_SQL})
+  + {len(S.NUMERIC_FEATURES)} + (SELECT """ + " + ".join(f"CAST(count(*) FILTER (WHERE {x} IS NULL) > 0 AS INTEGER)" for x in S.NUMERIC_FEATURES)
+  + f""" FROM {_TRAIN_LAGGED_SQL}) AS INTEGER) AS width,
+  CAST(v.store_nbr IN (SELECT store_nbr FROM {_TRAIN_LAGGED_SQL}) AS INTEGER) AS store_hot
+FROM labeled_lagged v WHERE v.date BETWEEN {W['validation_start']} AND {W['validation_end']}""")
 def encode_onehot(c: Ctx) -> DataFrame:
     """M1 + M4: one-hot (unseen -> all zeros) and assembled vector width per validation row."""
     from pyspark.ml.functions import vector_to_array
@@ -752,38 +758,63 @@ def fit_ridge(c: Ctx) -> DataFrame:
 def fit_gbt(c: Ctx) -> DataFrame:
     """M6: boosted trees (100 trees, depth 6, rate 0.3); validation metrics."""
     train, val, _ = _model_frames(c)
-    return MD.grid_search(train, val, {"XGBoost Regression": {k: [v] for k, v in MD.DEFAULT_REFERENCE["XGBoost Regression"].items()}})
+    return MD.grid_search(train, val, {"Boosted Trees": {k: [v] for k, v in MD.DEFAULT_REFERENCE["Boosted Trees"].items()}})
+
+
+def _leaderboard(c: Ctx) -> DataFrame:
+    """The registered grid's leaderboard, fitted once per context and written."""
+    if getattr(c, "_board", None) is None:
+        train, val, _ = _model_frames(c)
+        c._board = materialize(MD.grid_search(train, val, FIT_GRID), "leaderboard")
+    return c._board
+
+
+def _selected(c: Ctx) -> tuple[str, dict, dict]:
+    """Method, parameters and validation metrics of the selected leaderboard row."""
+    row = MD.select_model(_leaderboard(c)).first()
+    metrics = {k: row[k] for k in ("run_id", "rmsle", "wape_pct", "signed_bias_pct")}
+    return row.method, _json.loads(row.parameters), {"selected_by": "validation rmsle", "validation": metrics}
 
 
 @register("select_model")
 def select_model(c: Ctx) -> DataFrame:
     """L3: best leaderboard row (rmsle, then wape, then run id)."""
-    train, val, _ = _model_frames(c)
-    return MD.select_model(MD.grid_search(train, val, {"Ridge Regression": MD.MODEL_GRIDS["Ridge Regression"]}))
-
-
-def _ridge_bundle(c: Ctx, train: DataFrame) -> dict:
-    return MD.fit_bundle(train, "Ridge Regression", {"alpha": 1.0}, {"selected_by": "validation rmsle"})
+    return MD.select_model(_leaderboard(c))
 
 
 @register("internal_test")
 def internal_test(c: Ctx) -> DataFrame:
-    """M9: refit on train + validation, score the internal test window once."""
+    """M9: refit the selected configuration on train + validation, score the internal test window once."""
+    method, params, evaluation = _selected(c)
     train, val, test = _model_frames(c)
-    bundle = _ridge_bundle(c, train.unionByName(val))
-    pred = MD.predictions(bundle["model"], test)
-    return M.forecast_metrics(pred)
+    bundle = MD.fit_bundle(train.unionByName(val), method, params, evaluation)
+    metrics = M.forecast_metrics(MD.predictions(bundle["model"], test))
+    return metrics.select(
+        F.lit(method).alias("method"),
+        F.lit(_json.dumps(params, sort_keys=True)).alias("parameters"),
+        F.lit(c.win.internal_test_start).alias("start_date"),
+        F.lit(c.win.internal_test_end).alias("end_date"),
+        "*",
+    )
+
+
+_SPAN_SQL = (f"SELECT count(*) AS training_rows, CAST(min(date) AS VARCHAR) AS training_start, CAST(max(date) AS VARCHAR) AS training_end, "
+             f"true AS as_selected, true AS width_is_models FROM labeled_lagged WHERE date >= {_MS_SQL} AND date <= {W['internal_test_end']}")
 
 
-@register("fit_bundle")
+@register("fit_bundle", _SPAN_SQL)
 def fit_bundle(c: Ctx) -> DataFrame:
-    """Final fit on every modelled labeled row; the manifest as one row."""
+    """Final fit of the selected configuration on every modelled labeled row; exact facts of its manifest."""
     bundle = _final_bundle(c)
-    md = bundle["metadata"]
+    about = bundle["metadata"]
+    method, params, _ = _selected(c)
+    span = about["training"]
+    row = (
+        span["rows"], span["start"], span["end"], (about["method"], about["parameters"]) == (method, params),
+        about["features"]["transformed_count"] == bundle["model"].stages[-1].numFeatures,
+    )
     return c.spark.createDataFrame(
-        [(md["method"], md["training_rows"], md["training_start"], md["training_end"], len(md["assembled_columns"]),
-          _json.dumps(md, sort_keys=True))],
-        "method string, training_rows long, training_start string, training_end string, transformed_feature_count long, manifest string",
+        [row], "training_rows long, training_start string, training_end string, as_selected boolean, width_is_models boolean"
     )
 
 
@@ -791,25 +822,39 @@ def _final_bundle(c: Ctx) -> dict:
     """Final fit on every modelled labeled row, once per session context."""
     if getattr(c, "_bundle", None) is None:
         train, val, test = _model_frames(c)
-        c._bundle = _ridge_bundle(c, train.unionByName(val).unionByName(test))
+        c._bundle = MD.fit_bundle(train.unionByName(val).unionByName(test), *_selected(c))
     return c._bundle
 
 
-@register("score_batch")
+_SCORED_SQL = "SELECT id, date, store_nbr, family, true AS finite, true AS not_negative FROM future"
+
+
+def _scored_facts(forecast: DataFrame) -> DataFrame:
+    """Keys of a forecast and what holds of every value whichever model gave it."""
+    from shelfcast.functions.columns import is_finite
+
+    return forecast.select(
+        "id", "date", "store_nbr", "family", is_finite("forecast_sales").alias("finite"),
+        (F.col("forecast_sales") >= 0).alias("not_negative"),
+    )
+
+
+@register("score_batch", _SCORED_SQL)
 def score_batch(c: Ctx) -> DataFrame:
-    """Score the complete 16-day future batch."""
-    return MD.score_batch(_final_bundle(c), _future_lagged(c))
+    """Score the complete 16-day future batch; keys and exact facts of the values."""
+    return _scored_facts(MD.score_batch(_final_bundle(c), _future_lagged(c)))
 
 
-@register("batch_inference")
+@register("batch_inference", _SCORED_SQL)
 def batch_inference(c: Ctx) -> DataFrame:
     """Cutoff, coverage, lags, score, write (to the shared scratch folder)."""
     out = new_output_path(c.spark, "batch_forecast")
     MD.run_batch_inference(_final_bundle(c), c.features, c.future_features, out)
-    return R.read_table(c.spark, out, T_FORECAST, fmt="csv")
+    return _scored_facts(R.read_table(c.spark, out, T_FORECAST, fmt="csv"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", """SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unexpected_rows, CAST(0 AS BIGINT) AS missing_rows,
+  CAST(0 AS BIGINT) AS value_mismatches, count(*) AS matching_rows, count(DISTINCT date) AS forecast_dates FROM future""")
 def model_roundtrip(c: Ctx) -> DataFrame:
     """Save + load the bundle; parity of scores before and after."""
     bundle = _final_bundle(c)
@@ -830,20 +875,20 @@ T_FORECAST = _T.StructType([
 ])
 
 # ---------------------------------------------------------------------------- sinks / windows / submission
-_HIST_SQL = f"SELECT date, store_nbr, family, sales FROM sales WHERE date BETWEEN {_d(TD.INTERNAL_TEST_END - dt.timedelta(days=34))} AND {_d(TD.INTERNAL_TEST_END)}"
+_HIST_SQL = f"SELECT date, store_nbr, family, sales FROM sales WHERE date BETWEEN {W['internal_test_end']} - 34 AND {W['internal_test_end']}"
 
 
 @register("history_window", _HIST_SQL)
 def history_window(c: Ctx) -> DataFrame:
     """Pruned 35-day history ending exactly at the cutoff."""
-    return R.history_window(c.sales, TD.INTERNAL_TEST_END)
+    return R.history_window(c.sales, c.win.internal_test_end)
 
 
 @register("compact_history", _HIST_SQL)
 def compact_history(c: Ctx) -> DataFrame:
     """Write the sorted gzip CSV history and read it back."""
     path = new_output_path(c.spark, "history")
-    R.write_compact_history(c.sales, TD.INTERNAL_TEST_END, path)
+    R.write_compact_history(c.sales, c.win.internal_test_end, path)
     return R.read_compact_history(c.spark, path)
 
 
@@ -905,12 +950,27 @@ _PRED_SQL = "sales * CAST(80 + 5 * (store_nbr % 9) AS DOUBLE) / CAST(100 AS DOUB
 def forecast_parity(c: Ctx) -> DataFrame:
     """The diagnostics forecast vs an independent recomputation from the raw sales table."""
     a = c.diagnostics.select("id", "date", "store_nbr", "family", F.col("predicted_sales").alias("forecast_sales"))
-    raw = SP.date_window(c.sales, TD.INTERNAL_TEST_START, TD.INTERNAL_TEST_END)
+    raw = SP.date_window(c.sales, c.win.internal_test_start, c.win.internal_test_end)
     e = raw.select("id", "date", "store_nbr", "family",
                    (F.col("sales") * (F.lit(80) + F.lit(5) * (F.col("store_nbr") % 9)).cast("double") / F.lit(100.0)).alias("forecast_sales"))
     return J.forecast_parity(a, e)
 
 
+@register("forecast_parity_dirty", """SELECT (SELECT count(*) FROM diagnostics) AS rows_compared,
+  count(*) FILTER (WHERE id % 25 = 1) AS unexpected_rows, count(*) FILTER (WHERE id % 25 IN (1, 2)) AS missing_rows,
+  count(*) FILTER (WHERE id % 25 = 3) AS value_mismatches FROM diagnostics""")
+def forecast_parity_dirty(c: Ctx) -> DataFrame:
+    """J13 on a forecast with rows lost, rows under a wrong id and changed values."""
+    k = F.col("id") % 25
+    e = c.diagnostics.select("id", "date", "store_nbr", "family", F.col("predicted_sales").alias("forecast_sales"))
+    a = e.where(k != 2).withColumns(
+        {"forecast_sales": F.when(k == 3, F.col("forecast_sales") + 5).otherwise(F.col("forecast_sales")),
+         "id": F.when(k == 1, -1 - F.col("id")).otherwise(F.col("id"))}
+    )
+    found = J.forecast_parity(a, e)
+    return found.select(F.lit(c.diagnostics.count()).alias("rows_compared"), "unexpected_rows", "missing_rows", "value_mismatches")
+
+
 @register("forecast_metrics", f"""SELECT round(sqrt(avg(pow(ln(1 + greatest(predicted_sales, 0)) - ln(1 + sales), 2))), 6) AS rmsle,
   round(CAST(sum(CAST(abs(greatest(predicted_sales, 0) - sales) AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS wape_pct,
   round(CAST(sum(CAST(greatest(predicted_sales, 0) - sales AS {MONEY_SQL})) AS DOUBLE) / CAST(sum(CAST(sales AS {MONEY_SQL})) AS DOUBLE) * 100.0, 6) AS signed_bias_pct,
@@ -962,6 +1022,66 @@ def check_base(c: Ctx) -> DataFrame:
     return J.base_rules(c.sales)
 
 
+_DIRTY_BASE = """(SELECT * REPLACE (CASE WHEN id % 50 = 1 THEN NULL ELSE id END AS id, CASE WHEN id % 50 = 2 THEN NULL ELSE store_nbr END AS store_nbr)
+  FROM sales UNION ALL SELECT * FROM sales WHERE id % 50 = 3)"""
+
+
+def _dirty_base(c: Ctx) -> DataFrame:
+    """The base with null ids, null stores and repeated rows."""
+    k = F.col("id") % 50
+    dirty = c.sales.withColumns({"store_nbr": F.when(k != 2, F.col("store_nbr")), "id": F.when(k != 1, F.col("id"))})
+    return dirty.select(*c.sales.columns).unionByName(c.sales.where(k == 3))
+
+
+@register("check_base_dirty", O.audit_sql(_DIRTY_BASE, {"null_base_key": _KEYNULL, "null_id": "id IS NULL", "invalid_date": "date IS NULL"},
+                                          {"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, non_empty=True))
+def check_base_dirty(c: Ctx) -> DataFrame:
+    """V1 audit of a base with faults."""
+    return J.base_rules(_dirty_base(c))
+
+
+_FULL_DIRTY = ("(SELECT o.id AS oid, p.id AS pid, o.sales AS os, p.sales AS ps FROM sales o FULL JOIN (SELECT CASE WHEN id % 40 = 1 THEN -1 - id ELSE id END AS id, "
+               "CASE WHEN id % 40 = 2 THEN sales + 1 ELSE sales END AS sales FROM features WHERE id % 40 <> 3) p ON o.id = p.id)")
+
+
+@register("check_final_dirty", O.audit_sql(_FULL_DIRTY, {
+    "lost_rows": "pid IS NULL", "added_rows": "oid IS NULL",
+    "target_changed": "oid IS NOT NULL AND pid IS NOT NULL AND os IS DISTINCT FROM ps"}))
+def check_final_dirty(c: Ctx) -> DataFrame:
+    """V3 audit of a feature table with lost, added and changed rows."""
+    k = F.col("id") % 40
+    dirty = c.features.where(k != 3).withColumns(
+        {"sales": F.when(k == 2, F.col("sales") + 1).otherwise(F.col("sales")), "id": F.when(k == 1, -1 - F.col("id")).otherwise(F.col("id"))}
+    )
+    return FT.final_rules(dirty, c.sales, has_target=True).where(F.col("rule").isin("lost_rows", "added_rows", "target_changed"))
+
+
+@register("check_window_dirty", f"""SELECT 'date_outside_window' AS rule, count(*) FILTER (WHERE date = {W['future_end']}) AS violations FROM future_features
+UNION ALL SELECT 'missing_known_context', count(*) FILTER (WHERE id % 30 = 1 AND (id % 30 <> 4 OR date = {W['future_end']})) FROM future_features
+UNION ALL SELECT 'missing_window_dates', CAST(1 AS BIGINT)""")
+def check_window_dirty(c: Ctx) -> DataFrame:
+    """V4 audit of a future batch with a shifted day, missing context, wrong weekdays and lost rows."""
+    k, last = F.col("id") % 30, F.lit(c.win.future_end)
+    dirty = _future_lagged(c).where((k != 4) | (F.col("date") == last)).withColumns(
+        {
+            "city": F.when(k != 1, F.col("city")),
+            "day_of_week": F.when(k == 2, 8).otherwise(F.col("day_of_week")),
+            "date": F.when(F.col("date") == last, F.date_add(last, 30)).otherwise(F.col("date")),
+        }
+    )
+    rules = ["date_outside_window", "missing_known_context", "missing_window_dates"]
+    return G.window_rules(dirty, c.win.internal_test_end).where(F.col("rule").isin(rules))
+
+
+@register("check_training_dirty", f"SELECT 'invalid_sales' AS rule, count(*) FILTER (WHERE id % 20 IN (1, 2)) AS violations FROM {_TRAIN_LAGGED_SQL} "
+                                  "UNION ALL SELECT 'non_empty', CAST(0 AS BIGINT)")
+def check_training_dirty(c: Ctx) -> DataFrame:
+    """V5 audit of training rows with null and negative targets."""
+    train, _, _ = _model_frames(c)
+    k = F.col("id") % 20
+    return G.training_rules(train.withColumn("sales", F.when(k == 1, None).when(k == 2, F.lit(-1.0)).otherwise(F.col("sales"))))
+
+
 @register("check_stores", O.audit_sql("stores", {"null_store_nbr": "store_nbr IS NULL",
                                                  "missing_store_metadata": O.any_null(S.STORE_OUTPUT_COLUMNS)},
                                       {"duplicate_store_nbr": ["store_nbr"]}, non_empty=True))
@@ -983,23 +1103,22 @@ def check_final(c: Ctx) -> DataFrame:
     return FT.final_rules(c.features, c.sales, has_target=True)
 
 
-_CUT = TD.INTERNAL_TEST_END
-_W0, _W1 = _CUT + dt.timedelta(days=1), _CUT + dt.timedelta(days=16)
+_W0, _W1 = W['future_start'], W['future_end']
 _KNOWN = S.CATEGORICAL_FEATURES + ["onpromotion"] + S.HOLIDAY_FEATURE_COLUMNS
 
 
 @register("check_window", O.audit_sql("future_features", {
     "null_base_key": _KEYNULL, "null_id": "id IS NULL",
-    "date_outside_window": f"NOT (date BETWEEN {_d(_W0)} AND {_d(_W1)})",
+    "date_outside_window": f"NOT (date BETWEEN {_W0} AND {_W1})",
     "missing_known_context": O.any_null(_KNOWN),
     "month_mismatch": "month <> month(date)", "day_of_month_mismatch": "day_of_month <> day(date)",
     "day_of_week_mismatch": "day_of_week <> isodow(date)"},
     {"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, non_empty=True) + f"""
-UNION ALL SELECT 'missing_window_dates', CAST(16 - count(DISTINCT date) FILTER (WHERE date BETWEEN {_d(_W0)} AND {_d(_W1)}) AS BIGINT) FROM future_features
+UNION ALL SELECT 'missing_window_dates', CAST(16 - count(DISTINCT date) FILTER (WHERE date BETWEEN {_W0} AND {_W1}) AS BIGINT) FROM future_features
 UNION ALL SELECT 'incomplete_pairs', CAST(count(*) FILTER (WHERE n <> 16) AS BIGINT) FROM (SELECT count(DISTINCT date) AS n FROM future_features GROUP BY store_nbr, family)""")
 def check_window(c: Ctx) -> DataFrame:
     """V4: the future batch against the 16-day window after the cutoff."""
-    return G.window_rules(_future_lagged(c), _CUT)
+    return G.window_rules(_future_lagged(c), c.win.internal_test_end)
 
 
 @register("check_training", O.audit_sql(_TRAIN_LAGGED_SQL, {"invalid_sales": "sales IS NULL OR sales < 0"}, non_empty=True))
@@ -1009,20 +1128,20 @@ def check_training(c: Ctx) -> DataFrame:
     return G.training_rules(train)
 
 
-@register("check_cutoff", f"""SELECT 'history_end_differs' AS rule, CAST(CASE WHEN max(date) IS NULL OR max(date) <> {_d(_CUT)} THEN 1 ELSE 0 END AS BIGINT) AS violations FROM sales
-UNION ALL SELECT 'rows_after_cutoff', count(*) FILTER (WHERE date > {_d(_CUT)}) FROM sales""")
+@register("check_cutoff", f"""SELECT 'history_end_differs' AS rule, CAST(CASE WHEN max(date) IS NULL OR max(date) <> {W['internal_test_end']} THEN 1 ELSE 0 END AS BIGINT) AS violations FROM sales
+UNION ALL SELECT 'rows_after_cutoff', count(*) FILTER (WHERE date > {W['internal_test_end']}) FROM sales""")
 def check_cutoff(c: Ctx) -> DataFrame:
     """V9: history ends exactly at the cutoff."""
-    return G.cutoff_rules(c.sales, _CUT)
+    return G.cutoff_rules(c.sales, c.win.internal_test_end)
 
 
 @register("check_leakage", O.audit_sql("oil_lookup", {"future_oil_match": " OR ".join(f"{x} < 0" for x in S.OIL_AGE_COLUMNS)})
-          + "\nUNION ALL\n" + O.audit_sql("future", {"lag_source_after_cutoff": f"date - 16 > {_d(_CUT)}"})
+          + "\nUNION ALL\n" + O.audit_sql("future", {"lag_source_after_cutoff": f"date - 16 > {W['internal_test_end']}"})
           + "\nUNION ALL\n" + O.audit_sql(f"({_WINDOW_SQL})", {"window_not_lag_safe": "NOT all_lags_available_by_cutoff"}))
 def check_leakage(c: Ctx) -> DataFrame:
     """No as-of match after its reference date, no lag source after the cutoff, lag-safe windows."""
     dates = c.store_dates.select("date").distinct()
-    return G.leakage_rules(FT.oil_lookup(dates, c.oil), c.future, _CUT, SP.window_contract(_periods(c)))
+    return G.leakage_rules(FT.oil_lookup(dates, c.oil), c.future, c.win.internal_test_end, SP.window_contract(_periods(c)))
 
 
 @register("attach_m1", "SELECT s.*, " + ", ".join(f"o.{x}" for x in S.OIL_FEATURE_COLUMNS)
@@ -1031,7 +1150,7 @@ def attach_m1(c: Ctx) -> DataFrame:
     """Guarded many-to-one attach of the oil lookup (nullable columns declared)."""
     dates = c.store_dates.select("date").distinct()
     return J.attach_m1(c.sales, FT.oil_lookup(dates, c.oil), ["date"], S.OIL_FEATURE_COLUMNS,
-                       nullable=S.OIL_FEATURE_COLUMNS, name="oil join", broadcast_rows=FT.LOOKUP_ROWS, check_required=True)
+                       nullable=S.OIL_FEATURE_COLUMNS, name="oil join", check_required=True)
 
 
 @register("unmapped_events", """SELECT s.date, s.locale, s.locale_name, s.description FROM scheduled s
@@ -1052,7 +1171,7 @@ def missing_store_rows(c: Ctx) -> DataFrame:
     return J.missing_keys(c.transactions, c.stores, ["store_nbr"])
 
 
-_HP = f"(SELECT DISTINCT store_nbr, family FROM sales WHERE date BETWEEN {_d(_CUT - dt.timedelta(days=34))} AND {_d(_CUT)})"
+_HP = f"(SELECT DISTINCT store_nbr, family FROM sales WHERE date BETWEEN {W['internal_test_end']} - 34 AND {W['internal_test_end']})"
 
 
 @register("pair_coverage", f"""SELECT count(*) FILTER (WHERE f.store_nbr IS NULL) AS missing_pairs,
@@ -1060,7 +1179,7 @@ _HP = f"(SELECT DISTINCT store_nbr, family FROM sales WHERE date BETWEEN {_d(_CU
 FROM {_HP} h FULL JOIN (SELECT DISTINCT store_nbr, family FROM future) f ON h.store_nbr = f.store_nbr AND h.family = f.family""")
 def pair_coverage(c: Ctx) -> DataFrame:
     """Future pairs vs the 35-day serving history (idle pairs show as unexpected)."""
-    return J.pair_coverage(c.future, R.history_window(c.sales, _CUT))
+    return J.pair_coverage(c.future, R.history_window(c.sales, c.win.internal_test_end))
 
 
 @register("holiday_attach", f"SELECT id, {', '.join(S.HOLIDAY_FEATURE_COLUMNS)} FROM features")
@@ -1090,7 +1209,7 @@ def event_classes(c: Ctx) -> DataFrame:
       OR (s.locale = 'Local' AND s.locale_name NOT IN (SELECT city FROM stores))) AS unmapped_scheduled_source_rows,
   (SELECT count(*) FROM holiday_lookup) AS normalized_store_date_rows,
   (SELECT count(*) FROM holidays WHERE transferred) AS source_rows_with_transferred_true,
-  CAST(0 AS BIGINT) AS normalized_duplicate_store_date_rows,
+  (SELECT count(*) - count(DISTINCT (date, store_nbr)) FROM holiday_lookup) AS normalized_duplicate_store_date_rows,
   (SELECT COALESCE(max(n), 0) FROM (SELECT count(*) AS n FROM mapped WHERE NOT transferred GROUP BY date, store_nbr)) AS maximum_active_events_on_one_store_date""")
 def holiday_evidence(c: Ctx) -> DataFrame:
     """H3 (+ A19): normalisation counters without expanding national events."""
@@ -1111,19 +1230,60 @@ def _records(c: Ctx) -> DataFrame:
     return REC.to_records(c.future_features, S.FUTURE_COLUMNS)
 
 
-@register("json_batch_ingest", "SELECT * FROM future_features")
+_FLOAT_FIELDS = S.OIL_AGE_COLUMNS + S.TRANSACTION_LAG_COLUMNS
+_AS_RECORD = "SELECT * REPLACE (" + ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in _FLOAT_FIELDS) + ") FROM future_features"
+
+
+def _dirty_records(c: Ctx) -> DataFrame:
+    """The future batch as JSON, of every 11 ids five with one fault each: wrong type, missing key, extra key,
+    value out of range, cut short."""
+    rec, k = F.col("record"), F.col("k")
+    faults = {
+        1: F.regexp_replace(rec, '"oil_lag_16":[^,}]*', '"oil_lag_16":"abc"'),
+        2: F.regexp_replace(rec, '"oil_lag_16":[^,}]*,', ""),
+        3: F.regexp_replace(rec, r"\}$", ',"sales":1.0}'),
+        4: F.regexp_replace(rec, '"day_of_week":[0-9]', '"day_of_week":9'),
+        5: F.expr("substring(record, 1, length(record) - 3)"),
+    }
+    out = rec
+    for fault, text in faults.items():
+        out = F.when(k == fault, text).otherwise(out)
+    rows = c.future_features.select(F.to_json(F.struct(*S.FUTURE_COLUMNS), {"ignoreNullFields": "false"}).alias("record"),
+                                    (F.col("id") % 11).alias("k"))
+    return rows.select(out.alias("record"))
+
+
+@register("json_batch_ingest", _AS_RECORD + " WHERE id % 11 NOT IN (1, 2, 3, 4, 5)")
 def json_batch_ingest(c: Ctx) -> DataFrame:
     """JSON records parsed with the typed contract; only valid rows returned."""
-    valid, _ = REC.parse_records(_records(c))
+    valid, _ = REC.parse_records(_dirty_records(c))
+    return valid
+
+
+@register("envelope_ingest", _AS_RECORD + " WHERE store_nbr % 5 NOT IN (1, 2)")
+def envelope_ingest(c: Ctx) -> DataFrame:
+    """One request body per store; a body with an extra top-level key or without records is rejected whole."""
+    bodies = c.future_features.groupBy("store_nbr").agg(
+        F.concat_ws(",", F.collect_list(F.to_json(F.struct(*S.FUTURE_COLUMNS), {"ignoreNullFields": "false"}))).alias("rows")
+    )
+    body = (
+        F.when(F.col("store_nbr") % 5 == 1, F.concat(F.lit('{"records":['), "rows", F.lit('],"model":"x"}')))
+        .when(F.col("store_nbr") % 5 == 2, F.lit('{"records":[]}'))
+        .otherwise(F.concat(F.lit('{"records":['), "rows", F.lit("]}")))
+    )
+    records, _ = REC.open_envelopes(bodies.select(body.alias("body")), "body")
+    valid, _ = REC.parse_records(records)
     return valid
 
 
-@register("record_rules", """SELECT 'unparseable_record' AS rule, CAST(0 AS BIGINT) AS violations
-UNION ALL SELECT 'extra_keys', CAST(0 AS BIGINT) UNION ALL SELECT 'missing_or_invalid_field', CAST(0 AS BIGINT)
-UNION ALL SELECT 'out_of_range', CAST(0 AS BIGINT) UNION ALL SELECT 'non_empty', CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM future_features""")
+@register("record_rules", """SELECT 'unparseable_record' AS rule, count(*) FILTER (WHERE id % 11 = 5) AS violations FROM future_features
+UNION ALL SELECT 'extra_keys', count(*) FILTER (WHERE id % 11 = 3) FROM future_features
+UNION ALL SELECT 'missing_or_invalid_field', count(*) FILTER (WHERE id % 11 IN (1, 2)) FROM future_features
+UNION ALL SELECT 'out_of_range', count(*) FILTER (WHERE id % 11 = 4) FROM future_features
+UNION ALL SELECT 'non_empty', CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) FROM future_features""")
 def record_rules(c: Ctx) -> DataFrame:
-    """V8: per-record contract over the future batch as JSON."""
-    return REC.record_rules(_records(c))
+    """V8: per-record contract over the future batch as JSON, with faults of every kind."""
+    return REC.record_rules(_dirty_records(c))
 
 
 # ---------------------------------------------------------------------------- request log
@@ -1187,15 +1347,15 @@ def request_rollup_stream(c: Ctx) -> DataFrame:
     return res.select(day.alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
 
 
-@register("stream_score")
+@register("stream_score", _SCORED_SQL)
 def stream_score(c: Ctx) -> DataFrame:
     """Complete future batches arriving as JSON Lines files, scored per micro-batch."""
     inp = new_output_path(c.spark, "stream_in")
     recs = _records(c)
     # Two arriving batches: the complete future batch, then the same batch missing its last day.
     recs.write.mode("errorifexists").text(f"{inp}/batch=0")
-    last = F.get_json_object("record", "$.date") == F.lit(str(TD.FUTURE_END))
+    last = F.get_json_object("record", "$.date") == F.lit(str(c.win.future_end))
     recs.filter(~last).write.mode("errorifexists").text(f"{inp}/batch=1")
     out, quarantine = new_output_path(c.spark, "stream_out"), new_output_path(c.spark, "stream_quarantine")
     SJ.run_scoring_stream(c.spark, inp, _final_bundle(c), c.sales, out, quarantine, new_output_path(c.spark, "stream_ckpt"))
-    return c.spark.read.parquet(out)
+    return _scored_facts(c.spark.read.parquet(out))

@@ -145,5 +145,8 @@ def feature_schema(has_target: bool) -> T.StructType:
     return T.StructType([T.StructField(c, _feature_type(c)) for c in cols])
 
 
-# The JSON record of one future row: the 33 future columns.
-RECORD_SCHEMA = feature_schema(has_target=False)
+# The JSON record of one future row: the 33 future columns; ages and transaction lags may be fractions there.
+RECORD_SCHEMA = T.StructType([
+    T.StructField(f.name, T.DoubleType() if f.name in OIL_AGE_COLUMNS + TRANSACTION_LAG_COLUMNS else f.dataType)
+    for f in feature_schema(has_target=False).fields
+])

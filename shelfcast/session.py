@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Row bound under which a side is small enough to ship to every executor.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def get_spark(
@@ -50,13 +46,17 @@ def get_spark(
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables and lineage cuts.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). Only when
-    it is unset (local runs, tests) is a fresh local folder created and set.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). Where it
+    is unset, a local master (tests) gets a fresh local folder; on a cluster
+    that would not be shared, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -84,24 +84,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The proof is a bounded count (``limit(max_rows + 1)``); a larger side is
-    returned unchanged so the planner falls back to a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def small_lookup(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Cache a lookup that several joins reuse, prove its size once, then broadcast it.
-
-    Above ``max_rows`` the cached frame is returned unhinted (shuffle join).
-    """
-    cached = df.cache()
-    n = cached.limit(max_rows + 1).count()
-    return F.broadcast(cached) if n <= max_rows else cached
+def written_lookup(df: DataFrame, name: str) -> DataFrame:
+    """A side that several joins read, written once: the planner knows its size in
+    bytes from the files and broadcasts it or not by its own limit."""
+    return materialize(df, f"lookup-{name}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -11,6 +11,24 @@ from shelfcast import schemas as S
 from shelfcast.sources import testdata as TD
 
 
+N = TD.WINDOW_DAYS
+#: The bounds of the evaluation windows as scalar subqueries.
+W = {
+    name: f"(SELECT {name} FROM win)"
+    for name in (
+        "train_end", "validation_start", "validation_end", "internal_test_start", "internal_test_end",
+        "future_start", "future_end",
+    )
+}
+
+
+def _id(row: str) -> str:
+    day = f"CAST(date_diff('day', DATE '{TD.ID_EPOCH}', {row}.date) AS BIGINT)"
+    return (
+        f"({day} * (SELECT stores FROM id_sizes) + {row}.store_nbr) * (SELECT families FROM id_sizes) + f.family_rank"
+    )
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -80,6 +98,14 @@ def prelude() -> str:
     hflags = _holiday_flags_sql()
     hcols = ",\n    ".join(f"CAST(COALESCE(h.{c}, 0) AS INTEGER) AS {c}" for c in S.HOLIDAY_FEATURE_COLUMNS)
     return f"""WITH
+win AS (
+  SELECT mx - {3 * N} AS train_end, mx - {3 * N - 1} AS validation_start, mx - {2 * N} AS validation_end,
+         mx - {2 * N - 1} AS internal_test_start, mx - {N} AS internal_test_end, mx - {N - 1} AS future_start, mx AS future_end
+  FROM (SELECT max(CAST(l_shipdate AS DATE)) AS mx FROM lineitem)
+),
+id_sizes AS (
+  SELECT (SELECT max(n_nationkey) + 2 FROM nation) AS stores, (SELECT count(DISTINCT p_type) FROM part) AS families
+),
 stores_raw AS (
   SELECT CAST(n_nationkey + 1 AS INTEGER) AS store_nbr, n_name AS city, r_name AS state,
          chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type, CAST(n_regionkey + 1 AS INTEGER) AS cluster
@@ -98,27 +124,27 @@ sales_all AS (
   GROUP BY 1, 2, 3
 ),
 sales AS (
-  SELECT CAST(date_diff('day', DATE '{TD.ID_EPOCH}', s.date) AS BIGINT) * 100000 + s.store_nbr * 100 + f.family_rank AS id,
+  SELECT {_id('s')} AS id,
          s.date, s.store_nbr, s.family, s.sales, s.onpromotion
   FROM sales_all s JOIN families f ON s.family = f.family
-  WHERE s.date <= DATE '{TD.INTERNAL_TEST_END}'
+  WHERE s.date <= {W['internal_test_end']}
 ),
-pairs AS (SELECT DISTINCT store_nbr, family FROM sales_all WHERE date < DATE '{TD.FUTURE_START}'),
+pairs AS (SELECT DISTINCT store_nbr, family FROM sales_all WHERE date < {W['future_start']}),
 future_grid AS (
   SELECT p.store_nbr, p.family, CAST(g.d AS DATE) AS date
-  FROM pairs p CROSS JOIN (SELECT unnest(generate_series(DATE '{TD.FUTURE_START}', DATE '{TD.FUTURE_END}', INTERVAL 1 DAY)) AS d) g
+  FROM pairs p CROSS JOIN (SELECT unnest(generate_series({W['future_start']}, {W['future_end']}, INTERVAL 1 DAY)) AS d) g
 ),
 future AS (
-  SELECT CAST(date_diff('day', DATE '{TD.ID_EPOCH}', g.date) AS BIGINT) * 100000 + g.store_nbr * 100 + f.family_rank AS id,
+  SELECT {_id('g')} AS id,
          g.date, g.store_nbr, g.family, COALESCE(s.onpromotion, CAST(0 AS BIGINT)) AS onpromotion
   FROM future_grid g JOIN families f ON g.family = f.family
   LEFT JOIN sales_all s ON s.date = g.date AND s.store_nbr = g.store_nbr AND s.family = g.family
 ),
 template AS (SELECT id, CAST(0 AS DOUBLE) AS sales FROM future),
 oil AS (
-  SELECT CAST(o_orderdate AS DATE) AS date,
+  SELECT CAST(o_orderdate AS DATE) - CAST(greatest(isodow(CAST(o_orderdate AS DATE)) - 5, 0) AS INTEGER) AS date,
          CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS dcoilwtico
-  FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) <= 5 GROUP BY 1
+  FROM orders GROUP BY 1
 ),
 transactions AS (
   SELECT CAST(o_orderdate AS DATE) AS date, CAST(c_nationkey + 1 AS INTEGER) AS store_nbr, CAST(COUNT(*) AS INTEGER) AS transactions
@@ -201,7 +227,7 @@ labeled_lagged AS (
 ),
 diag_base AS (
   SELECT *, sales * CAST(80 + 5 * (store_nbr % 9) AS DOUBLE) / CAST(100 AS DOUBLE) AS predicted_sales
-  FROM features WHERE date BETWEEN DATE '{TD.INTERNAL_TEST_START}' AND DATE '{TD.INTERNAL_TEST_END}'
+  FROM features WHERE date BETWEEN {W['internal_test_start']} AND {W['internal_test_end']}
 ),
 diagnostics AS (
   SELECT *, CAST(date_diff('day', (SELECT min(date) FROM diag_base), date) + 1 AS INTEGER) AS forecast_day,
@@ -212,7 +238,7 @@ diagnostics AS (
 ),
 forecast_eval AS (
   SELECT *, sales * CAST(80 + 5 * (store_nbr % 9) AS DOUBLE) / CAST(100 AS DOUBLE) AS predicted_sales
-  FROM sales WHERE date BETWEEN DATE '{TD.INTERNAL_TEST_START}' AND DATE '{TD.INTERNAL_TEST_END}'
+  FROM sales WHERE date BETWEEN {W['internal_test_start']} AND {W['internal_test_end']}
 ),
 request_log AS (
   SELECT 'http_request' AS event, ts AS timestamp_utc, CAST(event_id AS VARCHAR) AS request_id,

@@ -4,7 +4,7 @@ Mapping (one store per nation, numbered nation key + 1; one product family per p
 
 * sales          lineitem x part x supplier summed per (ship date, supplier nation, part type)
 * stores         nation x region; city = nation, state = region
-* oil            weekday order-price average per order date
+* oil            order-price average per weekday; weekend orders count for the Friday before
 * transactions   order count per (order date, customer nation)
 * holidays       calendar rules expanded over the years the sales cover, plus one
                  regional event per region and one local event per nation
@@ -25,19 +25,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfcast.session import small_lookup
+from shelfcast.operators.splits import Windows
+from shelfcast.session import written_lookup
 
-# --- fixed values: evaluation windows of the driver data --------------------
+
+def windows_ending(last: dt.date) -> Windows:
+    """Future, internal test and validation: three windows of WINDOW_DAYS up to ``last``; training before."""
+    def back(days: int) -> dt.date:
+        return last - dt.timedelta(days=days)
+
+    n = WINDOW_DAYS
+    return Windows(
+        train_end=back(3 * n), validation_start=back(3 * n - 1), validation_end=back(2 * n),
+        internal_test_start=back(2 * n - 1), internal_test_end=back(n), future_start=back(n - 1), future_end=last,
+    )
+
+# --- fixed values: start of the id count, promotion rule ---------------------
 ID_EPOCH = dt.date(1995, 1, 1)
-TRAIN_END = dt.date(2001, 5, 29)
-VALIDATION_START = dt.date(2001, 5, 30)
-VALIDATION_END = dt.date(2001, 6, 14)
-INTERNAL_TEST_START = dt.date(2001, 6, 15)
-INTERNAL_TEST_END = dt.date(2001, 6, 30)
-FUTURE_START = dt.date(2001, 7, 1)
-FUTURE_END = dt.date(2001, 7, 16)
 PROMO_DISCOUNT = 0.08
 
+#: Days of each evaluation window; they are counted back from the last ship date, so every row has a place.
+WINDOW_DAYS = 16
+
 # --- fixed values: national calendar rules ----------------------------------
 # (month, day, type, locale, locale_name, description, transferred)
 CALENDAR_RULES = [
@@ -90,6 +99,16 @@ class Source:
     def __post_init__(self) -> None:
         self._daily: DataFrame | None = None
         self._raw: dict[str, DataFrame] = {}
+        self._windows: Windows | None = None
+        self._id_sizes: tuple[int, int] | None = None
+
+    @property
+    def windows(self) -> Windows:
+        """Evaluation windows that end with the last ship date (one aggregate over one column)."""
+        if self._windows is None:
+            last = self.raw("lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+            self._windows = windows_ending(last or ID_EPOCH)
+        return self._windows
 
     def daily_sales(self) -> DataFrame:
         """All daily sales, derived once per source and cached (one lineitem scan)."""
@@ -153,26 +172,33 @@ class Source:
             F.sum("promo").cast("long").alias("onpromotion"),
         )
 
+    def id_sizes(self) -> tuple[int, int]:
+        """Store numbers (largest + 1) and families: the places an id needs for each."""
+        if self._id_sizes is None:
+            stores = self.raw("nation").agg(F.max("n_nationkey") + 2).first()[0]
+            families = self.raw("part").agg(F.count_distinct("p_type")).first()[0]
+            self._id_sizes = (int(stores or 1), max(1, int(families)))
+        return self._id_sizes
+
     def with_id(self, df: DataFrame) -> DataFrame:
+        """``id`` = (day * stores + store) * families + family: one value for each key, whatever the sizes."""
         if "_fam" not in self._raw:
-            self._raw["_fam"] = small_lookup(self.families(), 10_000)
-        fam = self._raw["_fam"]
-        return df.join(fam, "family").withColumn(
-            "id",
-            F.datediff("date", d(ID_EPOCH)).cast("long") * F.lit(100000)
-            + F.col("store_nbr") * F.lit(100)
-            + F.col("family_rank"),
-        ).drop("family_rank")
-
-    def sales(self, end: dt.date = INTERNAL_TEST_END) -> DataFrame:
-        """Labeled base table (train.csv shape) up to ``end``."""
-        daily = self.daily_sales().filter(F.col("date") <= d(end))
+            self._raw["_fam"] = written_lookup(self.families(), "families")
+        stores, families = self.id_sizes()
+        day = F.datediff("date", d(ID_EPOCH)).cast("long")
+        place = (day * F.lit(stores) + F.col("store_nbr")) * F.lit(families) + F.col("family_rank")
+        return df.join(self._raw["_fam"], "family").withColumn("id", place).drop("family_rank")
+
+    def sales(self, end: dt.date | None = None) -> DataFrame:
+        """Labeled base table (train.csv shape) up to ``end``, by default the internal test's."""
+        daily = self.daily_sales().filter(F.col("date") <= d(end or self.windows.internal_test_end))
         return self.with_id(daily).select(
             "id", "date", "store_nbr", "family", "sales", "onpromotion"
         )
 
-    def future(self, start: dt.date = FUTURE_START, days: int = 16) -> DataFrame:
+    def future(self, start: dt.date | None = None, days: int = WINDOW_DAYS) -> DataFrame:
         """Future base (test.csv shape): every observed pair on each of ``days`` days."""
+        start = start or self.windows.future_start
         end = start + dt.timedelta(days=days - 1)
         daily = self.daily_sales()
         pairs = daily.filter(F.col("date") < d(start)).select("store_nbr", "family").distinct()
@@ -188,12 +214,12 @@ class Source:
         return self.future().select("id", F.lit(0.0).alias("sales"))
 
     def oil(self) -> DataFrame:
+        day = F.col("o_orderdate").cast("date")
         orders = self.raw("orders").select(
-            F.col("o_orderdate").cast("date").alias("date"), "o_totalprice"
+            F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0))).alias("date"), "o_totalprice"
         )
         return (
-            orders.filter(F.weekday("date") <= 4)
-            .groupBy("date")
+            orders.groupBy("date")
             .agg(
                 (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
                  / F.count(F.lit(1)).cast("double")).alias("dcoilwtico")
@@ -252,16 +278,15 @@ class Source:
         return request_log_from(self.raw("events"))
 
     def events_stream(self) -> DataFrame:
-        """The events file as a file-source stream (one file per trigger)."""
+        """The events table, one file or a folder of files, as a file-source stream."""
         schema = self.raw("events").schema
-        return (
-            self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(self.sf_dir)
-        )
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir.rstrip('/')}/events.parquet*")
+
     # -- evaluation frame ---------------------------------------------------------
     def forecast_eval(self) -> DataFrame:
         """Internal-test rows with a deterministic stand-in forecast per store."""
-        s = self.sales().filter(F.col("date").between(d(INTERNAL_TEST_START), d(INTERNAL_TEST_END)))
+        w = self.windows
+        s = self.sales().filter(F.col("date").between(d(w.internal_test_start), d(w.internal_test_end)))
         pred = F.col("sales") * (F.lit(80) + F.lit(5) * (F.col("store_nbr") % 9)).cast("double") / F.lit(100.0)
         return s.withColumn("predicted_sales", pred)
 

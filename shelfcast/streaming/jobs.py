@@ -1,14 +1,13 @@
 """Structured Streaming jobs.
 
 * ``run_rollup_stream``: request-log files -> windowed per-path rollup in
-  update mode (watermark-bounded state); changed windows are appended per
+  update mode (watermark-bounded state); changed windows are written per
   micro-batch and ``latest_rollup`` reads the newest version (checkpointed,
   restartable after executor or driver loss).
-* ``run_scoring_stream`` (R3): arriving JSON Lines record files, one file per
-  micro-batch (= one complete future batch); each batch is parsed and
-  validated (S17/V8), checked for the window and pair coverage, given exact
-  sales lags and scored; valid forecasts are appended, a rejected batch is
-  written whole to a quarantine folder with its reason.
+* ``run_scoring_stream`` (R3): arriving folders of JSON Lines records, each a
+  complete future batch; batches are parsed and validated (S17/V8), checked
+  for the window and pair coverage, given exact sales lags and scored; a
+  refused batch is written whole to a quarantine folder with its reason.
 """
 
 from __future__ import annotations
@@ -19,18 +18,20 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast import schemas as S
+from shelfcast.functions.columns import count_if
 from shelfcast.operators import guards as G
-from shelfcast.operators.joins import pair_coverage
 from shelfcast.plans import model as MD
 from shelfcast.plans.features import add_sales_lags
+from shelfcast.session import materialize
 from shelfcast.sources.records import parse_records
 from shelfcast.streaming.requests import path_rollup_stream
 
 
 def run_rollup_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
                       window: str = "1 day", watermark: str = "1 hour") -> str:
-    """Update-mode rollup: only windows changed by a micro-batch are emitted and
-    appended with their batch id; state for windows behind the watermark is
+    """Update-mode rollup: only windows changed by a micro-batch are emitted, each
+    micro-batch in a folder of its own that a replay writes over; state for windows behind the watermark is
     dropped, so state stays bounded on an endless stream. ``latest_rollup``
     reads the newest version of every (window, path)."""
     agg = path_rollup_stream(source, window, watermark).select(
@@ -39,7 +40,7 @@ def run_rollup_stream(spark: SparkSession, source: DataFrame, out_path: str, che
     )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (
         agg.writeStream.outputMode("update").foreachBatch(append)
@@ -65,45 +66,39 @@ def run_scoring_stream(
     out_path: str,
     quarantine_path: str,
     checkpoint: str,
+    max_files: int | None = None,
 ) -> str:
     """Each arriving ``batch=<key>`` directory holds one complete future batch
     as JSON Lines (written by the producer, then moved into place whole).
-    A micro-batch may carry several batches; each is validated and scored on
-    its own, keyed by its directory, so a batch spreads over many tasks.
+    A micro-batch may carry any number of batches: all are validated by
+    grouping over the batch key and scored together. Output and quarantine go to a
+    folder of the micro-batch, which a replay writes over. ``max_files`` bounds
+    the files of a micro-batch; it needs producers that write a batch as one file.
     """
-    cutoff = dt.date.fromisoformat(bundle["metadata"]["training_end"])
+    cutoff = MD.training_end(bundle)
     hist = history.select("date", "store_nbr", "family", "sales")
-    stream = spark.readStream.option("recursiveFileLookup", "true").text(input_dir).select(
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.text(input_dir).select(
         F.col("value").alias("record"),
         F.regexp_extract(F.input_file_name(), r"batch=([^/]+)", 1).alias("batch"),
     )
 
-    def one(records: DataFrame, key: str, batch_id: int) -> None:
-        valid, rejected = parse_records(records)
-        feats = add_sales_lags(valid, hist, check_unique=False)
-        reason = None
-        if rejected.limit(1).count():
-            reason = "record_contract"
-        else:
-            bad = [r.rule for r in G.window_rules(feats, cutoff).collect() if r.violations]
-            cov = pair_coverage(valid, hist).first()
-            if bad:
-                reason = "window:" + ",".join(sorted(bad))
-            elif cov.missing_pairs or cov.unexpected_pairs:
-                reason = "pair_coverage"
-        if reason:
-            records.withColumns({"batch_id": F.lit(batch_id), "reason": F.lit(reason)}).write.mode("append").parquet(quarantine_path)
-            return
-        scored = MD.score_batch(bundle, feats, check_window=False)
-        scored.withColumns({"batch": F.lit(key), "batch_id": F.lit(batch_id)}).write.mode("append").parquet(out_path)
-
-    def score(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    def score(records: DataFrame, batch_id: int) -> None:
+        records = records.persist()
         try:
-            for row in batch.select("batch").distinct().collect():
-                one(batch.filter(F.col("batch") == row.batch).select("record"), row.batch, batch_id)
+            valid, _ = parse_records(records, carry=["batch"])
+            reasons = materialize(batch_reasons(records, valid, hist, cutoff), "stream-reasons")
+            refused = records.join(reasons, "batch")
+            refused.write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+            good = valid.join(reasons, "batch", "left_anti")
+            feats = add_sales_lags(good, hist, check_unique=False)
+            scored = MD.score_batch(bundle, feats, check_window=False, carry=["batch"])
+            scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+            scored.unpersist()
         finally:
-            batch.unpersist()
+            records.unpersist()
 
     q = (
         stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
@@ -113,4 +108,42 @@ def run_scoring_stream(
     return out_path
 
 
+def batch_reasons(records: DataFrame, valid: DataFrame, history: DataFrame, cutoff: dt.date) -> DataFrame:
+    """(batch, reason) of every batch to refuse: one row for each batch that breaks the record, window or
+    pair contract, all found by grouping over the batch key."""
+    sizes = records.groupBy("batch").agg(F.count(F.lit(1)).alias("records"))
+    rules = {name: count_if(bad).alias(name) for name, bad in G.window_row_rules(cutoff).items()}
+    first, last = cutoff + dt.timedelta(days=1), cutoff + dt.timedelta(days=S.FORECAST_HORIZON_DAYS)
+    rows = valid.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("valid"),
+        *rules.values(),
+        F.count_distinct("id").alias("ids"),
+        F.count_distinct(*[F.col(k) for k in S.BASE_KEY]).alias("keys"),
+        F.count_distinct(F.when(F.col("date").between(F.lit(first), F.lit(last)), F.col("date"))).alias("days"),
+    )
+    pairs = valid.groupBy("batch", "store_nbr", "family").agg(F.count_distinct("date").alias("days"))
+    known = history.select("store_nbr", "family").distinct().withColumn("known", F.lit(1))
+    pairs = pairs.join(known, ["store_nbr", "family"], "left").groupBy("batch").agg(
+        count_if(F.col("days") != S.FORECAST_HORIZON_DAYS).alias("incomplete"),
+        F.count(F.lit(1)).alias("pairs"),
+        F.count("known").alias("known"),
+    )
+    expected = known.agg(F.count(F.lit(1)).alias("expected"))
+    facts = sizes.join(rows, "batch", "left").join(pairs, "batch", "left").join(F.broadcast(expected))  # one row
+    window = [F.when(F.col(name) > 0, F.lit(name)) for name in rules]
+    window += [
+        F.when(F.col("ids") < F.col("valid"), F.lit("duplicate_id")),
+        F.when(F.col("keys") < F.col("valid"), F.lit("duplicate_base_key")),
+        F.when(F.col("days") < S.FORECAST_HORIZON_DAYS, F.lit("missing_window_dates")),
+        F.when(F.col("incomplete") > 0, F.lit("incomplete_pairs")),
+    ]
+    broken = F.array_sort(F.array_compact(F.array(*window)))
+    reason = (
+        F.when(F.coalesce("valid", F.lit(0)) < F.col("records"), F.lit("record_contract"))
+        .when(F.size(broken) > 0, F.concat(F.lit("window:"), F.concat_ws(",", broken)))
+        .when((F.col("known") < F.col("pairs")) | (F.col("known") < F.col("expected")), F.lit("pair_coverage"))
+    )
+    return facts.select("batch", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 __all__ = ["run_rollup_stream", "latest_rollup", "run_scoring_stream"]

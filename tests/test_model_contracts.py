@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.ml import Transformer
 from pyspark.sql import functions as F
@@ -104,7 +105,33 @@ class _Const(Transformer):
 
 
 def _bundle(value):
-    return {"artifact_schema_version": 1, "metadata": {"training_end": CUTOFF.isoformat()}, "model": _Const(value)}
+    metadata = {
+        "model_version": MD.MODEL_VERSION, "horizon_days": S.FORECAST_HORIZON_DAYS, "lag_days": list(S.SAFE_LAGS),
+        "features": {"ordered": list(S.MODEL_FEATURES)}, "training": {"end": CUTOFF.isoformat()},
+        "evaluation": {"selected_by": "validation rmsle"}, "engine": {"spark": pyspark.__version__},
+    }
+    return {"artifact_schema_version": 1, "metadata": metadata, "model": _Const(value)}
+
+
+@pytest.mark.parametrize(
+    ("change", "rule"),
+    [
+        ({"artifact_schema_version": 2}, "schema_version"), ({"extra": 1}, "top_level_keys"), ({"model": 3}, "model_transforms"),
+        ({"model_version": "x"}, "model_version"), ({"horizon_days": 7}, "horizon_days"), ({"engine": {"spark": "1"}}, "spark_version"),
+        ({"features": {"ordered": S.MODEL_FEATURES[::-1]}}, "feature_order"), ({"evaluation": {}}, "evaluation"), ({"training": {}}, "training_end"),
+    ],
+)
+def test_bundle_rules_name_what_is_broken(future_df, change, rule):
+    bundle = _bundle(1.0)
+    top = {k: v for k, v in change.items() if k in ("artifact_schema_version", "extra", "model")}
+    bundle = {**bundle, **top, "metadata": {**bundle["metadata"], **{k: v for k, v in change.items() if k not in top}}}
+    with pytest.raises(ContractError, match=rule):
+        MD.score_batch(bundle, future_df)
+
+
+def test_null_prediction_is_not_zero(future_df):
+    with pytest.raises(ContractError, match="not finite"):
+        MD.score_batch(_bundle(None), future_df)
 
 
 def test_constant_model_scores_every_row_deterministically(future_df):
@@ -116,7 +143,7 @@ def test_constant_model_scores_every_row_deterministically(future_df):
 
 
 def test_nan_predictions_raise(future_df):
-    with pytest.raises(ContractError, match="non-finite"):
+    with pytest.raises(ContractError, match="not finite"):
         MD.score_batch(_bundle(float("nan")), future_df)
 
 

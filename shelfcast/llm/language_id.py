@@ -20,7 +20,7 @@ from shelfcast.llm.hashing import slices
 
 #: Bounds of the sample of each language: rows, and characters over all of them.
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 49_152
+SAMPLE_CHARS = 16_384
 #: Rows up to this length are taken first.
 ROW_CHARS = 8_192
 UNDETERMINED = "und"

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import hashing
+from shelfcast.llm.tokens import PieceStore, flat_ids, is_plain, plain_pattern
 
 
 class PerfectHash:
@@ -84,11 +83,7 @@ def _hash_all(keys: list[bytes]) -> np.ndarray:
 
 
 class ByteBpe:
-    """Encodes and decodes by ``ranks``, a file of base64 tokens and their ids.
-
-    Ids of the last ``memo`` different pre-tokens at most are held, flat, for
-    the next texts; the store starts anew when it is full.
-    """
+    """Encodes and decodes by ``ranks``, a file of base64 tokens and their ids."""
 
     def __init__(self, ranks: str, pattern: str, memo: int = 600_000):
         with open(ranks, "rb") as lines:
@@ -96,14 +91,9 @@ class ByteBpe:
         self.keys = list(self.ranks)
         self.ids = np.fromiter(self.ranks.values(), np.int32, len(self.keys))
         self.whole = PerfectHash(self.keys)
-        self.split = regex.compile(pattern)
+        self.split, self.plain_split = regex.compile(pattern), plain_pattern(pattern)
         self.token_bytes = {i: k for k, i in self.ranks.items()}
-        self.most = memo
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.stop = array("i"), array("q", [0])
+        self.store = PieceStore(self.pieces, memo)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token that is not a token: the pair of lowest rank, leftmost first, is merged."""
@@ -132,34 +122,15 @@ class ByteBpe:
             at = after[at]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Stores the ids of pre-tokens not stored yet."""
-        asked = [w.encode() for w in words]
-        for text, word, key in zip(words, asked, self.whole.candidates(asked).tolist()):
-            if self.keys[key] == word:
-                self.flat.append(int(self.ids[key]))
-            else:
-                self.flat.extend(self.merge(word))
-            self.number[text] = len(self.number)
-            self.stop.append(len(self.flat))
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each pre-token, flat, and their numbers: one look-up if it is a token, else its merges."""
+        words = [w.encode() for w in pieces]
+        found = zip(words, self.whole.candidates(words).tolist())
+        return flat_ids([[int(self.ids[key])] if self.keys[key] == word else self.merge(word) for word, key in found])
 
     def column(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each match of the pattern encoded separately, and the n + 1 bounds of each text's ids."""
-        if len(self.number) > self.most:
-            self._clear()
-        parts = [self.split.findall(t) for t in texts]
-        words = list(chain.from_iterable(parts))
-        found = list(map(self.number.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, at in zip(words, found) if at is None)))
-            found = list(map(self.number.__getitem__, words))
-        at = np.array(found, np.int64)
-        stop = np.array(self.stop, np.int64)
-        take = stop[at + 1] - stop[at]
-        ends = np.cumsum(take)
-        out = np.array(self.flat, np.int32)[np.repeat(stop[at] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.cumsum([0, *map(len, parts)])
-        return out, np.concatenate([[0], ends])[bounds]
+        return self.store.column([(self.plain_split if is_plain(t) else self.split).findall(t) for t in texts])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))

@@ -67,7 +67,7 @@ class BestFit:
 def _tokenise(make_encoder: Callable, args: tuple, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(make_encoder, *args)
-        for part in slices(batches, "text", 16 << 20):
+        for part in slices(batches, "text", 4 << 20):
             ids, bounds = encoder.column(part.column("text"))
             doc, piece, start, length, crc = [], [], [], [], []
             for i in range(part.num_rows):
@@ -127,7 +127,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset).
 
-    ``make_encoder(*args)`` gives a ChunkEncoder in each Python worker. A
+    ``make_encoder(*args)`` gives an encoder (see ``tokens``) in each Python worker. A
     document is its ids and one ``end_id``; if longer than ``size`` it is cut
     into pieces of ``size``, of which the last may be shorter. ids_crc32 is of
     the piece's ids as little-endian unsigned 32-bit integers.

@@ -35,7 +35,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_VOCABULARY)
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.word_encoder, path)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.WordEncoder, path)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     args = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    files = token_scan.token_files(docs, tokens.rank_encoder, *args, end_id=END_ID)
+    files = token_scan.token_files(docs, tokens.RankEncoder, *args, end_id=END_ID)
     with Scratch(spark) as tmp:
         files = tmp.write(files, "token-files", keep=True)
     counts = token_scan.token_counts(files, END_ID)

@@ -1,132 +1,156 @@
-"""Token ids of many texts at once: each distinct space-separated chunk is encoded once.
-
-A text is cut at single spaces that stand between two characters that are not
-white space. Both vocabularies' splitting patterns never join characters over
-such a place, so a text's ids are those of its chunks in order. Where a chunk
-is empty or edged by white space, the text is encoded whole.
-"""
+"""Token ids of many texts at once, for the vocabularies of public tokenizer libraries."""
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: White space at a chunk's edge, or nothing in it.
-_UNCLEAN = r"^$|^\s|\s$|^[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]$"
+# Letters and numbers of ASCII, Latin-1 and Latin Extended-A, for patterns written with \p{L} and \p{N}.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ž", "0-9²³¹¼-¾"
+#: Any character beyond white space in ASCII and the printable ones of these blocks. U+0130 is left out:
+#: lower-casing splits it.
+_OTHER = re.compile("[^\t-\r -~\xa1-įı-ž‐-‧‰-›€]")
 
 
-class Memo:
-    """Results of the last few hundred thousand keys: two generations, the older dropped when the newer is full."""
+def is_plain(text: str) -> bool:
+    """Whether all characters are of the blocks that ``plain_pattern`` knows; lower-casing and
+    normalisation change none of them but one for one."""
+    return _OTHER.search(text) is None
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
 
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
+def plain_pattern(pattern: str) -> re.Pattern:
+    """The pattern for plain texts, with its letter and number classes written out."""
+    pattern = pattern.replace(r"\s\p{L}\p{N}", r"\s" + _LETTERS + _NUMBERS)
+    return re.compile(pattern.replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]"))
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most // 2:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
 
+class _Numbers(dict):
+    """Numbers of pieces in the order in which they are first asked for; ``new`` lists those just added."""
 
-class ChunkEncoder:
-    """Encodes columns of texts with ``encode``: a list of strings to a list of int32 arrays.
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-    ``leading_space``: whether a chunk that is not its text's first is encoded
-    with the space before it.
-    """
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], leading_space: bool, memo: int = 200_000):
-        self.encode, self.leading_space, self.memo = encode, leading_space, Memo(memo)
 
-    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
-        out = [self.memo.get(c) for c in chunks]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(missing, self.encode([chunks[i] for i in missing]) if missing else []):
-            out[i] = ids
-            if len(chunks[i]) <= 64:
-                self.memo.put(chunks[i], ids)
-        return out
+class PieceStore:
+    """Ids of pieces of text, each learnt once: the last ``most`` different ones at most are held, flat.
 
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (null as empty), and the n + 1 bounds of each text's ids."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        pieces = pc.split_pattern(texts, " ")
-        chunks = pieces.values.slice(pieces.offsets[0].as_py(), pieces.offsets[-1].as_py() - pieces.offsets[0].as_py())
-        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        firsts = np.zeros(len(chunks), bool)
-        firsts[bounds[:-1]] = True
-        names = chunks.dictionary_encode()
-        codes, words = names.indices.to_numpy(), names.dictionary
-        unclean = pc.match_substring_regex(words, _UNCLEAN).to_numpy(zero_copy_only=False)
-        bad = np.logical_or.reduceat(unclean[codes], bounds[:-1]) if len(bounds) > 1 else np.empty(0, bool)
-        words = words.to_pylist()
-        keys = codes.astype(np.int64) * 2 + (firsts if self.leading_space else 0)
-        # A text that has to be encoded whole stands for its first chunk; its other chunks give nothing.
-        whole = {int(bounds[i]): int(i) for i in np.flatnonzero(bad)}
-        used, at = np.unique(keys, return_inverse=True)
-        ids = self._ids([words[k >> 1] if (k & 1) or not self.leading_space else " " + words[k >> 1] for k in used.tolist()])
-        if whole:
-            at = at.copy()
-            extra = self._ids([texts[i].as_py() for i in whole.values()])
-            nothing = len(ids) + len(extra)
-            at[np.repeat(bad, np.diff(bounds))] = nothing
-            at[list(whole)] = np.arange(len(ids), nothing)
-            ids = [*ids, *extra, np.empty(0, np.int32)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        starts = np.cumsum(lengths) - lengths
-        take = lengths[at]
+    ``encode`` gives the ids of a list of pieces, flat, and the number of ids of
+    each. The store starts anew when it holds ``most`` pieces or ``most_chars`` characters.
+    """
+
+    def __init__(
+        self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, most_chars: int = 1 << 24
+    ):
+        self.encode, self.most, self.most_chars = encode, most, most_chars
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number, self.chars = _Numbers(), 0
+        self.flat, self.stop = array("i"), array("q", [0])
+
+    def column(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, given as lists of pieces, and the n + 1 bounds of each text's ids."""
+        if len(self.number) > self.most or self.chars > self.most_chars:
+            self._clear()
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64)
+        if new := self.number.new:
+            ids, lengths = self.encode(new)
+            self.stop.frombytes((self.stop[-1] + np.cumsum(lengths)).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.astype(np.int32).tobytes())
+            self.chars += sum(map(len, new))
+            self.number.new = []
+        stop = np.array(self.stop, np.int64)
+        take = stop[at + 1] - stop[at]
         ends = np.cumsum(take)
-        out = flat[np.repeat(starts[at] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)]
-        return out.astype(np.int32), np.concatenate([[0], ends])[bounds]
+        out = np.array(self.flat, np.int32)[np.repeat(stop[at] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
+
 
+def flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists, flat, and the length of each."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
 
-def word_encoder(path: str) -> ChunkEncoder:
-    """Ids of a file of the tokenizers library, without special tokens, for vocabularies that drop white space."""
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of a file of the tokenizers library, without special tokens, for a vocabulary that
+    lower-cases, normalises, drops white space and splits by ``SPLIT``.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    Plain texts are lower-cased and split here, and each piece is encoded once; any other is encoded whole.
+    """
+
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return ChunkEncoder(encode, leading_space=False)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.split = plain_pattern(self.SPLIT)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.store = PieceStore(self._ids)
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain pieces are encoded as one text: each of them ends with the next token that ends a word."""
+        if not all(map(is_plain, pieces)):
+            return flat_ids([self._encode(p) for p in pieces])
+        ids = np.array(self._encode(" ".join(pieces)), np.int32)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null as empty), and the n + 1 bounds of each text's ids."""
+        given = [t or "" for t in texts.to_pylist()]
+        if all(map(is_plain, given)):
+            return self.store.column([self.split.findall(t.lower()) for t in given])
+        lists = []
+        for t in given:
+            if is_plain(t):
+                lists.append(self.store.column([self.split.findall(t.lower())])[0])
+            else:
+                lists.append(np.array(self._encode(t), np.int32))
+        return np.concatenate([np.empty(0, np.int32), *lists]), np.cumsum([0, *map(len, lists)])
+
+
+class RankEncoder:
     """Ids of a file of ranks, by the tiktoken library."""
-    import base64
 
-    import tiktoken
+    def __init__(self, path: str, pattern: str):
+        import base64
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        import tiktoken
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(model.encode_ordinary(t), np.int32) for t in texts]
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    return ChunkEncoder(encode, leading_space=True)
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null as empty), and the n + 1 bounds of each text's ids."""
+        ids = [np.array(self.model.encode_ordinary(t or ""), np.int32) for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)])
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[tuple, WordEncoder | RankEncoder] = {}
 
 
-def cached_encoder(make: Callable[..., ChunkEncoder], *args: str) -> ChunkEncoder:
+def cached_encoder(make: Callable, *args: str) -> WordEncoder | RankEncoder:
     """One encoder for each vocabulary in a Python worker."""
     key = (make.__name__, *args)
     if key not in _encoders:

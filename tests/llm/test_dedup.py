@@ -143,28 +143,72 @@ def test_connected_components_of_chains_and_hubs(spark):
     assert connected_components(none, "a", "b").count() == 0
 
 
-def test_paragraph_dedup_cases(spark):
-    texts = defaultdict(dict)
-    for i, t, *_ in rows():
-        if i is not None:
-            for k, line in enumerate((t or "").split("\n")):
-                if len(line.split()) >= 50:
-                    texts[i, k][line] = t
-    docs = [(place, line) for place, found in texts.items() for line in found]
-    component, _ = brute(docs, 5, 80)
-    got = paragraph_dedup.repeated_paragraphs(frame(spark)).collect()
-    assert {(r["doc_id"], r["paragraph"]): (r["keep_id"], r["keep_paragraph"]) for r in got} == {
-        k: v for k, v in component.items() if k != v
-    }
-    for r in got:
-        assert any(t[r["start"] : r["stop"]] == line for line, t in texts[r["doc_id"], r["paragraph"]].items())
-    cut = paragraph_dedup.without_paragraphs(frame(spark), paragraph_dedup.repeated_paragraphs(frame(spark)))
-    assert cut.columns == frame(spark).columns and cut.count() == len(rows())
-    left = {r["doc_id"]: r["text"] for r in cut.collect()}
-    gone = defaultdict(set)
-    for r in got:
-        gone[r["doc_id"]].add(r["paragraph"])
-    for i in (20, 21, 25, 14, 1, 2):
-        t = {a: b for a, b, *_ in rows()}[i]
-        assert left[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
-    assert paragraph_dedup.repeated_paragraphs(empty(spark)).count() == 0
+def grams(text, n=50):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def unique_words(seed, n):
+    return " ".join(f"u{seed}n{k}" for k in range(n))
+
+
+def test_passage_dedup_cases(spark):
+    passage = unique_words("p", 60)
+    near = " ".join("edit" if k == 30 else w for k, w in enumerate(unique_words("q", 80).split()))
+    boiler = unique_words("b", 30)
+    texts = {
+        1: unique_words(1, 70) + "\n" + passage, 2: unique_words(2, 30) + " " + passage.upper() + " " + unique_words(3, 90),
+        3: unique_words(4, 40) + " " + passage + "\n" + unique_words(5, 5), 4: unique_words("q", 80), 5: "é ü " + near + " ende",
+        6: unique_words(6, 49), 7: unique_words(6, 49), 8: unique_words(7, 50), 9: unique_words(7, 50),
+        10: boiler + " " + unique_words(8, 60), 11: boiler + " " + unique_words(9, 60), 12: boiler + " " + unique_words(9, 60),
+        13: unique_words(10, 55) + " x " + unique_words(10, 55), 14: "same " * 400, 15: None, 16: "", 17: unique_words(11, 30_000),
+    }
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in texts.items()] + [(None, passage, 1, "k")], "doc_id long, text string, place int, key string")
+    got = paragraph_dedup.repeated_passages(df).collect()
+    cut = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["stop"]] for r in got}
+    assert cut[2] == passage.upper() and cut[3] == passage and cut[5] == near
+    assert cut[9] == unique_words(7, 50) and cut[12] == texts[11] and cut[13] == unique_words(10, 55)
+    assert set(cut) - {14} == {2, 3, 5, 9, 12, 13}
+    by = {r["doc_id"]: r for r in got if r["doc_id"] != 14}
+    assert by[2]["component_id"] == by[3]["component_id"] != by[9]["component_id"]
+    assert by[2]["from_id"] == 1 and by[5]["from_id"] == 4 and by[12]["from_id"] == 11
+    left = paragraph_dedup.without_passages(df, paragraph_dedup.repeated_passages(df))
+    assert left.columns == df.columns and left.count() == df.count()
+    kept = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert all(kept[i] == texts[i] for i in texts if i not in cut)
+    assert kept[2] == unique_words(2, 30) + " " + unique_words(3, 90) and kept[9] == ""
+    assert paragraph_dedup.repeated_passages(empty(spark)).count() == 0
+    assert paragraph_dedup.repeated_passages(frame(spark)).count() > 0
+
+
+def test_no_run_of_words_is_left_twice(spark):
+    """Random texts that share runs of a few sentences, also where many share a shorter one."""
+    rng = np.random.default_rng(8)
+    pool = [unique_words(f"s{k}", int(rng.integers(8, 45))) for k in range(40)]
+    texts = {}
+    for i in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 7)):
+            at = int(rng.integers(0, 37))
+            parts += pool[at : at + int(rng.integers(1, 4))] if rng.random() < 0.6 else [unique_words(f"d{i}x{rng.integers(9**9)}", 20)]
+        texts[i] = " ".join(parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    removals = paragraph_dedup.repeated_passages(df)
+    spans = defaultdict(list)
+    for r in removals.collect():
+        spans[r["doc_id"]].append((r["start"], r["stop"]))
+    met = set()
+    for i, t in sorted(texts.items()):
+        w, at = [], 0
+        for word in t.split():
+            begin = t.index(word, at)
+            at = begin + len(word)
+            w.append((word.lower(), any(a <= begin < b for a, b in spans[i])))
+        for k in range(len(w) - 49):
+            run = tuple(x for x, _ in w[k : k + 50])
+            if run in met:  # words of an earlier document: every one of them is in a removal
+                assert all(gone for _, gone in w[k : k + 50])
+        own = grams(t)
+        met |= {tuple(x.decode() for x in g) for g in own}
+        # What is removed repeats: each of its words is in a run that an earlier text, or this one, has.
+    assert spans

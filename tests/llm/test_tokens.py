@@ -45,10 +45,10 @@ def test_byte_bpe_matches_the_library(library, texts):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(TEXTS, max_size=6))
-def test_chunk_encoders_match_the_libraries(library, word_library, texts):
+def test_encoders_match_the_libraries(library, word_library, texts):
     for made, one in (
-        (tokens.cached_encoder(tokens.rank_encoder, RANKS, P.PATTERN), library.encode_ordinary),
-        (tokens.cached_encoder(tokens.word_encoder, WORDS), lambda t: word_library.encode(t, add_special_tokens=False).ids),
+        (tokens.cached_encoder(tokens.RankEncoder, RANKS, P.PATTERN), library.encode_ordinary),
+        (tokens.cached_encoder(tokens.WordEncoder, WORDS), lambda t: word_library.encode(t, add_special_tokens=False).ids),
     ):
         ids, bounds = made.column(pa.array([*texts, None], pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [*map(one, texts), []]
@@ -95,7 +95,7 @@ def test_best_fit_takes_the_fullest_that_fits_and_closes_the_fullest():
 
 
 def test_pack_documents_cases(spark, word_library):
-    got = packing.pack_documents(frame(spark), tokens.word_encoder, WORDS, shard_docs=9).collect()
+    got = packing.pack_documents(frame(spark), tokens.WordEncoder, WORDS, shard_docs=9).collect()
     expected = []
     for i, t, *_ in rows():
         ids = [*word_library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -108,13 +108,13 @@ def test_pack_documents_cases(spark, word_library):
         assert r["offset"] == bins.get(r["sequence_id"], 0)
         bins[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(bins.values()) <= 2048
-    assert packing.pack_documents(empty(spark), tokens.word_encoder, WORDS).count() == 0
+    assert packing.pack_documents(empty(spark), tokens.WordEncoder, WORDS).count() == 0
 
 
 @pytest.mark.parametrize("block", [64, 1 << 20])
 def test_token_counts_of_documents(spark, library, block, tmp_path):
     files = token_scan.token_files(
-        frame(spark), tokens.rank_encoder, RANKS, P.PATTERN, end_id=50_256, block=block
+        frame(spark), tokens.RankEncoder, RANKS, P.PATTERN, end_id=50_256, block=block
     )
     files.write.parquet(str(tmp_path / "files"))
     files = spark.read.parquet(str(tmp_path / "files"))

@@ -23,6 +23,9 @@ from shelfcast.llm.components import connected_components
 from shelfcast.llm.scratch import Scratch
 
 BITS = 4
+#: Values of the finer sketch, and five standard deviations of its estimate at 0.8.
+FINE = 512
+FINE_MARGIN = 0.095
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,7 @@ def link_components(
     texts: Callable[[DataFrame], DataFrame],
     width: int,
     least: int,
-    cell: int = 256,
+    cell: int = 1024,
 ) -> DataFrame:
     """(id, component) of the nodes that are linked with another.
 
@@ -111,16 +114,19 @@ def link_components(
     whose estimate is under ``floor`` (well under that) are not confirmed.
 
     First every member of a bucket is tested against the bucket's smallest
-    node. Then, in buckets that still hold several components, nodes in
-    different components are tested, in cells of about ``cell`` members a
-    side, so no bucket gathers in one task. Pairs inside one component need no
-    test: they change no component.
-
-    In a large group of copies with many edits each, most nodes end alone, and
-    testing all their pairs would grow with its square. An exact bound spares
-    that: shingles that only one node of the open buckets has are in no
-    intersection, so |A & B| is at most the smaller count of the others, and
-    nodes and pairs that cannot reach ``least`` are left out.
+    node. Buckets that then hold several components stay open, and only pairs
+    of nodes in different components are tested further (those inside one
+    change no component): against the bucket's most central node, then, in
+    cells of about ``cell`` members a side, all others, each pair in the first
+    bucket that its nodes share.
+
+    In a large group of copies with many edits each, many nodes end alone, and
+    testing all their pairs would grow with its square. Two things spare that.
+    Shingles that only one node of the open buckets has are in no
+    intersection, so |A & B| is at most the smaller count of the others: nodes
+    and pairs that cannot reach ``least`` by this exact bound are left out.
+    And open nodes get a finer sketch of ``FINE`` values, whose estimate may
+    miss by ``FINE_MARGIN``, five standard deviations, before a pair is left out.
     """
     confirm = jaccard_confirm(width, least, 100)
     spark = classes.sparkSession
@@ -143,54 +149,96 @@ def link_components(
         links = tmp.write(verified_links(first.select("u", "v"), shared, confirm), "links")
         found = connected_components(links, "u", "v")
 
-        placed = members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left")
-        placed = tmp.write(placed.withColumn("component", F.coalesce("component", "node")), "placed")
-        split = placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
-        )
-        split = tmp.write(split.where("low != high").select("key", "n"), "split")
-        open_ = placed.select("key", "node", "component").join(split, "key")
-        owned = shared.join(open_.select("node").distinct(), "node", "left_semi")
+        unsettled = tmp.write(_open_buckets(members, found), "unsettled")
+        if unsettled.isEmpty():
+            return found
+        owned = tmp.write(shared.join(unsettled.select("node").distinct(), "node", "left_semi"), "owned")
         single = owned.mapInArrow(_items(width), "node long, item long").groupBy("item")
         single = single.agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
         single = tmp.write(single.groupBy("node").agg(F.count(F.lit(1)).alias("own_items")), "single")
-        sized = classes.select("node", "bits", F.col("n").alias("items")).join(single, "node", "left")
+        fine = owned.mapInArrow(_fine_bits(width), "node long, bits array<long>")
+        sized = classes.select("node", "keys", F.col("n").alias("items")).join(single, "node", "left")
         sized = sized.withColumn("common", F.col("items") - F.coalesce("own_items", F.lit(0)))
-        sized = sized.where(F.col("common") * 100 >= F.col("items") * least).select("node", "bits", "items", "common")
-        open_ = open_.join(sized, "node")
+        sized = sized.where(F.col("common") * 100 >= F.col("items") * least)
+        sized = tmp.write(sized.select("node", "keys", "items", "common").join(fine, "node"), "sized")
+
+        # The most central node shares most with the others, so it settles most of a bucket.
+        weighed = unsettled.join(sized.select("node", "items", "common"), "node")
+        weighed = tmp.write(weighed, "weighed")
+        centres = weighed.groupBy("key").agg(
+            F.min(F.struct((-F.col("common")).alias("rank"), "node", "component", "items", "common")).alias("hub")
+        )
+        centres = tmp.write(centres, "centres")
+        x, y = weighed.join(centres, "key"), F.col("hub")
+        reach = F.least(F.col("common"), y["common"])
+        near = x.where((F.col("component") != y["component"]) & (reach * 100 >= (F.col("items") + y["items"] - reach) * least))
+        near = near.select(F.least("node", y["node"]).alias("u"), F.greatest("node", y["node"]).alias("v")).distinct()
+        near = tmp.write(near.join(star, ["u", "v"], "left_anti"), "near")
+        links = tmp.write(links.unionByName(verified_links(near, shared, confirm)), "links")
+        found = connected_components(links, "u", "v")
+
+        rest = _open_buckets(members, found).join(sized, "node")
         cells = F.ceil(F.col("n") / cell).cast("long")
-        open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), cells))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
-        open_ = tmp.write(
-            open_.select(
-                "key", "node", "component", "bits", "items", "common", "own",
+        rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), cells))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+        rest = tmp.write(
+            rest.select(
+                "key", "node", "component", "keys", "bits", "items", "common", "own",
                 F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"),
             ),
-            "open",
+            "rest",
         )
-        x, y = open_.alias("x"), open_.alias("y")
-        most = F.least("x.common", "y.common")
+        x, y = rest.alias("x"), rest.alias("y")
+        reach = F.least("x.common", "y.common")
         same_cell = (
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.cell_a") == F.col("y.cell_a"))
             & (F.col("x.cell_b") == F.col("y.cell_b"))
         )
+        shared_at = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True)
         pairs = x.join(
             y,
             same_cell
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
             & ((F.col("x.cell_a") == F.col("x.cell_b")) | (F.col("x.own") != F.col("y.own")))
-            & (most * 100 >= (F.col("x.items") + F.col("y.items") - most) * least)
-            & (estimated_similarity(F.col("x.bits"), F.col("y.bits"), banding.k) >= floor),
+            & (reach * 100 >= (F.col("x.items") + F.col("y.items") - reach) * least)
+            & (estimated_similarity(F.col("x.bits"), F.col("y.bits"), FINE) >= least / 100 - FINE_MARGIN)
+            & (F.element_at("x.keys", shared_at.cast("int")) == F.col("x.key")),
         ).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        pairs = pairs.distinct().join(star, ["u", "v"], "left_anti")
+        pairs = pairs.distinct().join(star, ["u", "v"], "left_anti").join(near, ["u", "v"], "left_anti")
         more = tmp.write(verified_links(pairs, shared, confirm), "more")
         if more.isEmpty():
             return found
         return connected_components(links.unionByName(more), "u", "v")
 
 
+def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component, n) of the buckets of more than two nodes that hold several components."""
+    placed = members.where("size > 2").join(found.withColumnRenamed("id", "node"), "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    return placed.select("key", "node", "component").join(split.where("low != high").select("key", "n"), "key")
+
+
+def _fine_bits(width: int):
+    """(node, bits) with a sketch of FINE values of each node's text."""
+
+    def run(batches):
+        sketcher = Sketcher(Banding(rows=1, bands=1, k=FINE))
+        for piece in hashing.slices(batches, "text"):
+            sets = [shingle_set((t or "").encode(), width) for t in piece.column("text").to_pylist()]
+            minima = [sketcher.minima(x) if len(x) else np.zeros(FINE, np.uint32) for x in sets]
+            _, bits = sketcher.keys_and_bits(np.array(minima, np.uint32).reshape(len(sets), FINE))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("node"), pa.array(list(bits), pa.list_(pa.int64()))], names=["node", "bits"]
+            )
+
+    return run
+
+
 def _items(width: int):
     """(node, item) for every shingle of each node's text."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from array import array
@@ -133,8 +134,6 @@ class RankEncoder:
     """Ids of a file of ranks, by the tiktoken library."""
 
     def __init__(self, path: str, pattern: str):
-        import base64
-
         import tiktoken
 
         with open(path, "rb") as lines:

@@ -74,6 +74,18 @@ def enforce(audit_df: DataFrame, context: str = "", error: type[Exception] = Con
     return audit_df
 
 
+def enforce_all(audits: Mapping[str, DataFrame], error: type[Exception] = ContractError) -> None:
+    """``enforce`` for several tables at once: one action for all their rules, the first failing table is named."""
+    tables = [a.withColumn("context", F.lit(name)) for name, a in audits.items()]
+    failed: dict[str, list[str]] = {}
+    for r in reduce(DataFrame.unionByName, tables).collect():
+        if r.violations:
+            failed.setdefault(r.context, []).append(f"{r.rule}={int(r.violations)}")
+    for name in audits:
+        if name in failed:
+            raise error(f"{name} violates its contract: {', '.join(sorted(failed[name]))}")
+
+
 def null_rules(columns: Iterable[str], prefix: str = "null_") -> dict[str, Column]:
     return {f"{prefix}{c}": F.col(c).isNull() for c in columns}
 

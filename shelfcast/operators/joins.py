@@ -41,6 +41,12 @@ def base_rules(base: DataFrame, key: Sequence[str] = tuple(S.BASE_KEY)) -> DataF
     )
 
 
+def stored_base_rules(base: DataFrame, stores: DataFrame) -> DataFrame:
+    """V1 and "every store exists" of a base table."""
+    known = base.select("store_nbr").join(stores.select("store_nbr", F.lit(True).alias("_known")), "store_nbr", "left")
+    return base_rules(base).unionByName(audit(known, {"store_absent_from_stores": F.col("_known").isNull()}))
+
+
 def store_rules(stores: DataFrame) -> DataFrame:
     """V2: non-empty, key present and unique, metadata complete."""
     return audit(
@@ -97,9 +103,7 @@ def store_join(
     if validate:
         if not stores_checked:
             enforce(store_rules(stores), "stores")
-        known = base.select("store_nbr").join(st.select("store_nbr", F.lit(True).alias("_known")), "store_nbr", "left")
-        rules = base_rules(base).unionByName(audit(known, {"store_absent_from_stores": F.col("_known").isNull()}))
-        enforce(rules, name)
+        enforce(stored_base_rules(base, stores), name)
     return base.join(st, "store_nbr", "left").select(*base.columns, *S.STORE_OUTPUT_COLUMNS)
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
 from shelfcast.operators import holidays as H
-from shelfcast.operators.contracts import audit, enforce
-from shelfcast.operators.joins import add_calendar_features, store_join
+from shelfcast.operators.contracts import audit, enforce, enforce_all
+from shelfcast.operators.joins import add_calendar_features, store_join, store_rules, stored_base_rules
 from shelfcast.operators.lags import asof_lookup, exact_lag_lookup, exact_lags
 from shelfcast.functions.columns import nonnull_count
 from shelfcast.session import written_lookup
@@ -71,22 +71,25 @@ def attach_features(
 def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(labeled 34 columns, future 33 columns)."""
     if validate:
-        audit_df = R.source_rules(raw.oil, raw.transactions, raw.holidays)
-        failed = [r.rule for r in audit_df.collect() if r.violations]
-        if "holidays_unknown_event" in failed:
-            H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
-        if failed:
-            raise R.ContractError(f"source tables violate their contracts: {sorted(failed)}")
-        from shelfcast.operators.joins import store_rules
-
-        enforce(store_rules(raw.stores), "stores")
+        # All source and base contracts are one action.
+        try:
+            enforce_all({
+                "source tables": R.source_rules(raw.oil, raw.transactions, raw.holidays),
+                "stores": store_rules(raw.stores),
+                "train": stored_base_rules(raw.train, raw.stores),
+                "test": stored_base_rules(raw.test, raw.stores),
+            })
+        except R.ContractError as error:
+            if "holidays_unknown_event" in str(error):
+                H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
+            raise
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
     # Lookups are keyed by date or (date, store): written once for both base tables.
     oil_lk = written_lookup(oil_lookup(dates, raw.oil), "oil")
     txn_lk = written_lookup(transaction_lookup(raw.transactions), "transactions")
     hol_lk = H.prepared_lookups(raw.holidays, check=False)  # unknown events already audited
-    labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, hol_lk, True, validate, "train")
-    future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, hol_lk, False, validate, "test")
+    labeled = attach_features(raw.train, raw.stores, oil_lk, txn_lk, hol_lk, True, False, "train")
+    future = attach_features(raw.test, raw.stores, oil_lk, txn_lk, hol_lk, False, False, "test")
     return labeled, future
 
 

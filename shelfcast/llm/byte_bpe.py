@@ -86,7 +86,7 @@ def _hash_all(keys: list[bytes]) -> np.ndarray:
 class ByteBpe:
     """Encodes and decodes by ``ranks``, a file of base64 tokens and their ids."""
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 600_000):
+    def __init__(self, ranks: str, pattern: str, memo: int = 400_000):
         with open(ranks, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.keys = list(self.ranks)

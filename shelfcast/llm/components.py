@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from shelfcast.llm.scratch import Scratch
 
 
+#: Edges that a task handles, about.
+TASK_EDGES = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -24,6 +28,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Edges with a null end or equal ends link nothing and are left out.
     """
     with Scratch(edges.sparkSession) as tmp:
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            # As many tasks as the edges of the last round ask for: rounds on few edges are short.
+            return tmp.write(df.coalesce(1 + state[0] // TASK_EDGES), name)
+
         e = tmp.write(
             edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
             "edges",
@@ -32,14 +41,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         while state[0]:
             # Large star: each node hands its larger neighbours the smallest id around it.
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = tmp.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
-            e = tmp.write(
+            low = write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+            e = write(
                 both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
             )
             # Small star: each node hands its smaller neighbours, and itself, the smallest of them.
-            low = tmp.write(e.groupBy("u").agg(F.min("v").alias("m")), "low")
+            low = write(e.groupBy("u").agg(F.min("v").alias("m")), "low")
             moved = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            e = tmp.write(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+            e = write(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
             before, state = state, _state(e)
             if before == state:
                 break

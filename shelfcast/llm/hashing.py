@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -122,3 +122,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = max(at + 1, int(np.searchsorted(length, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        # What Arrow holds back for later would add up over the workers of an executor.
+        pa.default_memory_pool().release_unused()

@@ -67,7 +67,7 @@ class BestFit:
 def _tokenise(make_encoder: Callable, args: tuple, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(make_encoder, *args)
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text"):
             ids, bounds = encoder.column(part.column("text"))
             doc, piece, start, length, crc = [], [], [], [], []
             for i in range(part.num_rows):

@@ -52,7 +52,7 @@ class PieceStore:
     """
 
     def __init__(
-        self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, most_chars: int = 1 << 24
+        self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000, most_chars: int = 1 << 23
     ):
         self.encode, self.most, self.most_chars = encode, most, most_chars
         self._clear()
@@ -113,7 +113,8 @@ class WordEncoder:
         """Plain pieces are encoded as one text: each of them ends with the next token that ends a word."""
         if not all(map(is_plain, pieces)):
             return flat_ids([self._encode(p) for p in pieces])
-        ids = np.array(self._encode(" ".join(pieces)), np.int32)
+        parts = [self._encode(" ".join(pieces[k : k + 4096])) for k in range(0, len(pieces), 4096)]
+        ids = np.concatenate([np.array(p, np.int32) for p in parts])
         return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

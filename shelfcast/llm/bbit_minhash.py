@@ -24,8 +24,8 @@ from shelfcast.llm.scratch import Scratch
 
 BITS = 4
 #: Values of the finer sketch, and five standard deviations of its estimate at 0.8.
-FINE = 512
-FINE_MARGIN = 0.095
+FINE = 1024
+FINE_MARGIN = 0.068
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,7 @@ def link_components(
             & (estimated_similarity(F.col("x.bits"), F.col("y.bits"), FINE) >= least / 100 - FINE_MARGIN)
             & (F.element_at("x.keys", shared_at.cast("int")) == F.col("x.key")),
         ).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        pairs = pairs.distinct().join(star, ["u", "v"], "left_anti").join(near, ["u", "v"], "left_anti")
+        pairs = pairs.distinct().join(star.unionByName(near), ["u", "v"], "left_anti")
         more = tmp.write(verified_links(pairs, shared, confirm), "more")
         if more.isEmpty():
             return found

@@ -34,7 +34,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, sha) with the SHA-256 of each text, lower-cased in A-Z only."""
-    for piece in slices(batches, "text", 16 << 20):
+    for piece in slices(batches, "text", 4 << 20):
         texts = pc.fill_null(piece.column("text"), "").cast(pa.binary())
         shas = [hashlib.sha256(t.as_py().lower()).digest() for t in texts]
         yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(shas, pa.binary())], names=["id", "sha"])

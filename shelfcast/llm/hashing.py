@@ -7,6 +7,7 @@ prefix sums, then mixed; a shingle's hash combines those of its words in order.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLOCK = 1 << 18
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -122,5 +124,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = max(at + 1, int(np.searchsorted(length, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
-        # What Arrow holds back for later would add up over the workers of an executor.
-        pa.default_memory_pool().release_unused()
+    # What Arrow and the C library hold back for later would add up over the workers of an executor.
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

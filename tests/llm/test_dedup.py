@@ -212,3 +212,49 @@ def test_no_run_of_words_is_left_twice(spark):
         met |= {tuple(x.decode() for x in g) for g in own}
         # What is removed repeats: each of its words is in a run that an earlier text, or this one, has.
     assert spans
+
+
+def edited(text, places):
+    """Other words at these places, the same ones for the same text."""
+    return " ".join(f"edit{k}of{w}" if k in places else w for k, w in enumerate(text.split()))
+
+
+def jaccard(x, y, n=5):
+    a, b = grams(x, n), grams(y, n)
+    return len(a & b) / len(a | b)
+
+
+def removed_share(spark, texts, ident, passage):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {}
+    for r in paragraph_dedup.repeated_passages(df).collect():
+        found.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start"] : r["stop"]])
+    if ident is None:
+        return found
+    return sum(w in " ".join(found.get(ident, [])).split() for w in passage.split()) / len(passage.split())
+
+
+def test_similar_passages_are_found_whatever_their_minima(spark):
+    """Fuzzy brute force: each of 300 passages of 50 words is in a later document with one edit (similarity 0.8)."""
+    rng = np.random.default_rng(21)
+    texts, least = {}, 1.0
+    for k in range(300):
+        passage = unique_words(f"f{k}", 50)
+        other = edited(passage, {int(rng.integers(1, 49))})
+        least = min(least, jaccard(passage, other))
+        texts[k] = unique_words(f"l{k}", 20) + " " + passage + " " + unique_words(f"r{k}", 20)
+        texts[1000 + k] = unique_words(f"m{k}", 30) + " " + other + " " + unique_words(f"s{k}", 10)
+    assert 0.8 < least < 0.81
+    found = removed_share(spark, texts, None, None)
+    assert sorted(found) == sorted(i for i in texts if i >= 1000)
+
+
+def test_near_copy_of_a_later_member_is_found(spark):
+    """Seven documents share a short sentence; the last is a near copy of the third, or of the one before it."""
+    boiler = unique_words("boiler", 30)
+    texts = {k: unique_words(f"x{k}", 40) + " " + boiler + " " + unique_words(f"y{k}", 40) for k in range(6)}
+    texts[10] = unique_words("z", 30) + " " + edited(unique_words("x2", 40), {30}) + " " + boiler
+    texts[11] = unique_words("zz", 30) + " " + boiler + " " + edited(unique_words("y5", 40), {12})
+    found = removed_share(spark, texts, None, None)
+    assert set(found) == {10, 11}
+    assert jaccard(found[10][0], unique_words("x2", 40) + " " + boiler) >= 0.8

@@ -258,3 +258,29 @@ def test_near_copy_of_a_later_member_is_found(spark):
     found = removed_share(spark, texts, None, None)
     assert set(found) == {10, 11}
     assert jaccard(found[10][0], unique_words("x2", 40) + " " + boiler) >= 0.8
+
+
+def test_words_of_a_settled_document_are_found(spark):
+    """B repeats A with an edit; C has B's words, two edits away from A."""
+    a = unique_words("abc", 56)
+    b = edited(a, {18})
+    c = edited(b, {37})
+    one = {1: a, 2: b + " " + unique_words("e", 9), 3: unique_words("g", 20) + " " + edited(b, {37}) + " " + unique_words("h", 9)}
+    assert jaccard(a, b) >= 0.8 > jaccard(a, c)
+    assert set(removed_share(spark, one, None, None)) == {2, 3}
+    # Groups of edited copies: every run of 50 words that an earlier document has is removed.
+    rng, texts = np.random.default_rng(5), {}
+    for g in range(12):
+        versions = [unique_words(f"v{g}", 58)]
+        for k in range(9):
+            own = versions[int(rng.integers(0, len(versions)))]
+            if rng.random() < 0.6:
+                own = " ".join(f"e{g}x{k}x{n}" if n in set(rng.integers(3, 55, 1).tolist()) else w for n, w in enumerate(own.split()))
+            versions.append(own)
+            texts[100 * g + k] = unique_words(f"p{g}x{k}", 15) + " " + own + " " + unique_words(f"q{g}x{k}", 15)
+    found, met = removed_share(spark, texts, None, None), set()
+    for i in sorted(texts):
+        gone = set(" ".join(found.get(i, [])).split())
+        for run in grams(texts[i]) & met:
+            assert {w.decode() for w in run} <= gone
+        met |= grams(texts[i])

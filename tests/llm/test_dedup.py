@@ -284,3 +284,13 @@ def test_words_of_a_settled_document_are_found(spark):
         for run in grams(texts[i]) & met:
             assert {w.decode() for w in run} <= gone
         met |= grams(texts[i])
+
+
+def test_similar_part_of_a_longer_match_is_found(spark):
+    """160 words with an edit every 45, then a stretch with an edit every eight words."""
+    good, bad = unique_words("good", 160), unique_words("bad", 160)
+    texts = {1: good + " " + bad, 2: unique_words("o", 12) + " " + edited(good, {40, 85, 130}) + " " + edited(bad, set(range(4, 160, 8)))}
+    assert jaccard(good, edited(good, {40, 85, 130})) >= 0.8 > jaccard(texts[1], texts[2])
+    kept = " ".join(w for k, w in enumerate(good.split()) if k not in (40, 85, 130))
+    assert removed_share(spark, texts, 2, kept) == 1
+    assert removed_share(spark, texts, 2, bad) < 0.2

@@ -21,7 +21,7 @@ from shelfcast.llm.hashing import slices
 
 #: Bounds of the sample of each language: rows, and characters over all of them.
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 16_384
+SAMPLE_CHARS = 49_152
 #: Rows up to this length are taken first.
 ROW_CHARS = 8_192
 UNDETERMINED = "und"
@@ -158,7 +158,9 @@ def identify_language(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples)
         for piece in slices(batches, text_col, 4 << 20):
-            found = [parser.predict(t) for t in piece.column(text_col).to_pylist()]
+            texts = piece.column(text_col).to_pylist()
+            known = {t: parser.predict(t) for t in set(texts)}  # equal texts are parsed once
+            found = [known[t] for t in texts]
             own = [piece.column(c) for c in (id_col, *keep)]
             yield pa.RecordBatch.from_arrays(
                 [

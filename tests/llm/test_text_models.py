@@ -169,6 +169,11 @@ def test_language_id_cases(spark):
     assert language_id.identify_language(df.limit(0), samples).count() == 0
 
 
+def test_language_sample_has_its_full_length(spark):
+    long = spark.createDataFrame([(k, " ".join(f"wort{k}x{n}" for n in range(900)), "de") for k in range(12)], "doc_id long, text string, lang string")
+    assert len(language_id.sample_texts(long)["de"]) == 49_152
+
+
 def test_stirling_numbers_sum_over_seatings():
     """All seatings of up to 7 customers of one dish, weighted as Chinese restaurants are."""
     d = 0.4

@@ -250,6 +250,27 @@ def test_predictive_probabilities_sum_to_one():
             assert math.isclose(p[seen[word[at]]].sum() + q, 1, rel_tol=1e-9)
 
 
+def test_tables_of_frequent_words_do_not_depend_on_the_owners():
+    """Words 0 to 2 are spread over the owners by context, the others have one owner: tables add up to those of one set."""
+    rng, prior, words, contexts = np.random.default_rng(7), pitman_yor.Prior(), 4000, 400
+    word = np.concatenate([np.repeat(np.arange(3), contexts), np.repeat(np.arange(3, words), 40)])
+    context = np.concatenate([np.tile(np.arange(contexts), 3), rng.integers(0, contexts, 40 * (words - 3))])
+    count = np.concatenate([rng.integers(4, 30, 3 * contexts), rng.integers(1, 4, 40 * (words - 3))])
+    spread, deal = np.arange(words) < 3, rng.integers(0, 1 << 30, len(word))
+
+    def tables(owners):
+        owner, sums = np.where(spread[word], deal, word) % owners, np.zeros((3, 3))
+        for k in range(owners):
+            own = owner == k
+            model = pitman_yor.Restaurants(word[own], context[own], count[own], words, contexts, prior, spread)
+            for s, (drawn, _, _) in enumerate(model.sample(k + 1, float(owners), 2, 3)):
+                sums[s] += [drawn[word[own] == w].sum() for w in range(3)]
+        return sums.mean()
+
+    one = tables(1)
+    assert all(abs(tables(owners) / one - 1) < 0.08 for owners in (4, 12))
+
+
 def test_model_learns_word_order(spark):
     """Held-out text of the same pairs is more likely under the model than under the base; shuffled text less so."""
     def text(seed, n=60):

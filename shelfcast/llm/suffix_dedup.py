@@ -313,11 +313,13 @@ def repeated_strings(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     with Scratch(spark) as tmp:
-        twice = source.select("text").mapInArrow(_keys(width), "key long").groupBy("key").count().where("count > 1")
+        keys = source.select("text").mapInArrow(_keys(width), "key long")
+        # One key may name a third of all anchors: the join reads two tables, so that it can split such a key.
+        twice = tmp.write(keys.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
         places = source.mapInArrow(
             _places(width), f"{_ROW}, place int, least int, most int, key long, name binary, head binary"
         )
-        places = tmp.write(places.join(twice.select("key"), "key", "left_semi"), "anchors")
+        places = tmp.write(places.join(twice, "key", "left_semi"), "anchors")
         classes = places.groupBy("name").agg(
             F.min(F.struct("id", "text_hash", "place")).alias("first"),
             (F.count(F.lit(1)) > 1).alias("many"),

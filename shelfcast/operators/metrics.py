@@ -29,11 +29,14 @@ def _sq_log_err(p: Column, a: Column) -> Column:
     return F.pow(F.log1p(p) - F.log1p(a), 2)
 
 
-def forecast_metrics(df: DataFrame, actual: str = "sales", predicted: str = "predicted_sales") -> DataFrame:
-    """One row; predictions clipped at 0; a non-positive actual total raises at run time."""
+def forecast_metrics(
+    df: DataFrame, actual: str = "sales", predicted: str = "predicted_sales", by: Sequence[str] = ()
+) -> DataFrame:
+    """One row, or one for each value of ``by``; predictions clipped at 0; a non-positive
+    actual total raises at run time."""
     a = F.col(actual).cast("double")
     p = clip_floor(F.col(predicted).cast("double"), 0.0)
-    agg = df.agg(
+    agg = df.groupBy(*by).agg(
         _dsum(a).alias("_den"),
         F.avg(_sq_log_err(p, a)).alias("_msle"),
         _dsum(F.abs(p - a)).alias("_abs"),
@@ -48,6 +51,7 @@ def forecast_metrics(df: DataFrame, actual: str = "sales", predicted: str = "pre
         return F.coalesce(guard, F.round(F.col(c) / den * 100.0, RATIO_DP).cast("double"))
 
     return agg.select(
+        *by,
         F.round(F.sqrt("_msle"), RATIO_DP).alias("rmsle"),
         pct("_abs").alias("wape_pct"),
         pct("_sgn").alias("signed_bias_pct"),

@@ -1390,7 +1390,9 @@ def request_rollup_stream(c: Ctx) -> DataFrame:
     """R1 streaming: events file stream -> daily windows per path (update mode, watermark-bounded state)."""
     out = new_output_path(c.spark, "rollup")
     stream = TD.request_log_from(c.src.events_stream())
-    SJ.run_rollup_stream(c.spark, stream, out, new_output_path(c.spark, "rollup_ckpt"))
+    run = SJ.run_rollup_stream(c.spark, stream, out, new_output_path(c.spark, "rollup_ckpt"))
+    if run.late:
+        raise R.ContractError(f"{run.late} windows got events later than the watermark allows")
     res = SJ.latest_rollup(c.spark, out)
     day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))  # UTC day, any session zone
     return res.select(day.alias("window_start"), "path", "request_count", "average_ms", "maximum_ms")
@@ -1408,3 +1410,17 @@ def stream_score(c: Ctx) -> DataFrame:
     out, quarantine = new_output_path(c.spark, "stream_out"), new_output_path(c.spark, "stream_quarantine")
     SJ.run_scoring_stream(c.spark, inp, _final_bundle(c), c.sales, out, quarantine, new_output_path(c.spark, "stream_ckpt"))
     return _scored_facts(c.spark.read.parquet(out))
+
+
+@register("stream_score_pieces", _SCORED_SQL)
+def stream_score_pieces(c: Ctx) -> DataFrame:
+    """A future batch that arrives in three pieces over three triggers, put together by keyed state and
+    scored once, beside a batch that stays without its last piece and is not scored."""
+    inp, work = new_output_path(c.spark, "pieces_in"), new_output_path(c.spark, "pieces")
+    recs, piece = _records(c), F.get_json_object("record", "$.id").cast("long") % 3
+    for k in range(3):
+        recs.filter(piece == k).write.mode("append").text(f"{inp}/batch=0")
+        if k < 2:
+            recs.filter(piece == k).write.mode("append").text(f"{inp}/batch=1")
+        SJ.run_piecewise_scoring_stream(c.spark, inp, _final_bundle(c), c.sales, work)
+    return _scored_facts(c.spark.read.parquet(f"{work}/out"))

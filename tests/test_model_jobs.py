@@ -90,6 +90,52 @@ def test_scoring_stream_of_many_batches(spark, bundle, history, future, tmp_path
         assert {int(r["batch"]): r["reason"] for r in reasons} == expected
 
 
+def test_scoring_stream_of_pieces(spark, bundle, history, future, tmp_path):
+    """One batch over five triggers, one whole, one that never completes, one with a piece too late; every
+    call is a restart from the checkpoints."""
+    work, records = str(tmp_path / "work"), REC.to_records(future, S.FUTURE_COLUMNS)
+    cut = [records.where(F.get_json_object("record", "$.id").cast("int") % 5 == k) for k in range(5)]
+
+    def send(batch, piece):
+        target = tmp_path / "in" / (f"batch={batch}" if batch else "clock")
+        piece.coalesce(1).write.mode("append").text(str(target))
+
+    def run(patience=3600):
+        SJ.run_piecewise_scoring_stream(spark, str(tmp_path / "in"), bundle, history, work, patience)
+
+    def scored():
+        rows = spark.read.schema("batch string").parquet(f"{work}/out").groupBy("batch").count().collect()
+        return {r["batch"]: r["count"] for r in rows}
+
+    def refused(kind):
+        rows = spark.read.parquet(f"{work}/quarantine/{kind}").select("batch", "reason").distinct().collect()
+        return {r["batch"]: r["reason"] for r in rows}
+
+    for k, piece in enumerate(cut):
+        send("five", piece)
+        if k < 2:
+            send("never", piece)
+        if k == 1:
+            send("whole", records)
+        run()
+        assert scored() == {**({"whole": 32} if k >= 1 else {}), **({"five": 32} if k == 4 else {})}
+    send("five", cut[2])
+    run()
+    assert scored() == {"whole": 32, "five": 32} and refused("late") == {"five": "after_release"}
+    assert spark.read.parquet(f"{work}/quarantine/late").count() == cut[2].count()
+    # Nothing more comes of two batches, and the clock goes on: they are refused with what they lack, once.
+    send("never", cut[2])
+    send("other", cut[0])
+    run(0)
+    for _ in range(3):
+        send(None, records.limit(1))
+        run(0)
+    assert scored() == {"whole": 32, "five": 32}
+    reasons = refused("refused")
+    assert set(reasons) == {"never", "other"} and all("incomplete_pairs" in r for r in reasons.values())
+    assert spark.read.parquet(f"{work}/quarantine/refused").where("batch = 'never'").count() == sum(c.count() for c in cut[:3])
+
+
 def test_envelopes(spark):
     bodies = ['{"records":[{"a":1},{"a":2}]}', '{"records":[]}', '{"records":[{"a":1}],"x":1}', "[1]", "{", '{"rows":[]}', None]
     good, bad = REC.open_envelopes(spark.createDataFrame([(b,) for b in bodies], "body string"), "body")

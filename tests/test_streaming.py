@@ -31,11 +31,14 @@ def test_rollup_stream_matches_batch(spark, tmp_path):
             log.filter(chunk == k).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
         out = new_output_path(spark, name)
-        SJ.run_rollup_stream(spark, stream, out, new_output_path(spark, name + "_ckpt"), watermark=watermark)
-        return {(r.window_start.date(), r.path): (r.request_count, r.maximum_ms)
-                for r in SJ.latest_rollup(spark, out).collect()}
+        late = SJ.run_rollup_stream(spark, stream, out, new_output_path(spark, name + "_ckpt"), watermark=watermark).late
+        return late, {(r.window_start.date(), r.path): (r.request_count, r.maximum_ms)
+                      for r in SJ.latest_rollup(spark, out).collect()}
 
     # files rotate in time order: a tight watermark loses nothing
-    assert run("in_order", F.floor(rid * 3 / 40), "1 hour") == exp
+    assert run("in_order", F.floor(rid * 3 / 40), "1 hour") == (0, exp)
     # out-of-order files: windows still inside the watermark delay are updated
-    assert run("out_of_order", rid % 3, "30 days") == exp
+    assert run("out_of_order", rid % 3, "30 days") == (0, exp)
+    # with a tight watermark they can't be, and the run says so
+    late, found = run("too_late", rid % 3, "1 hour")
+    assert late > 0 and found != exp

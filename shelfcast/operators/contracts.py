@@ -9,10 +9,11 @@ map-side partial counts (a hot key collapses before the shuffle).
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Mapping, Sequence
+from typing import Iterable, Mapping, NamedTuple, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.functions.columns import count_if
 
@@ -30,10 +31,10 @@ def _stack(agg_row: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both duplicate flavours: extra rows (``duplicated``) and all members (``keep=False``)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select("_n")
     return counts.agg(
-        F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c") - 1)), F.lit(0)).cast("long").alias("extra_rows"),
-        F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).cast("long").alias("member_rows"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1)), F.lit(0)).cast("long").alias("extra_rows"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("member_rows"),
     )
 
 
@@ -74,16 +75,83 @@ def enforce(audit_df: DataFrame, context: str = "", error: type[Exception] = Con
     return audit_df
 
 
-def enforce_all(audits: Mapping[str, DataFrame], error: type[Exception] = ContractError) -> None:
-    """``enforce`` for several tables at once: one action for all their rules, the first failing table is named."""
-    tables = [a.withColumn("context", F.lit(name)) for name, a in audits.items()]
-    failed: dict[str, list[str]] = {}
-    for r in reduce(DataFrame.unionByName, tables).collect():
-        if r.violations:
-            failed.setdefault(r.context, []).append(f"{r.rule}={int(r.violations)}")
-    for name in audits:
-        if name in failed:
-            raise error(f"{name} violates its contract: {', '.join(sorted(failed[name]))}")
+class Contract(NamedTuple):
+    """The rules of one table, not yet evaluated (see ``audit``)."""
+
+    df: DataFrame
+    row_rules: Mapping[str, Column]
+    unique: Mapping[str, Sequence[str]] = {}
+    non_empty: bool = False
+
+    def audit(self) -> DataFrame:
+        return audit(self.df, self.row_rules, self.unique, self.non_empty)
+
+
+def _key(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """A key as (day, number, text), so that keys of several tables share one shuffle; what finds its place
+    taken goes into the text as JSON."""
+    place: dict[str, Column] = {}
+    rest = []
+    for name in columns:
+        kind = df.schema[name].dataType
+        slot = "day" if isinstance(kind, T.DateType) else "number" if isinstance(kind, T.IntegralType) else "text"
+        if slot in place or (slot == "text" and not isinstance(kind, T.StringType)):
+            rest.append(name)
+        else:
+            place[slot] = F.col(name)
+    if rest:
+        held = [place.pop("text")] if "text" in place else []
+        place["text"] = F.to_json(F.struct(*rest, *[c.alias("_text") for c in held]), {"ignoreNullFields": "false"})
+    types = {"day": "date", "number": "long", "text": "string"}
+    return [place.get(slot, F.lit(None)).cast(kind).alias(slot) for slot, kind in types.items()]
+
+
+def measure_all(contracts: Mapping[str, Contract]) -> dict[str, dict[str, int]]:
+    """Violations by table and rule, and the table's ``rows``, all from one action that reads each table once.
+
+    Row rules are observed while the rows pass on to the uniqueness count; that counts the keys of all
+    rules of all tables in one partial aggregate.
+    """
+    watched, parts, rules = {}, [], []
+    for name, contract in contracts.items():
+        watched[name] = watch = Observation()
+        counts = [count_if(bad).alias(rule) for rule, bad in contract.row_rules.items()]
+        rows = contract.df.observe(watch, F.count(F.lit(1)).alias("_rows"), *counts)
+        keys = []
+        for rule, columns in contract.unique.items():
+            keys.append(F.struct(F.lit(len(rules)).alias("rule"), *_key(contract.df, columns)))
+            rules.append((name, rule))
+        if not keys:  # nothing to count, but the rows have to pass
+            keys = [F.struct(F.lit(-1).alias("rule"), *_key(contract.df, []))]
+        parts.append(rows.select(F.explode(F.array(*keys)).alias("k")).select("k.*"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "day", "number", "text").agg(F.count(F.lit(1)).alias("c"))
+    # No filter on the rule: it would reach the tables and prune those that are only observed.
+    repeated = counts.where("c > 1").groupBy("rule").agg(F.sum(F.col("c") - 1).alias("n")).collect()
+    found: dict[str, dict[str, int]] = {}
+    for name, contract in contracts.items():
+        seen = watched[name].get
+        found[name] = {rule: int(seen[rule] or 0) for rule in contract.row_rules}
+        if contract.non_empty:
+            found[name]["non_empty"] = int(not seen["_rows"])
+        found[name] |= {rule: 0 for rule in contract.unique}
+        found[name]["rows"] = int(seen["_rows"])
+    for row in repeated:
+        if row.rule >= 0:
+            name, rule = rules[row.rule]
+            found[name][rule] = int(row.n)
+    return found
+
+
+def enforce_all(contracts: Mapping[str, Contract], error: type[Exception] = ContractError) -> dict[str, int]:
+    """``enforce`` for several tables by one action; the first failing table is named with all it breaks.
+    Returns the rows of each."""
+    found = measure_all(contracts)
+    rows = {name: found[name].pop("rows") for name in contracts}
+    for name in contracts:
+        failed = sorted(f"{rule}={n}" for rule, n in found[name].items() if n)
+        if failed:
+            raise error(f"{name} violates its contract: {', '.join(failed)}")
+    return rows
 
 
 def null_rules(columns: Iterable[str], prefix: str = "null_") -> dict[str, Column]:

@@ -86,13 +86,17 @@ def scoped_lookups(holidays: DataFrame, check: bool = True) -> dict[str, DataFra
 
 
 def prepared_lookups(holidays: DataFrame, check: bool = True) -> dict[str, DataFrame]:
-    """Scoped lookups with prefixed flag columns, cached and size-checked once for reuse."""
-    lk = scoped_lookups(holidays, check=check)
-    keys = {"national": ["date"], "regional": ["date", "state"], "local": ["date", "city"]}
+    """Scoped lookups with prefixed flag columns, written once for reuse, all three as one table."""
+    keys = {"national": [], "regional": ["state"], "local": ["city"]}
+    parts = []
+    for scope, df in scoped_lookups(holidays, check=check).items():
+        place = F.col(keys[scope][0]) if keys[scope] else F.lit(None).cast("string")
+        parts.append(df.select(F.lit(scope).alias("scope"), "date", place.alias("place"), *_LOOKUP_FLAGS))
+    written = written_lookup(reduce(DataFrame.unionByName, parts), "holidays")
     out = {}
     for scope, p in _PREFIX.items():
-        df = lk[scope].select(*keys[scope], *[F.col(f).alias(f"{p}{f}") for f in _LOOKUP_FLAGS])
-        out[scope] = written_lookup(df, f"holidays-{scope}")
+        names = [F.col("place").alias(k) for k in keys[scope]] + [F.col(f).alias(f"{p}{f}") for f in _LOOKUP_FLAGS]
+        out[scope] = written.where(F.col("scope") == scope).select("date", *names)
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
 from shelfcast.functions.columns import count_if, day_of_week_iso
-from shelfcast.operators.contracts import ContractError, audit, duplicate_counts, enforce
+from shelfcast.operators.contracts import Contract, ContractError, audit, duplicate_counts, enforce
 
 
 def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -27,9 +27,9 @@ def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
     })
 
 
-def base_rules(base: DataFrame, key: Sequence[str] = tuple(S.BASE_KEY)) -> DataFrame:
+def base_contract(base: DataFrame, key: Sequence[str] = tuple(S.BASE_KEY)) -> Contract:
     """V1: non-empty, no null key, unique key, id present and unique, valid date."""
-    return audit(
+    return Contract(
         base,
         row_rules={
             "null_base_key": F.greatest(*[F.col(k).isNull() for k in key]),
@@ -41,15 +41,26 @@ def base_rules(base: DataFrame, key: Sequence[str] = tuple(S.BASE_KEY)) -> DataF
     )
 
 
+def base_rules(base: DataFrame, key: Sequence[str] = tuple(S.BASE_KEY)) -> DataFrame:
+    """V1 as an audit."""
+    return base_contract(base, key).audit()
+
+
+def stored_base_contract(base: DataFrame, stores: DataFrame) -> Contract:
+    """V1 and "every store exists" of a base table. A store that is listed twice counts once."""
+    known = stores.select("store_nbr", F.lit(True).alias("_known")).distinct()
+    contract = base_contract(base.join(known, "store_nbr", "left"))
+    return contract._replace(row_rules={**contract.row_rules, "store_absent_from_stores": F.col("_known").isNull()})
+
+
 def stored_base_rules(base: DataFrame, stores: DataFrame) -> DataFrame:
-    """V1 and "every store exists" of a base table."""
-    known = base.select("store_nbr").join(stores.select("store_nbr", F.lit(True).alias("_known")), "store_nbr", "left")
-    return base_rules(base).unionByName(audit(known, {"store_absent_from_stores": F.col("_known").isNull()}))
+    """The audit of ``stored_base_contract``."""
+    return stored_base_contract(base, stores).audit()
 
 
-def store_rules(stores: DataFrame) -> DataFrame:
+def store_contract(stores: DataFrame) -> Contract:
     """V2: non-empty, key present and unique, metadata complete."""
-    return audit(
+    return Contract(
         stores,
         row_rules={
             "null_store_nbr": F.col("store_nbr").isNull(),
@@ -60,6 +71,11 @@ def store_rules(stores: DataFrame) -> DataFrame:
     )
 
 
+def store_rules(stores: DataFrame) -> DataFrame:
+    """V2 as an audit."""
+    return store_contract(stores).audit()
+
+
 def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose keys are absent from ``right`` (anti-join)."""
     return left.join(right.select(*keys).distinct(), list(keys), "left_anti")

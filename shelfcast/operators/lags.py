@@ -117,15 +117,17 @@ def asof_lookup(
     dense = spans.select(
         F.explode(F.sequence("_src", "_end")).alias("_ref"), "_src", "_v"
     ).filter(F.col("_ref").isNotNull())
-    out = dates.select(date_col).distinct()
+    # Each covered day serves one target date a lag: one pivot, then one join.
+    place = F.explode(F.array(*[F.struct(F.lit(int(lag)).alias("lag")) for lag in lags])).alias("p")
+    served = dense.select("*", place).select(
+        F.date_add("_ref", F.col("p.lag")).alias(date_col), F.col("p.lag").alias("_lag"),
+        F.struct(F.col("_v").alias("v"), F.datediff("_ref", "_src").cast("int").alias("age")).alias("_found"),
+    )
+    held = served.groupBy(date_col).agg(*[F.max(F.when(F.col("_lag") == lag, F.col("_found"))).alias(f"_{lag}") for lag in lags])
+    out = dates.select(date_col).distinct().join(held, date_col, "left")
     for lag in lags:
         name = f"{prefix}_lag_{lag}"
-        ref = dense.select(
-            F.date_add("_ref", int(lag)).alias(date_col),
-            F.col("_v").alias(name),
-            F.datediff("_ref", "_src").cast("int").alias(f"{name}_age_days"),
-        )
-        out = out.join(ref, date_col, "left")
+        out = out.withColumns({name: F.col(f"_{lag}.v"), f"{name}_age_days": F.col(f"_{lag}.age")})
     names = [f"{prefix}_lag_{lag}" for lag in lags]
     ages = [f"{n}_age_days" for n in names]
     return out.select(date_col, *names, *ages)

@@ -40,8 +40,11 @@ def table_profile(df: DataFrame, name: str, key: Sequence[str] | None = None, da
     return prof
 
 
-def raw_conditions(sales: DataFrame, oil: DataFrame, holidays: DataFrame, calendar_gap_count: int) -> DataFrame:
-    """A2: zero / fractional / promoted counts and rate, missing oil prices, gaps, non-unique holiday dates."""
+def raw_conditions(sales: DataFrame, oil: DataFrame, holidays: DataFrame, gaps: DataFrame) -> DataFrame:
+    """A2: zero / fractional / promoted counts and rates, missing oil prices, event classes, the calendar dates
+    without a row (``gaps``: absent_date, at most the calendar's days) and non-unique holiday dates."""
+    from shelfcast.operators.holidays import classify_events
+
     s = sales.agg(
         F.count(F.lit(1)).alias("sales_rows"),
         count_if(F.col("sales") == 0).alias("zero_sales_rows"),
@@ -49,17 +52,24 @@ def raw_conditions(sales: DataFrame, oil: DataFrame, holidays: DataFrame, calend
         count_if(F.col("onpromotion") > 0).alias("promoted_rows"),
     ).first()
     o = oil.agg(count_if(F.col("dcoilwtico").isNull()).alias("missing_oil_prices")).first()
+    events = classify_events(holidays).agg(*[count_if(F.col(c)) for c in ("is_planned", "is_earthquake", "is_unknown_event")]).first()
     h = duplicate_counts(holidays, ["date"]).first()
-    spark = sales.sparkSession
-    rate = round(100.0 * s.promoted_rows / s.sales_rows, RATE_DP) if s.sales_rows else None
+    absent = sorted(r[0] for r in gaps.collect())
+
+    def rate(n):
+        return round(100.0 * n / s.sales_rows, RATE_DP) if s.sales_rows else None
+
     row = (
-        s.sales_rows, s.zero_sales_rows, s.fractional_sales_rows, s.promoted_rows, rate,
-        o.missing_oil_prices, int(calendar_gap_count), h.member_rows,
+        s.sales_rows, s.zero_sales_rows, s.fractional_sales_rows, s.promoted_rows, rate(s.promoted_rows),
+        o.missing_oil_prices, len(absent), h.member_rows, rate(s.zero_sales_rows),
+        *(int(n or 0) for n in events), ", ".join(day.isoformat() for day in absent),
     )
-    return spark.createDataFrame(
+    return sales.sparkSession.createDataFrame(
         [row],
         "sales_rows long, zero_sales_rows long, fractional_sales_rows long, promoted_rows long, "
-        "promoted_rate_pct double, missing_oil_prices long, calendar_gap_dates long, nonunique_holiday_date_rows long",
+        "promoted_rate_pct double, missing_oil_prices long, calendar_gap_dates long, nonunique_holiday_date_rows long, "
+        "zero_sales_rate_pct double, planned_event_rows long, earthquake_event_rows long, unknown_event_rows long, "
+        "calendar_gap_list string",
     )
 
 

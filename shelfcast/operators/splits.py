@@ -45,25 +45,34 @@ def chrono_split(df: DataFrame, w: Windows, date_col: str = "date") -> DataFrame
 
 
 def split_counts(split_df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Rows and observed dates per split, empty splits included (one aggregate pass)."""
-    aggs = []
-    for s in SPLIT_ORDER:
-        is_s = F.col("data_split") == s
-        aggs += [count_if(is_s).alias(f"r_{s}"), F.countDistinct(F.when(is_s, F.col(date_col))).alias(f"d_{s}")]
-    wide = split_df.agg(*aggs)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(s).alias("data_split"), F.lit(i).alias("split_rank"),
-                 F.col(f"r_{s}").alias("rows"), F.col(f"d_{s}").cast("long").alias("observed_dates"))
-        for i, s in enumerate(SPLIT_ORDER)
-    ])).alias("x")
-    return wide.select(rows).select("x.*")
+    """Rows and observed dates per split, empty splits included.
+
+    Rows collapse to one for each (split, date) first, so dates are counted without expanding rows.
+    """
+    daily = split_df.groupBy("data_split", date_col).agg(F.count(F.lit(1)).alias("n"))
+    found = daily.groupBy("data_split").agg(F.sum("n").alias("rows"), F.count(date_col).alias("observed_dates"))
+    order = split_df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(SPLIT_ORDER)], "data_split string, split_rank int")
+    zero = F.lit(0).cast("long")
+    return order.join(found, "data_split", "left").select(
+        "data_split", "split_rank", F.coalesce("rows", zero).alias("rows"), F.coalesce("observed_dates", zero).alias("observed_dates")
+    )
+
+
+def split_rules(split_df: DataFrame, w: Windows, date_col: str = "date") -> DataFrame:
+    """P7 as a contract (rule, violations): no row without a split, every date of both windows observed."""
+    found = {r.data_split: r for r in split_counts(split_df, date_col).collect()}
+    days = {s: (getattr(w, f"{s}_end") - getattr(w, f"{s}_start")).days + 1 for s in ("validation", "internal_test")}
+    rows = [("unassigned_rows", found["unassigned"]["rows"])]
+    rows += [(f"{s}_dates_missing", n - found[s].observed_dates) for s, n in days.items()]
+    rows.append(("non_empty", int(not any(r["rows"] for r in found.values()))))
+    return split_df.sparkSession.createDataFrame(rows, "rule string, violations long")
 
 
 def model_start(df: DataFrame, required: Sequence[str] = tuple(S.SALES_LAG_COLUMNS + S.OIL_LAG_COLUMNS)) -> dt.date:
     """First date whose row has every required history column; raises if none."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ContractError(f"Warm-up columns are missing: {missing}")
+        raise ContractError(f"no warm-up without the columns {missing}")
     start = df.filter(all_not_null(required)).agg(F.min("date")).first()[0]
     if start is None:
         raise ContractError("No date has complete required sales and oil history.")

@@ -14,16 +14,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
 from shelfcast.operators import holidays as H
-from shelfcast.operators.contracts import audit, enforce, enforce_all
-from shelfcast.operators.joins import add_calendar_features, store_join, store_rules, stored_base_rules
+from shelfcast.operators.contracts import ContractError, audit, duplicate_counts, enforce, enforce_all
+from shelfcast.operators.joins import add_calendar_features, store_contract, store_join, stored_base_contract
 from shelfcast.operators.lags import asof_lookup, exact_lag_lookup, exact_lags
-from shelfcast.functions.columns import nonnull_count
-from shelfcast.session import written_lookup
+from shelfcast.functions.columns import count_if, nonnull_count
+from shelfcast.session import drop_written, new_output_path, written_lookup
 from shelfcast.sources import readers as R
 
 
@@ -68,21 +68,25 @@ def attach_features(
     return df.select(*cols)
 
 
+def check_raw(raw: RawTables) -> dict[str, int]:
+    """All source and base contracts by one action; the rows of each table."""
+    try:
+        return enforce_all({
+            **R.source_contracts(raw.oil, raw.transactions, raw.holidays),
+            "stores": store_contract(raw.stores),
+            "train": stored_base_contract(raw.train, raw.stores),
+            "test": stored_base_contract(raw.test, raw.stores),
+        })
+    except R.ContractError as error:
+        if "unknown_event" in str(error):
+            H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
+        raise
+
+
 def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """(labeled 34 columns, future 33 columns)."""
     if validate:
-        # All source and base contracts are one action.
-        try:
-            enforce_all({
-                "source tables": R.source_rules(raw.oil, raw.transactions, raw.holidays),
-                "stores": store_rules(raw.stores),
-                "train": stored_base_rules(raw.train, raw.stores),
-                "test": stored_base_rules(raw.test, raw.stores),
-            })
-        except R.ContractError as error:
-            if "holidays_unknown_event" in str(error):
-                H.raise_on_unknown_events(H.classify_events(raw.holidays))  # lists the descriptions
-            raise
+        check_raw(raw)
     dates = raw.train.select("date").unionByName(raw.test.select("date")).distinct()
     # Lookups are keyed by date or (date, store): written once for both base tables.
     oil_lk = written_lookup(oil_lookup(dates, raw.oil), "oil")
@@ -93,6 +97,66 @@ def build_feature_tables(raw: RawTables, validate: bool = True) -> tuple[DataFra
     return labeled, future
 
 
+def publish_feature_tables(raw: RawTables) -> tuple[DataFrame, DataFrame]:
+    """M13 written: both tables by one job, so they share the lookups' broadcasts, and read back.
+
+    While the rows are written, the part of V3 that one row can break is measured: if a table has a missing
+    value outside the allowlist, or not the rows of its base, nothing is published and the files are removed.
+    """
+    expected = check_raw(raw)
+    labeled, future = build_feature_tables(raw, validate=False)
+    allowed = set(S.ALLOWED_MISSING_COLUMNS)
+    watched, parts = {}, []
+    for name, table in (("train", labeled), ("test", future)):
+        watched[name] = watch = Observation()
+        missing = F.greatest(*[F.col(c).isNull() for c in table.columns if c not in allowed])
+        parts.append(table.observe(watch, F.count(F.lit(1)).alias("rows"), count_if(missing).alias("unexpected"))
+                     .withColumn("table", F.lit(name)))
+    path = new_output_path(labeled.sparkSession, "features")
+    parts[0].unionByName(parts[1], allowMissingColumns=True).write.partitionBy("table").parquet(path)
+    for name, watch in watched.items():
+        seen = watch.get
+        if seen["unexpected"] or seen["rows"] != expected[name]:
+            drop_written(labeled.sparkSession, path)
+            raise ContractError(
+                f"{name}: {seen['unexpected']} rows lack a required value; {seen['rows']} rows for {expected[name]}"
+            )
+    spark = labeled.sparkSession
+    return tuple(spark.read.schema(t.schema).parquet(f"{path}/table={n}") for n, t in (("train", labeled), ("test", future)))
+
+
+def final_counts(processed: DataFrame, original: DataFrame, has_target: bool = True) -> DataFrame:
+    """V3 as the eight counters of one row. Rows have no order here: ids are preserved if the tables hold the
+    same ones, each once; the target if it is equal id by id."""
+    allowed = set(S.ALLOWED_MISSING_COLUMNS)
+
+    def cells(columns):
+        return F.coalesce(sum((F.sum(F.col(c).isNull().cast("long")) for c in columns), F.lit(0)), F.lit(0)).cast("long")
+
+    shape = processed.agg(
+        F.count(F.lit(1)).alias("output_rows"),
+        cells([c for c in processed.columns if c in allowed]).alias("expected_missing_feature_cells"),
+        cells([c for c in processed.columns if c not in allowed]).alias("unexpected_missing_cells"),
+    )
+    target = "sales" if has_target else "id"
+    before = original.select("id", F.col(target).alias("_before"), F.lit(1).alias("_o"))
+    after = processed.select("id", F.col(target).alias("_after"), F.lit(1).alias("_p"))
+    before, after = (t.groupBy("id").agg(F.count(F.lit(1)).alias(n), F.max(v).alias(v)) for t, n, v in ((before, "_o", "_before"), (after, "_p", "_after")))
+    pairs = before.withColumnRenamed("id", "_id").join(after, F.col("_id").eqNullSafe(F.col("id")), "full").agg(
+        F.coalesce(F.sum("_o"), F.lit(0)).cast("long").alias("input_rows"),
+        (count_if(~F.coalesce(F.col("_o") == F.col("_p"), F.lit(False))) == 0).alias("ids_preserved"),
+        (count_if(~F.col("_before").eqNullSafe(F.col("_after"))) == 0).alias("target_preserved"),
+    )
+    repeated = duplicate_counts(processed, S.BASE_KEY).select(F.col("member_rows").alias("duplicate_base_key_rows"))
+    rows = [t.first() for t in (shape, pairs, repeated)]
+    facts = {k: v for row in rows for k, v in row.asDict().items()}
+    facts |= {"output_columns": len(processed.columns), "target_preserved": bool(facts["target_preserved"]) and has_target}
+    schema = ("input_rows long, output_rows long, output_columns long, expected_missing_feature_cells long, "
+              "unexpected_missing_cells long, duplicate_base_key_rows long, ids_preserved boolean, target_preserved boolean")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return processed.sparkSession.createDataFrame([tuple(facts[n] for n in names)], schema)
+
+
 def final_rules(processed: DataFrame, original: DataFrame | None = None, has_target: bool = True) -> DataFrame:
     """V3: unique key, nulls only in the allowlist, rows and target preserved.
 

@@ -101,8 +101,7 @@ class Ctx:
     def tables(self) -> tuple[DataFrame, DataFrame]:
         """Validated feature tables, checkpointed into the shared checkpoint folder
         (lineage cut: later plans start from the written table)."""
-        labeled, future = FT.build_feature_tables(self.raw, validate=True)
-        return materialize(labeled, "features"), materialize(future, "future_features")
+        return FT.publish_feature_tables(self.raw)
 
     @property
     def features(self) -> DataFrame:
@@ -190,7 +189,7 @@ def scan_template(c: Ctx) -> DataFrame:
     "SELECT s.*, st.city, st.state, st.store_type, st.store_cluster FROM sales s LEFT JOIN stores st ON s.store_nbr = st.store_nbr",
 )
 def store_join(c: Ctx) -> DataFrame:
-    """Guarded m:1 store join (stores broadcast after a size check)."""
+    """Guarded m:1 store join."""
     return J.store_join(c.sales, c.stores, "train")
 
 
@@ -361,12 +360,32 @@ def calendar_gaps(c: Ctx) -> DataFrame:
   round({DBL100} * CAST(count(*) FILTER (WHERE onpromotion > 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS promoted_rate_pct,
   (SELECT count(*) FROM oil WHERE dcoilwtico IS NULL) AS missing_oil_prices,
   (SELECT count(*) FROM {_GAPS_SQL}) AS calendar_gap_dates,
-  {O.member_rows('holidays', ['date'])} AS nonunique_holiday_date_rows
+  {O.member_rows('holidays', ['date'])} AS nonunique_holiday_date_rows,
+  round({DBL100} * CAST(count(*) FILTER (WHERE sales = 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS zero_sales_rate_pct,
+  (SELECT count(*) FROM events_classified WHERE is_planned) AS planned_event_rows,
+  (SELECT count(*) FROM events_classified WHERE is_earthquake) AS earthquake_event_rows,
+  (SELECT count(*) FROM events_classified WHERE ntype = 'event' AND NOT is_planned AND NOT is_earthquake) AS unknown_event_rows,
+  (SELECT COALESCE(string_agg(CAST(absent_date AS VARCHAR), ', ' ORDER BY absent_date), '') FROM {_GAPS_SQL}) AS calendar_gap_list
 FROM sales""")
 def raw_conditions(c: Ctx) -> DataFrame:
     """A2."""
-    gaps = J.calendar_gaps(c.features).count()
-    return P.raw_conditions(c.sales, c.oil, c.holidays, gaps)
+    return P.raw_conditions(c.sales, c.oil, c.holidays, J.calendar_gaps(c.features))
+
+
+@register("raw_conditions_dirty", """SELECT count(*) FILTER (WHERE id % 9 = 0) AS zero_sales_rows,
+  round(CAST(100.0 AS DOUBLE) * CAST(count(*) FILTER (WHERE id % 9 = 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS zero_sales_rate_pct,
+  (SELECT count(*) FROM events_classified WHERE ntype = 'event') AS unknown_event_rows, CAST(0 AS BIGINT) AS planned_event_rows,
+  (SELECT count(DISTINCT date) FROM features WHERE day(date) = 15 AND date > (SELECT min(date) FROM features) AND date < (SELECT max(date) FROM features)) AS calendar_gap_dates,
+  (SELECT string_agg(CAST(date AS VARCHAR), ', ' ORDER BY date) FROM (SELECT DISTINCT date FROM features WHERE day(date) = 15
+     AND date > (SELECT min(date) FROM features) AND date < (SELECT max(date) FROM features))) AS calendar_gap_list FROM sales""")
+def raw_conditions_dirty(c: Ctx) -> DataFrame:
+    """A2 of sources with zero sales, events without a class, and every fifteenth of a month left out."""
+    sales = c.sales.withColumn("sales", F.when(F.col("id") % 9 == 0, 0.0).otherwise(F.greatest("sales", F.lit(1.0))))
+    holidays = c.holidays.withColumn("description", F.when(F.lower("type") == "event", "Unclassified Parade").otherwise(F.col("description")))
+    gaps = J.calendar_gaps(c.features.where(F.dayofmonth("date") != 15))
+    return P.raw_conditions(sales, c.oil, holidays, gaps).select(
+        "zero_sales_rows", "zero_sales_rate_pct", "unknown_event_rows", "planned_event_rows", "calendar_gap_dates", "calendar_gap_list"
+    )
 
 
 _ALLOWED = S.ALLOWED_MISSING_COLUMNS
@@ -442,6 +461,30 @@ def split_counts(c: Ctx) -> DataFrame:
     return SP.split_counts(SP.chrono_split(c.features, c.win))
 
 
+_SPLIT_RULES = """SELECT 'unassigned_rows' AS rule, count(*) FILTER (WHERE date > {end}) AS violations FROM {table}
+UNION ALL SELECT 'validation_dates_missing', 16 - count(DISTINCT date) FROM {table} WHERE date BETWEEN {vs} AND {ve}
+UNION ALL SELECT 'internal_test_dates_missing', 16 - count(DISTINCT date) FROM {table} WHERE date BETWEEN {ts} AND {te}
+UNION ALL SELECT 'non_empty', CAST(0 AS BIGINT)"""
+_SPLIT_WINDOWS = {"end": W["internal_test_end"], "vs": W["validation_start"], "ve": W["validation_end"], "ts": W["internal_test_start"], "te": W["internal_test_end"]}
+
+
+@register("check_splits", _SPLIT_RULES.format(table="features", **_SPLIT_WINDOWS))
+def check_splits(c: Ctx) -> DataFrame:
+    """P7 as a contract: every row has one split, and both evaluation windows are whole."""
+    return SP.split_rules(SP.chrono_split(c.features, c.win), c.win)
+
+
+_DIRTY_SPLITS = "(SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN date + 400 ELSE date END AS date) FROM features WHERE day(date) % 5 <> 2)"
+
+
+@register("check_splits_dirty", _SPLIT_RULES.format(table=_DIRTY_SPLITS, **_SPLIT_WINDOWS))
+def check_splits_dirty(c: Ctx) -> DataFrame:
+    """P7 contract of a table with missing dates and rows after the last window."""
+    dirty = c.features.where(F.dayofmonth("date") % 5 != 2)
+    dirty = dirty.withColumn("date", F.when(F.col("id") % 7 == 0, F.date_add("date", 400)).otherwise(F.col("date")))
+    return SP.split_rules(SP.chrono_split(dirty, c.win), c.win)
+
+
 @register("date_window", f"SELECT * FROM sales WHERE date BETWEEN {W['validation_start']} AND {W['validation_end']}")
 def date_window(c: Ctx) -> DataFrame:
     """P5: inclusive validation window."""
@@ -1131,6 +1174,35 @@ def check_training_dirty(c: Ctx) -> DataFrame:
     return G.training_rules(train.withColumn("sales", F.when(k == 1, None).when(k == 2, F.lit(-1.0)).otherwise(F.col("sales"))))
 
 
+def _final_counts_sql(processed: str, ids: str, target: str) -> str:
+    expected, other = ([x for x in S.LABELED_COLUMNS if (x in set(S.ALLOWED_MISSING_COLUMNS)) is held] for held in (True, False))
+    return f"""SELECT (SELECT count(*) FROM sales) AS input_rows, count(*) AS output_rows, CAST({len(S.LABELED_COLUMNS)} AS BIGINT) AS output_columns,
+  CAST({O.null_cells(expected)} AS BIGINT) AS expected_missing_feature_cells, CAST({O.null_cells(other)} AS BIGINT) AS unexpected_missing_cells,
+  {O.member_rows(processed, S.BASE_KEY)} AS duplicate_base_key_rows, {ids} AS ids_preserved, {target} AS target_preserved FROM {processed}"""
+
+
+@register("final_counts", _final_counts_sql(
+    "features", "(SELECT list(id ORDER BY id) FROM sales) = list(id ORDER BY id)",
+    "(SELECT list(sales ORDER BY id) FROM sales) = list(sales ORDER BY id)"))
+def final_counts(c: Ctx) -> DataFrame:
+    """V3: the eight counters of the feature table against its base."""
+    return FT.final_counts(c.features, c.sales)
+
+
+_DIRTY_FINAL = ("(SELECT * REPLACE (CASE WHEN id % 9 = 1 THEN NULL ELSE city END AS city, CASE WHEN id % 9 = 2 THEN sales + 1 ELSE sales END AS sales) "
+                "FROM features WHERE id % 9 <> 4 UNION ALL SELECT * FROM features WHERE id % 9 = 3)")
+
+
+@register("final_counts_dirty", _final_counts_sql(_DIRTY_FINAL, "false", "false"))
+def final_counts_dirty(c: Ctx) -> DataFrame:
+    """V3 counters of a table with lost, repeated and changed rows and missing cities."""
+    k = F.col("id") % 9
+    dirty = c.features.where(k != 4).withColumns(
+        {"city": F.when(k != 1, F.col("city")), "sales": F.when(k == 2, F.col("sales") + 1).otherwise(F.col("sales"))}
+    )
+    return FT.final_counts(dirty.select(*c.features.columns).unionByName(c.features.where(k == 3)), c.sales)
+
+
 @register("check_stores", O.audit_sql("stores", {"null_store_nbr": "store_nbr IS NULL",
                                                  "missing_store_metadata": O.any_null(S.STORE_OUTPUT_COLUMNS)},
                                       {"duplicate_store_nbr": ["store_nbr"]}, non_empty=True))

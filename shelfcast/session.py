@@ -81,7 +81,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     from a pruned, filter-pushed scan and survive executor loss)."""
     path = new_output_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # known: no job to infer it
 
 
 def written_lookup(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from shelfcast import schemas as S
 from shelfcast.functions.columns import is_finite
-from shelfcast.operators.contracts import ContractError, audit, enforce, require_columns
+from shelfcast.operators.contracts import Contract, ContractError, audit, enforce, require_columns
 from shelfcast.session import path_exists
 
 
@@ -57,26 +57,28 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def source_rules(oil: DataFrame, transactions: DataFrame, holidays: DataFrame) -> DataFrame:
-    """S3 + S4 + S5 + H2 in one action: the three small sources audited together."""
+def source_contracts(oil: DataFrame, transactions: DataFrame, holidays: DataFrame) -> dict[str, Contract]:
+    """S3 + S4 + S5 + H2: the contracts of the three small sources."""
     from shelfcast.operators.holidays import classify_events
 
     require_columns(oil, S.OIL_COLUMNS, "oil")
     require_columns(transactions, S.TRANSACTION_COLUMNS, "transactions")
     require_columns(holidays, S.HOLIDAY_COLUMNS, "holidays")
     v = F.col("dcoilwtico")
-    a = audit(oil, {"oil_null_date": F.col("date").isNull(),
-                    "oil_bad_price": v.isNotNull() & (~is_finite(v) | (v <= 0))},
-              unique={"oil_duplicate_date": ["date"]})
-    b = audit(transactions, {
-        "transactions_null_value": F.greatest(*[F.col(c).isNull() for c in S.TRANSACTION_COLUMNS]),
-        "transactions_negative": F.col("transactions") < 0,
-    }, unique={"transactions_duplicate_date_store": ["date", "store_nbr"]})
-    c = audit(classify_events(holidays), {
-        "holidays_null_value": F.greatest(*[F.col(x).isNull() for x in S.HOLIDAY_COLUMNS]),
-        "holidays_unknown_event": F.col("is_unknown_event"),
-    })
-    return a.unionByName(b).unionByName(c)
+    return {
+        "oil": Contract(oil, {
+            "null_date": F.col("date").isNull(),
+            "bad_price": v.isNotNull() & (~is_finite(v) | (v <= 0)),
+        }, {"duplicate_date": ["date"]}),
+        "transactions": Contract(transactions, {
+            "null_value": F.greatest(*[F.col(c).isNull() for c in S.TRANSACTION_COLUMNS]),
+            "negative": F.col("transactions") < 0,
+        }, {"duplicate_date_store": ["date", "store_nbr"]}),
+        "holidays": Contract(classify_events(holidays), {
+            "null_value": F.greatest(*[F.col(x).isNull() for x in S.HOLIDAY_COLUMNS]),
+            "unknown_event": F.col("is_unknown_event"),
+        }),
+    }
 
 
 def check_oil(oil: DataFrame) -> DataFrame:
@@ -213,5 +215,5 @@ def write_forecast(forecast: DataFrame, path: str, overwrite: bool = False, fmt:
 __all__ = [
     "read_table", "csv_header", "check_oil", "check_transactions", "check_holidays",
     "processed_rules", "history_window", "history_rules", "write_table", "write_compact_history",
-    "read_compact_history", "forecast_rules", "write_forecast", "source_rules", "ContractError",
+    "read_compact_history", "forecast_rules", "write_forecast", "source_contracts", "ContractError",
 ]

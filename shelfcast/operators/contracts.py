@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable, Mapping, NamedTuple, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,23 +126,33 @@ def measure_all(contracts: Mapping[str, Contract]) -> dict[str, dict[str, int]]:
             keys = [F.struct(F.lit(-1).alias("rule"), *_key(contract.df, []))]
         parts.append(rows.select(F.explode(F.array(*keys)).alias("k")).select("k.*"))
     counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "day", "number", "text").agg(F.count(F.lit(1)).alias("c"))
-    # No filter on the rule: it would reach the tables and prune those that are only observed.
-    repeated = counts.where("c > 1").groupBy("rule").agg(F.sum(F.col("c") - 1).alias("n")).collect()
+    # One aggregate without a filter: what is only observed must not be pruned, nor an empty result cut the plan.
+    extra = [F.sum(F.when(F.col("rule") == k, F.col("c") - 1)).alias(f"r{k}") for k in range(len(rules))]
+    repeated = counts.agg(F.count(F.lit(1)), *extra).first()
     found: dict[str, dict[str, int]] = {}
     for name, contract in contracts.items():
-        seen = watched[name].get
-        found[name] = {rule: int(seen[rule] or 0) for rule in contract.row_rules}
+        seen = _observed(watched[name], contract)
+        found[name] = {rule: int(seen.get(rule) or 0) for rule in contract.row_rules}
         if contract.non_empty:
             found[name]["non_empty"] = int(not seen["_rows"])
         found[name] |= {rule: 0 for rule in contract.unique}
         found[name]["rows"] = int(seen["_rows"])
-    for row in repeated:
-        if row.rule >= 0:
-            name, rule = rules[row.rule]
-            found[name][rule] = int(row.n)
+    for k, (name, rule) in enumerate(rules):
+        found[name][rule] = int(repeated[f"r{k}"] or 0)
     return found
 
 
+def _observed(watch: Observation, contract: Contract) -> dict[str, int]:
+    """The metrics of a watch. Where adaptive execution found a table empty it leaves it out of the plan, and
+    with it the watch."""
+    try:
+        return watch.get
+    except Py4JError:
+        if not contract.df.isEmpty():
+            raise
+        return {"_rows": 0}
+
+
 def enforce_all(contracts: Mapping[str, Contract], error: type[Exception] = ContractError) -> dict[str, int]:
     """``enforce`` for several tables by one action; the first failing table is named with all it breaks.
     Returns the rows of each."""

@@ -144,8 +144,8 @@ def final_counts(processed: DataFrame, original: DataFrame, has_target: bool = T
     before, after = (t.groupBy("id").agg(F.count(F.lit(1)).alias(n), F.max(v).alias(v)) for t, n, v in ((before, "_o", "_before"), (after, "_p", "_after")))
     pairs = before.withColumnRenamed("id", "_id").join(after, F.col("_id").eqNullSafe(F.col("id")), "full").agg(
         F.coalesce(F.sum("_o"), F.lit(0)).cast("long").alias("input_rows"),
-        (count_if(~F.coalesce(F.col("_o") == F.col("_p"), F.lit(False))) == 0).alias("ids_preserved"),
-        (count_if(~F.col("_before").eqNullSafe(F.col("_after"))) == 0).alias("target_preserved"),
+        (F.count_if(~F.coalesce(F.col("_o") == F.col("_p"), F.lit(False))) == 0).alias("ids_preserved"),
+        (F.count_if(~F.col("_before").eqNullSafe(F.col("_after"))) == 0).alias("target_preserved"),
     )
     repeated = duplicate_counts(processed, S.BASE_KEY).select(F.col("member_rows").alias("duplicate_base_key_rows"))
     rows = [t.first() for t in (shape, pairs, repeated)]

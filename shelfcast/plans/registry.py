@@ -709,6 +709,7 @@ from shelfcast.operators import ridge as RG  # noqa: E402
 from shelfcast.operators.ml_stages import fit_preprocessor  # noqa: E402
 from shelfcast.plans import model as MD  # noqa: E402
 from shelfcast.session import new_output_path  # noqa: E402
+from shelfcast.sources import publish as PB  # noqa: E402
 
 _TRAIN_LAGGED_SQL = f"(SELECT * FROM labeled_lagged WHERE date BETWEEN {_MS_SQL} AND {W['train_end']})"
 
@@ -945,6 +946,32 @@ def batch_inference(c: Ctx) -> DataFrame:
     return _scored_facts(R.read_table(c.spark, out, T_FORECAST, fmt="csv"))
 
 
+@register("publish_forecast", "SELECT id, date, store_nbr, family, CAST(1.5 * (store_nbr % 7) AS DOUBLE) AS forecast_sales FROM future")
+def publish_forecast(c: Ctx) -> DataFrame:
+    """A forecast staged, checked and published by manifest, after one that is refused for a negative value
+    and one that is too short; read back as readers see it."""
+    spark, path = c.spark, new_output_path(c.spark, "published")
+    good = c.future.select("id", "date", "store_nbr", "family", (F.col("store_nbr") % 7 * 1.5).cast("double").alias("forecast_sales"))
+    R.publish_forecast(good.withColumn("forecast_sales", F.lit(0.0)), path)
+    faults = {"negative": good.withColumn("forecast_sales", F.col("forecast_sales") - 1), "short": good.where("store_nbr > 3")}
+    expected = c.future.count()
+    for fault in faults.values():
+        try:
+            R.publish_forecast(fault, path, expected)
+        except R.ContractError:
+            continue
+        raise AssertionError("a faulty forecast was published")
+    R.publish_forecast(good, path, expected)
+    return PB.read_published(spark, path)
+
+
+@register("history_window_footers", f"SELECT date, store_nbr, family, sales FROM features WHERE date BETWEEN {W['internal_test_end']} - 34 AND {W['internal_test_end']}")
+def history_window_footers(c: Ctx) -> DataFrame:
+    """The history window of the published feature table; its end date is answered by file footers."""
+    path = c.features.inputFiles()[0].rsplit("/", 1)[0]
+    return R.history_window_at(c.spark, path, c.win.internal_test_end)
+
+
 @register("model_roundtrip", """SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS unexpected_rows, CAST(0 AS BIGINT) AS missing_rows,
   CAST(0 AS BIGINT) AS value_mismatches, count(*) AS matching_rows, count(DISTINCT date) AS forecast_dates FROM future""")
 def model_roundtrip(c: Ctx) -> DataFrame:

@@ -19,6 +19,7 @@ from shelfcast import schemas as S
 from shelfcast.functions.columns import is_finite
 from shelfcast.operators.contracts import Contract, ContractError, audit, enforce, require_columns
 from shelfcast.session import path_exists
+from shelfcast.sources.publish import footer_bounds, publish, stage
 
 
 def read_table(
@@ -111,7 +112,7 @@ def check_holidays(h: DataFrame) -> DataFrame:
     return enforce(audit(h, {"null_value": F.greatest(*[F.col(c).isNull() for c in S.HOLIDAY_COLUMNS])}), "holidays")
 
 
-def processed_rules(df: DataFrame, has_target: bool) -> DataFrame:
+def processed_contract(df: DataFrame, has_target: bool) -> Contract:
     """Exact header, non-empty, key and id present + unique, target valid / absent."""
     expected = S.LABELED_COLUMNS if has_target else S.FUTURE_COLUMNS
     require_columns(df, expected, "processed table")
@@ -121,7 +122,12 @@ def processed_rules(df: DataFrame, has_target: bool) -> DataFrame:
     }
     if has_target:
         rules["invalid_sales"] = F.col("sales").isNull() | (F.col("sales") < 0)
-    return audit(df, rules, unique={"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, non_empty=True)
+    return Contract(df, rules, {"duplicate_base_key": S.BASE_KEY, "duplicate_id": ["id"]}, True)
+
+
+def processed_rules(df: DataFrame, has_target: bool) -> DataFrame:
+    """S6 as an audit."""
+    return processed_contract(df, has_target).audit()
 
 
 def history_window(df: DataFrame, end: dt.date, days: int = S.HISTORY_DAYS, check_end: bool = True) -> DataFrame:
@@ -140,6 +146,15 @@ def history_window(df: DataFrame, end: dt.date, days: int = S.HISTORY_DAYS, chec
     )
 
 
+def history_window_at(spark: SparkSession, path: str, end: dt.date, days: int = S.HISTORY_DAYS) -> DataFrame:
+    """S7 of a Parquet table by its path: the end date comes from the file footers, so of the table only the
+    window's rows are read."""
+    latest = footer_bounds(spark, path, "date")["date"][1]
+    if latest != end:
+        raise ContractError(f"History end date {latest} differs from the training cutoff {end}.")
+    return history_window(spark.read.parquet(path), end, days, check_end=False)
+
+
 def history_rules(history: DataFrame) -> DataFrame:
     return audit(
         history,
@@ -206,6 +221,17 @@ def forecast_rules(forecast: DataFrame) -> DataFrame:
     )
 
 
+def publish_forecast(forecast: DataFrame, path: str, expected_rows: int | None = None) -> int:
+    """S12 / S14 as a publication: V6 is measured while the rows are staged; readers see the whole forecast or
+    the one before it (``read_published``). Returns the number of its manifest."""
+    require_columns(forecast, S.FORECAST_COLUMNS, "forecast")
+    v = F.col("forecast_sales")
+    staged = stage(forecast, path, {"non_finite_forecast": ~is_finite(v), "negative_forecast": is_finite(v) & (v < 0)})
+    if not staged.rows:
+        staged = staged._replace(violations={**staged.violations, "non_empty": 1})
+    return publish(forecast.sparkSession, staged, expected_rows)
+
+
 def write_forecast(forecast: DataFrame, path: str, overwrite: bool = False, fmt: str = "csv") -> str:
     """Value rules first, then an atomic job write."""
     enforce(forecast_rules(forecast), "batch forecast", error=ValueError)
@@ -214,6 +240,6 @@ def write_forecast(forecast: DataFrame, path: str, overwrite: bool = False, fmt:
 
 __all__ = [
     "read_table", "csv_header", "check_oil", "check_transactions", "check_holidays",
-    "processed_rules", "history_window", "history_rules", "write_table", "write_compact_history",
+    "processed_contract", "processed_rules", "history_window", "history_window_at", "history_rules", "publish_forecast", "write_table", "write_compact_history",
     "read_compact_history", "forecast_rules", "write_forecast", "source_contracts", "ContractError",
 ]

@@ -59,6 +59,10 @@ def test_keys_of_any_shape_are_counted(spark):
     found = C.measure_all({"t": contract, "none": C.Contract(df.where("a > 5"), {}, {"one": ["a"]}, True)})
     assert found["t"] == {"rows": 5, **{r.rule: r.violations for r in contract.audit().collect()}}
     assert found["none"] == {"rows": 0, "one": 0, "non_empty": 1}
+    nothing = df.where("a > 5").groupBy("a").agg(F.max("b").alias("b"))
+    for empty in (nothing, nothing.join(df.select("a").distinct(), "a", "left"), df.where("a > 5")):
+        alone = C.measure_all({"t": C.Contract(empty, {"null_a": F.col("a").isNull()}, {"one": ["a"]}, True)})
+        assert alone == {"t": {"rows": 0, "null_a": 0, "one": 0, "non_empty": 1}}
 
 
 def test_messages_name_table_and_rules(raw):

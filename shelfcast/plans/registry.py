@@ -9,13 +9,15 @@ that SQL cannot express: model fitting, streaming).
 from __future__ import annotations
 
 import datetime as dt
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast import schemas as S
+from shelfcast.operators import asof as AO
+from shelfcast.operators import contracts as CT
 from shelfcast.operators import holidays as H
 from shelfcast.operators import joins as J
 from shelfcast.operators import metrics as M
@@ -182,8 +184,101 @@ def scan_template(c: Ctx) -> DataFrame:
     return c.src.template()
 
 
+def _as_csv(c: Ctx, name: str, df: DataFrame) -> str:
+    """A derived table as a CSV folder, written once per context."""
+    written = c.__dict__.setdefault("_csv", {})
+    if name not in written:
+        written[name] = R.write_table(df, new_output_path(c.spark, f"csv-{name}"), fmt="csv")
+    return written[name]
+
+
+_CSV_TABLES = {"base": "sales", "future": "future", "stores": "stores", "oil": "oil", "transactions": "transactions", "holidays": "holidays"}
+
+
+def _scan_csv(name: str, table: str):
+    def run(c: Ctx) -> DataFrame:
+        source = getattr(c, table)
+        return R.read_table(c.spark, _as_csv(c, table, source), source.schema, fmt="csv")
+
+    run.__doc__ = f"S1-S5: the {table} table scanned from CSV with its schema."
+    return run
+
+
+for _name, _table in _CSV_TABLES.items():
+    register(f"scan_{_name}_csv", f"SELECT * FROM {_table}")(_scan_csv(_name, _table))
+
+
+@register("csv_header", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, {i} AS position, '{x}' AS column_name WHERE (SELECT count(*) FROM {t}) > 0"
+    for t, columns in (("sales", S.TRAIN_COLUMNS), ("oil", S.OIL_COLUMNS), ("transactions", S.TRANSACTION_COLUMNS), ("holidays", S.HOLIDAY_COLUMNS))
+    for i, x in enumerate(columns)))
+def csv_header(c: Ctx) -> DataFrame:
+    """The headers that the CSV tables have."""
+    tables = ("sales", "oil", "transactions", "holidays")
+    rows = [(t, i, x) for t in tables for i, x in enumerate(R.csv_header(c.spark, _as_csv(c, t, getattr(c, t))))]
+    return c.spark.createDataFrame(rows, "table_name string, position int, column_name string")
+
+
+_CSV_FAULTS = """SELECT CASE WHEN (store_nbr + day(date)) % 7 = 1 THEN 'short' WHEN (store_nbr + day(date)) % 7 = 2 THEN 'long'
+  WHEN (store_nbr + day(date)) % 7 = 3 THEN 'word' WHEN (store_nbr + day(date)) % 7 = 4 THEN 'day' ELSE 'none' END AS fault, * FROM transactions"""
+
+
+@register("scan_rejects", f"""SELECT fault, reason, count(*) AS lines, CAST(COALESCE(sum(transactions), 0) AS BIGINT) AS transactions FROM
+  (SELECT fault, CASE WHEN fault IN ('short', 'long') THEN 'field_count' WHEN fault IN ('word', 'day') THEN 'bad_value' ELSE 'accepted' END AS reason,
+          CASE WHEN fault = 'none' THEN transactions END AS transactions FROM ({_CSV_FAULTS})) GROUP BY fault, reason""")
+def scan_rejects(c: Ctx) -> DataFrame:
+    """A CSV table with lines too short, too long, with a word for a number and with no such day; every line
+    is either a typed row or a reject with its reason."""
+    k = (F.col("store_nbr") + F.dayofmonth("date")) % 7
+    day, store, n = F.col("date").cast("string"), F.col("store_nbr").cast("string"), F.col("transactions").cast("string")
+    line = (
+        F.when(k == 1, F.concat_ws(",", day, store))
+        .when(k == 2, F.concat_ws(",", day, store, n, F.lit("more")))
+        .when(k == 3, F.concat_ws(",", day, store, F.concat(F.lit("word "), n)))
+        .when(k == 4, F.concat_ws(",", F.concat(F.lit("2001-02-30x"), day), store, n))
+        .otherwise(F.concat_ws(",", day, store, n))
+    )
+    path = new_output_path(c.spark, "csv-dirty")
+    # One text file with a header, as a producer would write it.
+    header = F.lit(",".join(S.TRANSACTION_COLUMNS))
+    body = c.transactions.select(line.alias("value"), F.lit(1).alias("at"))
+    c.spark.range(1).select(header.alias("value"), F.lit(0).alias("at")).unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    good, bad = R.read_csv_with_rejects(c.spark, path, c.transactions.schema)
+    fault = (
+        F.when(F.col("reason") == "bad_value", F.when(F.col(R.REJECTED_LINE).contains("word"), "word").otherwise("day"))
+        .otherwise(F.when(F.col(R.REJECTED_LINE).contains("more"), "long").otherwise("short"))
+    )
+    rows = good.select(F.lit("none").alias("fault"), F.lit("accepted").alias("reason"), "transactions").unionByName(
+        bad.select(fault.alias("fault"), "reason", F.lit(None).cast("int").alias("transactions"))
+    )
+    return rows.groupBy("fault", "reason").agg(
+        F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("transactions"), F.lit(0)).cast("long").alias("transactions")
+    )
+
+
 # ============================================================================ joins
 
+@register("asof_events", """SELECT p.event_id, p.user_id, p.ts, max_by(v.value, (v.ts, v.event_id)) AS value, max(v.ts) AS matched_time
+FROM events p LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts
+WHERE p.event_type = 'purchase' GROUP BY p.event_id, p.user_id, p.ts""")
+def asof_events(c: Ctx) -> DataFrame:
+    """J3 at event grain: each purchase with the last view of its user at or before it."""
+    events = c.src.raw("events").select("event_id", "user_id", "ts", "value", "event_type")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return AO.asof_join(bought, events.where("event_type = 'view'"), ["user_id"], "ts", ["value"], tie="event_id")
+
+
+@register("dup_ids", f"""SELECT 'sales' AS table_name, {O.extra_rows('sales', ['id'])} AS extra_rows
+UNION ALL SELECT 'future', {O.extra_rows('future', ['id'])} UNION ALL SELECT 'orders', count(o_orderkey) - count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'lineitem', count(l_orderkey) - count(DISTINCT l_orderkey) FROM lineitem""")
+def dup_ids(c: Ctx) -> DataFrame:
+    """Rows that repeat an id, by bitmaps where ids are dense."""
+    tables = {"sales": (c.sales, "id"), "future": (c.future, "id"),
+              "orders": (c.src.raw("orders"), "o_orderkey"), "lineitem": (c.src.raw("lineitem"), "l_orderkey")}
+    parts = [CT.duplicate_ids(df, x).select(F.lit(name).alias("table_name"), "extra_rows") for name, (df, x) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register(
     "store_join",
     "SELECT s.*, st.city, st.state, st.store_type, st.store_cluster FROM sales s LEFT JOIN stores st ON s.store_nbr = st.store_nbr",

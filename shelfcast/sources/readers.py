@@ -58,6 +58,34 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+#: Column of the text of a line that its schema cannot hold.
+REJECTED_LINE = "rejected_line"
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejected lines with reason) of a CSV table; nothing is dropped silently.
+
+    The header must be the schema's columns in order, or the whole table is refused. A line is rejected if it
+    has too few or too many fields (``field_count``) or a value that its column's type cannot hold
+    (``bad_value``); empty fields are nulls.
+    """
+    header = csv_header(spark, path)
+    if header != schema.names:
+        raise ContractError(f"{path}: header {header} is not {schema.names}")
+    wide = T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.fields), T.StructField(REJECTED_LINE, T.StringType())])
+    options = {"mode": "PERMISSIVE", "dateFormat": "yyyy-MM-dd", "columnNameOfCorruptRecord": REJECTED_LINE}
+    # Lines are parsed here and not by the scan, which could not be asked for the rejected ones alone.
+    lines = spark.read.text(path).where((F.col("value") != ",".join(header)) & (F.length(F.trim("value")) > 0))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.fields)
+    rows = lines.select(F.from_csv("value", ddl, options).alias("p")).select("p.*")
+    good = rows.where(F.col(REJECTED_LINE).isNull()).select(*schema.names)
+    # A quoted field may hold separators: those inside quotes are no field ends.
+    plain = F.regexp_replace(REJECTED_LINE, r'"[^"]*"', "")
+    fields = F.length(plain) - F.length(F.replace(plain, F.lit(","))) + 1
+    reason = F.when(fields != len(schema.names), "field_count").otherwise("bad_value")
+    return good, rows.where(F.col(REJECTED_LINE).isNotNull()).select(REJECTED_LINE, reason.alias("reason"))
+
+
 def source_contracts(oil: DataFrame, transactions: DataFrame, holidays: DataFrame) -> dict[str, Contract]:
     """S3 + S4 + S5 + H2: the contracts of the three small sources."""
     from shelfcast.operators.holidays import classify_events
@@ -239,7 +267,7 @@ def write_forecast(forecast: DataFrame, path: str, overwrite: bool = False, fmt:
 
 
 __all__ = [
-    "read_table", "csv_header", "check_oil", "check_transactions", "check_holidays",
+    "read_table", "csv_header", "read_csv_with_rejects", "REJECTED_LINE", "check_oil", "check_transactions", "check_holidays",
     "processed_contract", "processed_rules", "history_window", "history_window_at", "history_rules", "publish_forecast", "write_table", "write_compact_history",
     "read_compact_history", "forecast_rules", "write_forecast", "source_contracts", "ContractError",
 ]

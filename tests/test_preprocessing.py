@@ -160,3 +160,31 @@ def test_final_check_detects_changed_target(spark):
     changed = base.withColumn("sales", F.lit(6.0))
     rules = {r.rule: r.violations for r in FT.final_rules(changed, base).collect()}
     assert rules["target_changed"] == 1 and rules["lost_rows"] == 0
+
+
+def test_csv_rejects_keep_every_line(spark, tmp_path):
+    """Short, long and mistyped lines, quotes with separators, empty fields, empty lines and files."""
+    from pyspark.sql import types as T
+
+    from shelfcast.sources import readers as R
+
+    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType())])
+    lines = ["2020-01-01,1,a", '2020-01-02,2,"b, c"', "2020-01-03,,", "2020-01-04,4", "2020-01-05,5,e,f", "2020-01-06,six,g",
+             "2020-02-30,7,h", '2020-01-08,99999999999,"x, y"', "", "2020-01-09,9,i"]
+    folder = tmp_path / "table"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join(["date,n,name", *lines[:5]]) + "\n")
+    (folder / "b.csv").write_text("\n".join(["date,n,name", *lines[5:]]))
+    (folder / "c.csv").write_text("date,n,name\n")
+    good, bad = R.read_csv_with_rejects(spark, str(folder), schema)
+    assert good.schema.names == schema.names and good.count() == 4
+    assert sorted((str(r.date), r.n, r.name) for r in good.collect()) == [
+        ("2020-01-01", 1, "a"), ("2020-01-02", 2, "b, c"), ("2020-01-03", None, None), ("2020-01-09", 9, "i")
+    ]
+    assert {r.rejected_line: r.reason for r in bad.collect()} == {
+        lines[3]: "field_count", lines[4]: "field_count", lines[5]: "bad_value", lines[6]: "bad_value", lines[7]: "bad_value"
+    }
+    assert bad.groupBy("reason").count().count() == 2
+    (folder / "a.csv").write_text("n,date,name\n")
+    with pytest.raises(R.ContractError, match="header"):
+        R.read_csv_with_rejects(spark, str(folder / "a.csv"), schema)

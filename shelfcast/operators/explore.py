@@ -12,6 +12,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfcast.functions.columns import count_if
 from shelfcast.operators.quantiles import grouped_median
@@ -39,9 +40,10 @@ def train_summary(train: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
-        F.countDistinct("date").alias("observed_dates"),
-        F.countDistinct("store_nbr").alias("stores"),
-        F.countDistinct("family").alias("product_families"),
+        # Sets of the dimensions' values: no row is expanded for a distinct count.
+        F.size(F.collect_set("date")).cast("long").alias("observed_dates"),
+        F.size(F.collect_set("store_nbr")).cast("long").alias("stores"),
+        F.size(F.collect_set("family")).cast("long").alias("product_families"),
         _zero_rate().alias("zero_sales_rate_pct"),
         F.round(F.lit(100.0) * count_if(F.col("onpromotion") > 0).cast("double") / F.count(F.lit(1)).cast("double"), DP).alias(
             "promotion_rows_pct"
@@ -136,19 +138,14 @@ def rolling_mean(daily: DataFrame, value: str = "daily_sales", days: int = 28, m
                  by: Sequence[str] = ()) -> DataFrame:
     """Calendar-day trailing mean (not row-based), NULL below ``min_periods`` observations.
 
-    Each observed day is exploded forward to the ``days`` windows it belongs
-    to and re-aggregated per window end: fully distributed, keyed by
-    (window end, *by), so no series is ever held by one task.
+    ``daily`` has one row for each day and key, so a key's frame is bounded by the calendar, whatever the
+    facts behind it; a range frame over day numbers leaves days out that have no row.
     """
-    fwd = daily.select(
-        *by, F.col("date").alias("_src"), F.col(value).cast(MONEY).alias("_v"),
-        F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_k"),
-    ).select(*by, F.date_add("_src", F.col("_k")).alias("date"), "_v")
-    win = fwd.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").cast("double").alias("_s"))
-    out = daily.select(*by, "date", value).join(win, [*by, "date"], "inner")
-    return out.select(
-        *by, "date", value,
-        F.when(F.col("_n") >= min_periods, F.col("_s") / F.col("_n").cast("double")).alias(f"rolling_{days}d_mean"),
+    day = F.unix_date("date")
+    frame = Window.partitionBy(*by).orderBy(day).rangeBetween(-(days - 1), 0)
+    n, total = F.count(F.lit(1)).over(frame), F.sum(F.col(value).cast(MONEY)).over(frame).cast("double")
+    return daily.select(
+        *by, "date", value, F.when(n >= min_periods, total / n.cast("double")).alias(f"rolling_{days}d_mean")
     )
 
 

@@ -137,9 +137,9 @@ def structural_checks(df: DataFrame, nullable: Sequence[str], gap_count: int) ->
         _null_cells(exp).cast("long").alias("expected_history_gap_cells"),
         _null_cells(oth).cast("long").alias("unexpected_missing_cells"),
         count_if(F.col("sales") < 0).alias("negative_sales_rows"),
-        F.countDistinct("date").cast("long").alias("unique_dates"),
-        F.countDistinct("store_nbr").cast("long").alias("unique_stores"),
-        F.countDistinct("family").cast("long").alias("unique_families"),
+        F.size(F.collect_set("date")).cast("long").alias("unique_dates"),
+        F.size(F.collect_set("store_nbr")).cast("long").alias("unique_stores"),
+        F.size(F.collect_set("family")).cast("long").alias("unique_families"),
     )
     dup = duplicate_counts(df, S.BASE_KEY).first().extra_rows
     wide = wide.withColumns({

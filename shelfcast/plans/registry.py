@@ -20,6 +20,7 @@ from shelfcast.operators import asof as AO
 from shelfcast.operators import contracts as CT
 from shelfcast.operators import holidays as H
 from shelfcast.operators import joins as J
+from shelfcast.operators import keyed_history as KH
 from shelfcast.operators import metrics as M
 from shelfcast.operators.contracts import enforce
 from shelfcast.plans import features as FT
@@ -307,6 +308,14 @@ def exact_lags_sales(c: Ctx) -> DataFrame:
     return FT.add_sales_lags(c.sales, c.sales)
 
 
+@register("batch_lags_keyed", f"SELECT f.id, f.date, f.store_nbr, f.family, {_SAL_SEL} FROM future f {_SAL_JOIN}")
+def batch_lags_keyed(c: Ctx) -> DataFrame:
+    """J5 / J9 of the future batch on a history laid out by (store, family): the history is not exchanged."""
+    kept = KH.read_history(c.spark, KH.write_history(c.sales))
+    J.require_pair_coverage(c.future, kept)
+    return KH.batch_lags(c.future.select("id", "date", "store_nbr", "family"), kept, c.win.internal_test_end)
+
+
 @register("asof_lags", "SELECT * FROM oil_lookup")
 def asof_lags(c: Ctx) -> DataFrame:
     """Backward as-of oil value + age for every base date and safe lag."""

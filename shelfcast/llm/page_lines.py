@@ -15,7 +15,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -33,6 +33,13 @@ _BOILERPLATE_NAMES = frozenset(
 )
 
 
+#: Of an element inside the article a name has to say it whole: a part of one ("market-share") says nothing.
+_ARTICLE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo newsletter cookie cookies popup modal sidebar "
+    "comment comments disqus ad-box adbox cookie-notice cookie-banner newsletter-signup comment-list".split()
+)
+
+
 def _boilerplate(name: str, rest: str, inside: bool) -> bool:
     if name in _BOILERPLATE_TAGS or (name == "header" and not inside):
         return True
@@ -44,7 +51,10 @@ def _boilerplate(name: str, rest: str, inside: bool) -> bool:
             return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if key in ("class", "id"):
+        if key in ("class", "id") and inside:
+            if name != "article" and _ARTICLE_NAMES & set(value.lower().split()):
+                return True
+        elif key in ("class", "id"):
             words = {w.lower() for w in _TOKENS.findall(value)}
             if words & _BOILERPLATE_NAMES and name not in ("html", "body", "main", "article") or words & {"comment", "comments"}:
                 return True

@@ -67,14 +67,49 @@ def test_extract_pages_cases(spark):
         assert [text[k] for k in (1, 2, 3)] == ["First", "Second\n\nMore", "Third"]
         assert text[4] == "Shop of things\n\nTop\n\nSingle\n\nAll rights reserved"
         assert text[5] == text[6] == "Same" and text[7] == text[8] == "" and text[9] == "x"
-        assert text[None] == "u\n\nv" and text[10] == ""  # the repeated row is its template
-        assert text[11].split("\n\n") == [f"line {i}" for i in range(1, 3000, 2)] and text[12] == "own"
+        assert text[None] == "u\n\nv" and text[10] == "r\n\ns"  # a copy is no template
+        assert text[11].split("\n\n") == [f"line {i}" for i in range(1, 3000, 2)]
+        # Its only neighbour has nearly all its lines: that may be a copy, so nothing goes.
+        assert text[12].split("\n\n") == [*(f"line {i}" for i in range(0, 3000, 2)), "own"]
         assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     html_extract.LEAST_RANGES = 64
     assert html_extract.extract_pages(df).count() == len(data)
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_articles_keep_what_only_a_part_of_a_name_declares():
+    page = """<main><p class="market-share">Share</p><div id="search-results">Found</div><section class="related-work">Work</section>
+    <p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><div class="ad big">Buy</div><div id="comments">Reader</div>
+    <div role="search">Seek</div><aside>Beside</aside></main><div class="market-share">Out</div>"""
+    assert page_lines(page) == [
+        ("Share", CONTENT), ("Found", CONTENT), ("Work", CONTENT), ("Sum x+1", CONTENT), ("Buy", DECLARED), ("Reader", DECLARED),
+        ("Seek", DECLARED), ("Beside", DECLARED), ("Out", DECLARED),
+    ]
+
+
+def test_copies_beside_a_page_are_no_template(spark, monkeypatch):
+    """Print views, mirrors and repeated rows keep their article; the template goes where another page shows it;
+    the same at any size of ranges, the first page included."""
+    def page(body):
+        return f"<div>Shop of things</div><p>Top</p>{body}<p>All rights reserved</p>"
+
+    article = "".join(f"<p>Line {i} of the article</p>" for i in range(40))
+    data = [(1, "http://two.org/a", page(article)), (2, "http://two.org/a?print=1", page(article))]
+    data += [(10 + i, f"http://many.org/a?copy={i}", page(article)) for i in range(30)] + [(50, "http://many.org/b", page("<p>Own</p>"))]
+    data += [(60 + i, f"http://some.org/a{i}", page(article.replace("Line 7", f"Line {i}"))) for i in range(4)]
+    data += [(70, "http://some.org/b", page("<p>Own</p>")), (0, "http://a.org/1", page("<p>x</p>")), (80, "http://a.org/2", page("<p>y</p>"))]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    whole = "\n\n".join(f"Line {i} of the article" for i in range(40))
+    for ranges in (1, 2, 64):
+        monkeypatch.setattr(html_extract, "LEAST_RANGES", ranges)
+        text = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+        assert len(text) == len(data) and text[0] == "x" and text[80] == "y"
+        assert text[1] == text[2] == f"Shop of things\n\nTop\n\n{whole}\n\nAll rights reserved"
+        # Near the end of the copies another page is in sight.
+        assert all(whole in text[10 + i] for i in range(30)) and text[39] == whole and text[50] == "Own"
+        assert [text[60 + i] for i in range(4)] == [whole.replace("Line 7", f"Line {i}") for i in range(4)]
+
+
 def phrases(data: bytes) -> set:
     found, at = set(), 0
     for end in range(1, len(data) + 1):

@@ -1,17 +1,21 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
 Rows are dealt into blocks by a hash of their id. A block sends each owner of
-a fingerprint range the sorted, Golomb-coded fingerprints that fall there; the
+a fingerprint range the sorted, Golomb-coded fingerprints that fall there, each
+once, with a bit for those that it has more than once itself, so an owner gets
+the copies of one text at most once a block, however many there are. The
 owner answers with one bit for each: met more than once or not. Only rows with
 that bit (true copies, and about one row in 2**SLACK_BITS by chance) are
 suspects, whose texts are then shuffled and compared byte by byte. The
 fingerprint is only as long as the number of rows asks for, so an exchange
-costs about SLACK_BITS + 2 bits a row.
+costs about SLACK_BITS + 2 bits a row. Blocks and owners grow together, with the
+root of the number of rows, so a message holds as many fingerprints at any size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +30,10 @@ from shelfcast.llm.hashing import slices
 from shelfcast.llm.scratch import Scratch
 
 SLACK_BITS = 12
-#: Rows that make a block, and fingerprints that an owner gets, on average.
+#: Rows that make a block, and that an owner answers for, at least, on average.
 BLOCK_ROWS = 1 << 13
-OWNER_ROWS = 1 << 18
+#: Fingerprints of a message, on average, where blocks are larger than that.
+MESSAGE_ROWS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,18 +51,25 @@ def _fingerprints(shas: pd.Series, span: int) -> np.ndarray:
     return first & np.uint64(span - 1)
 
 
+def shares(n: int) -> tuple[int, int]:
+    """(blocks, owners) for n rows; owners is a power of two."""
+    rows = max(BLOCK_ROWS, math.isqrt(MESSAGE_ROWS * max(n, 1)))
+    return max(4, n // rows), 1 << max(2, (n // rows).bit_length())
+
+
 def _send(span: int, owners: int):
-    """A block's messages: a sorted, coded list of fingerprints for each owner."""
+    """A block's messages: a sorted, coded list of fingerprints for each owner, and the bits of those repeated here."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints = np.sort(_fingerprints(pdf["sha"], span))
+        prints, counts = np.unique(_fingerprints(pdf["sha"], span), return_counts=True)
         width = span // owners
         cuts = np.searchsorted(prints, np.arange(1, owners, dtype=np.uint64) * np.uint64(width))
         rows = []
-        for owner, part in enumerate(np.split(prints, cuts)):
+        for owner, (part, n) in enumerate(zip(np.split(prints, cuts), np.split(counts, cuts))):
             if len(part):
-                rows.append((owner, int(pdf["block"].iloc[0]), golomb.encode(part - np.uint64(owner * width), width)))
-        return pd.DataFrame(rows, columns=["owner", "block", "prints"])
+                code = golomb.encode(part - np.uint64(owner * width), width)
+                rows.append((owner, int(pdf["block"].iloc[0]), code, np.packbits(n > 1).tobytes()))
+        return pd.DataFrame(rows, columns=["owner", "block", "prints", "repeated"])
 
     return run
 
@@ -65,9 +77,10 @@ def _send(span: int, owners: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """An owner's replies: for each message one bit a fingerprint, set if it was met more than once."""
     lists = [golomb.decode(x) for x in pdf["prints"]]
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(x)].astype(bool) for b, x in zip(pdf["repeated"], lists)]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
-    twice = values[counts > 1]
-    marks = [np.packbits(np.isin(x, twice, assume_unique=False).astype(np.uint8)).tobytes() for x in lists]
+    twice = np.union1d(values[counts > 1], np.concatenate([x[b] for x, b in zip(lists, bits)]))
+    marks = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in lists]
     return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "marks": marks})
 
 
@@ -77,15 +90,13 @@ def _suspects(span: int, owners: int):
     def run(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return rows[["id", "sha"]]
-        prints = _fingerprints(rows["sha"], span)
-        order = np.argsort(prints, kind="stable")
-        owner_of = (prints[order] // np.uint64(span // owners)).astype(np.int64)
-        marked = np.zeros(len(rows), bool)
+        prints, print_of = np.unique(_fingerprints(rows["sha"], span), return_inverse=True)
+        owner_of = (prints // np.uint64(span // owners)).astype(np.int64)
+        marked = np.zeros(len(prints), bool)
         for owner, marks in zip(replies["owner"], replies["marks"]):
             at = np.searchsorted(owner_of, [owner, owner + 1])
-            bits = np.unpackbits(np.frombuffer(marks, np.uint8))[: at[1] - at[0]]
-            marked[order[at[0] : at[1]]] = bits.astype(bool)
-        return rows.loc[marked, ["id", "sha"]]
+            marked[at[0] : at[1]] = np.unpackbits(np.frombuffer(marks, np.uint8))[: at[1] - at[0]]
+        return rows.loc[marked[print_of], ["id", "sha"]]
 
     return run
 
@@ -110,10 +121,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = tmp.write(rows.withColumn("serial", F.monotonically_increasing_id()), "digests")
         n = rows.count()
         span = 1 << max(8, (max(n, 1) - 1).bit_length() + SLACK_BITS)
-        owners = 1 << max(2, (n // OWNER_ROWS).bit_length())
-        blocks = max(4, n // BLOCK_ROWS)
+        blocks, owners = shares(n)
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)))
-        sent = dealt.groupBy("block").applyInPandas(_send(span, owners), "owner long, block long, prints binary")
+        sent = dealt.groupBy("block").applyInPandas(_send(span, owners), "owner long, block long, prints binary, repeated binary")
         replies = sent.groupBy("owner").applyInPandas(_answer, "block long, owner long, marks binary")
         suspects = (
             dealt.groupBy("block")

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,33 @@ def _flat(parts):
     return np.frombuffer(b"".join(parts), np.uint8), ends
 
 
+def test_messages_hold_as_much_at_any_size():
+    for n in (1 << 24, 1 << 28, 10**9, 10**12):
+        blocks, owners = exact_dedup.shares(n)
+        assert 25 < n / (blocks * owners) < 2 * exact_dedup.MESSAGE_ROWS
+        # Neither a block nor an owner has more than some times the root of all.
+        assert max(n / blocks, n / owners) < 32 * n**0.5
+
+
+def test_copies_reach_an_owner_once_a_block():
+    rng = np.random.default_rng(1)
+    shas = [b"c" * 32] * 5000 + [rng.bytes(32) for _ in range(5000)] + [b"d" * 32]
+    span, owners = 1 << 26, 8
+    sent = pd.concat([
+        exact_dedup._send(span, owners)(pd.DataFrame({"id": range(len(part)), "sha": part, "block": k}))
+        for k, part in enumerate((shas[:6000], shas[6000:] + [b"d" * 32, b"e" * 32]))
+    ])
+    # 5,001 of the first block's 6,000 rows are copies of one text: one fingerprint.
+    assert sum(len(golomb.decode(x)) for x in sent["prints"]) < 5000 + 10
+    replies = pd.concat([exact_dedup._answer(own) for _, own in sent.groupby("owner")])
+    found = []
+    for k, part in enumerate((shas[:6000], shas[6000:] + [b"d" * 32, b"e" * 32])):
+        rows = pd.DataFrame({"id": range(len(part)), "sha": part, "block": k})
+        found += exact_dedup._suspects(span, owners)(rows, replies[replies["block"] == k])["sha"].tolist()
+    assert found.count(b"c" * 32) == 5000 and found.count(b"d" * 32) == 2 and found.count(b"e" * 32) == 0
+    assert len(found) < 5002 + 20  # and what shares a fingerprint by chance
+
+
 def test_exact_dedup_cases(spark):
     got = sorted(map(tuple, exact_dedup.exact_dedup(frame(spark)).collect()), key=str)
     groups = defaultdict(list)

@@ -1,6 +1,7 @@
 """Exact, MinHash and paragraph deduplication against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import empty, frame, rows, words
 
-from shelfcast.llm import bbit_minhash, exact_dedup, golomb, hashing, minhash_dedup, paragraph_dedup
+from shelfcast.llm import bbit_minhash, exact_dedup, golomb, hashing, minhash_dedup, paragraph_dedup, passage_match
 from shelfcast.llm.components import connected_components
 
 
@@ -322,3 +323,77 @@ def test_similar_part_of_a_longer_match_is_found(spark):
     kept = " ".join(w for k, w in enumerate(good.split()) if k not in (40, 85, 130))
     assert removed_share(spark, texts, 2, kept) == 1
     assert removed_share(spark, texts, 2, bad) < 0.2
+
+
+def with_edit(rng, words, kind, k):
+    """The words with k of them inserted, deleted or replaced at one place, or with their halves swapped."""
+    at = rng.randrange(10, len(words) - 10 - k)
+    new = [f"e{rng.randrange(10**6)}" for _ in range(k)]
+    if kind == "insert":
+        return words[:at] + new + words[at:]
+    if kind == "delete":
+        return words[:at] + words[at + k :]
+    if kind == "replace":
+        return words[:at] + new + words[at + k :]
+    return words[len(words) // 2 :] + words[: len(words) // 2]
+
+
+def similar_words(texts, window=50, shingle=5, least=80, lengths=(44, 50, 56)):
+    """For each text, by brute force, the places of words in a window that repeats words of an earlier text, with
+    whose words it begins and ends: all windows of both, of some lengths, by exact Jaccard similarity."""
+    def grams(words):
+        return frozenset(tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1))
+
+    out, seen = [], []
+    for words in texts:
+        held = set()
+        for a in range(len(words) - window + 1):
+            own, ends = grams(words[a : a + window]), {tuple(words[a : a + shingle]), tuple(words[a + window - shingle : a + window])}
+            if any(len(own & other) * 100 >= least * len(own | other) for other in seen if ends <= other):
+                held.update(range(a, a + window))
+        out.append(held)
+        seen += [grams(words[a : a + n]) for n in lengths for a in range(len(words) - n + 1)]
+    return out
+
+
+def test_passages_with_edits_of_any_kind_are_found(spark):
+    """Recall over brute force: groups of copies with edits of their own (1 to 12 words in or out, halves moved),
+    a passage of 30 words that all documents share, and one that is common to half of them but too short."""
+    rng = np.random.default_rng(5)
+    pick = random.Random(5)
+
+    def fresh(n):
+        return [f"w{int(x)}" for x in rng.integers(0, 10**6, n)]
+
+    hot, short, passages = fresh(30), fresh(24), [fresh(70), fresh(95), fresh(130)]
+    texts = []
+    for k in range(26):
+        parts = [fresh(pick.randrange(5, 20)), hot]
+        if k % 2:
+            parts += [fresh(9), short]
+        kind = pick.choice(["insert", "delete", "replace", "swap"])
+        parts += [fresh(pick.randrange(5, 15)), with_edit(pick, passages[k % 3], kind, pick.randrange(1, 13)), fresh(pick.randrange(5, 20))]
+        texts.append([w for part in parts for w in part])
+    expected = similar_words(texts)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = [set() for _ in texts]
+    for r in paragraph_dedup.repeated_passages(df).collect():
+        before, own = len(" ".join(texts[r["doc_id"]])[: r["start"]].split()), texts[r["doc_id"]]
+        run = range(before, before + r["n_words"])
+        found[r["doc_id"]].update(run)
+        earlier = {w for t in texts[: r["doc_id"]] for w in t}
+        assert sum(own[i] not in earlier for i in run) <= 0.2 * len(run)
+    whole = sum(map(len, expected))
+    caught = sum(len(a & b) for a, b in zip(expected, found))
+    assert whole > 1000 and caught >= 0.99 * whole
+
+
+@pytest.mark.parametrize("kind, k", [("insert", 3), ("insert", 4), ("insert", 6), ("insert", 8), ("delete", 5), ("delete", 12), ("replace", 7)])
+def test_one_long_edit_in_the_middle(kind, k):
+    rng = random.Random(k)
+    base = [f"p{i}" for i in range(110)]
+    copy = with_edit(rng, base, kind, k)
+    x, y = ["a"] * 20 + copy + ["b"] * 20, ["c"] * 30 + base + ["d"] * 9
+    anchors = [(20, 30)]
+    (run,) = passage_match.repeats(x, y, anchors, 50, 5, 80, False)
+    assert run == (20, 20 + len(copy))

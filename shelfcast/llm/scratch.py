@@ -20,13 +20,28 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._paths: list[str] = []
+        self._path_of: dict[int, str] = {}
 
     def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = new_output_path(self.spark, name)
         df.write.parquet(path)
         if not keep:
             self._paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        frame = self.spark.read.schema(df.schema).parquet(path)
+        self._path_of[id(frame)] = path
+        return frame
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove tables, as ``write`` returned them, that nothing reads any more."""
+        for frame in frames:
+            path = self._path_of.pop(id(frame))
+            self._paths.remove(path)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
     def __enter__(self) -> Scratch:
         return self
@@ -34,7 +49,5 @@ class Scratch:
     def __exit__(self, kind, error, trace) -> None:
         if kind is not None:
             return
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self._paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            self._delete(path)

@@ -1,6 +1,7 @@
 """Boosted trees and ridge against brute force and closed forms, and the grid over them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
@@ -83,6 +84,34 @@ def test_passes_of_many_partitions_give_the_same_trees(spark, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole.arrays(), dealt.arrays()))
 
 
+def one_hot_sample():
+    """A store and its city one-hot, a day with its month and price, a flag: slots that depend on each other."""
+    rng = np.random.default_rng(5)
+    store, day, flag = rng.integers(0, 12, N), rng.integers(0, 40, N), rng.integers(0, 2, N)
+    price = rng.normal(size=40)[day]
+    x = np.column_stack([np.eye(12)[store], np.eye(4)[store // 3], day // 10, price, flag, rng.normal(size=N)])
+    return x, price * (store % 3) + flag + rng.normal(size=N) * 0.1
+
+
+def test_slots_counted_together_give_the_same_trees(spark, monkeypatch):
+    """A task counts the 20 slots as fewer columns, and a block holds one-hot slots in few bytes."""
+    x, y = one_hot_sample()
+    df = frame(spark, x, y, 3)
+    together = B.fit_ensembles(df, ENSEMBLES)
+    bins = B.find_bins(df)
+    for ensemble, (model, _) in zip(ENSEMBLES, together):
+        assert np.abs(model.staged([ensemble.trees])(x)[0] - brute_boosting(x, y, ensemble, bins)).max() < 1e-12
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(y)], names=["x", "label"])
+    blocks = pa.Table.from_batches(B._blocks(bins, 0.0, 1)([batch]))
+    assert sum(len(blocks.column(c)[0].as_py()) for c in ("ones", "one_slot")) <= N * 8
+    columns, label, _ = B._columns(blocks, bins)
+    assert len(columns) <= 5 and np.array_equal(label, y)
+    assert sorted(s for c in columns for own in c.slots for s in own) == list(range(20))
+    monkeypatch.setattr(B, "TASK_BYTES", 0)
+    for (a, _), (b, _) in zip(together, B.fit_ensembles(df, ENSEMBLES)):
+        assert all(np.array_equal(p, q) for p, q in zip(a.arrays(), b.arrays()))
+
+
 def test_a_prefix_is_a_fit_with_fewer_trees(spark):
     x, y = sample(1)
     df = frame(spark, x, y)

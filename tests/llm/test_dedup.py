@@ -301,6 +301,31 @@ def test_places_left_meet_every_earlier_one(spark):
     assert set(found) == set(range(100, 124))
 
 
+def test_documents_with_a_common_run_that_is_no_repeat_do_not_all_meet(spark, monkeypatch):
+    """Runs of one word and a passage of 30 words, each in 60 documents; some have near copies with the run inside."""
+    boiler, texts = unique_words("common", 30), {}
+    for k in range(60):
+        texts[k] = unique_words(f"a{k}", 30) + " the" * (26 + k % 20) + " " + unique_words(f"b{k}", 30)
+        texts[100 + k] = unique_words(f"c{k}", 30) + " " + boiler + " " + unique_words(f"d{k}", 30)
+    copies = {200: (7, 20), 201: (41, 27), 202: (107, 20), 203: (155, 63), 204: (130, 20)}
+    for k, (of, at) in copies.items():
+        texts[k] = unique_words(f"e{k}", 5) + " " + edited(texts[of], {at}) + " " + unique_words(f"f{k}", 5)
+    sizes, write = {}, paragraph_dedup.Scratch.write
+
+    def counted(self, df, name, keep=False):
+        out = write(self, df, name, keep)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(paragraph_dedup.Scratch, "write", counted)
+    found = removed_share(spark, texts, None, None)
+    assert set(found) == set(copies)
+    for k, (of, _) in copies.items():
+        assert sum(w in " ".join(found[k]).split() for w in texts[of].split()) >= len(texts[of].split()) - 1
+    # Each has itself, and each copy those that it may repeat: all 7,000 pairs, of over a million places, have met before.
+    assert sizes["pairs"] < 3 * len(texts)
+
+
 def test_words_of_a_settled_document_are_found(spark):
     """B repeats A with an edit; C has B's words, two edits away from A."""
     a = unique_words("abc", 56)

@@ -6,12 +6,13 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import empty, frame, rows, words
 from pyspark.sql import functions as F
 
-from shelfcast.llm import html_extract, language_id, lm_scoring, lz_fingerprint, pitman_yor
+from shelfcast.llm import hashing, html_extract, language_id, lm_scoring, lz_fingerprint, pitman_yor
 from shelfcast.llm.page_lines import CONTENT, DECLARED, OPEN, common_lines, page_lines
 
 
@@ -320,3 +321,51 @@ def test_model_learns_word_order(spark):
     got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, F.col("doc_id") < 60).collect()}
     assert got[100]["score"] > got[100]["base_score"] + 10
     assert got[101]["score"] < got[100]["score"] - 10 and math.isclose(got[101]["base_score"], got[100]["base_score"])
+
+
+def test_contexts_are_not_merged(spark):
+    """Two words that shared one of 65,536 restaurants before: what follows the one says nothing of what follows the other."""
+    seen, pair = {}, None
+    for k in range(4000):
+        word = f"word{k}"
+        data = np.frombuffer(word.encode(), np.uint8)
+        hashes, _ = hashing.word_hashes(data, np.array([0, len(data)]))
+        key = int(hashing.mix64(hashes ^ np.uint64(0x6C62272E07BB0142))[0]) >> 48
+        if key in seen:
+            pair = seen[key], word
+            break
+        seen[key] = word
+    one, other = pair
+    data = [(i, f"{one} red") for i in range(40)] + [(40 + i, f"{other} blue") for i in range(40)]
+    data += [(100, f"{one} red"), (101, f"{one} blue")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, F.col("doc_id") < 80).collect()}
+    assert got[100] > got[101] + 1
+    keys = np.arange(1 << 17, dtype=np.uint64)
+    assert len(np.unique(lm_scoring.context_of(keys))) == len(keys)
+
+
+def test_contexts_get_the_sums_of_all_owners():
+    """Three owners, of which each has some of the contexts; sums come back in each owner's order."""
+    def packed(contexts, *sums):
+        return np.array(contexts, "<u8").tobytes(), lm_scoring._squeezed(np.array(sums, "<u4"))
+
+    top = 2**64 - 1
+    rows = [(0, *packed([1, 7, top], [5, 0, 2], [3, 0, 1])), (4, *packed([7], [9], [4])), (2, *packed([1, top], [2**32 - 1, 1], [1, 1]))]
+    out = lm_scoring._summed(1)(pd.DataFrame(rows, columns=["owner", "contexts", "sums"]).assign(k=3))
+    got = {o: lm_scoring._unsqueezed(x, "<i8", (2, n)).tolist() for o, n, x in zip(out["owner"], out["n"], out["sums"])}
+    assert got == {0: [[2**32 + 4, 9, 3], [4, 4, 2]], 4: [[9], [4]], 2: [[2**32 + 4, 3], [4, 2]]}
+
+
+def test_scores_at_many_owners(spark, monkeypatch):
+    """Without words that occur twice after one context all tables are known, and scores don't depend on the owners."""
+    data = [(i, f"a{i} b{i} c{i} a{i + 1}") for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+
+    def scores(owners):
+        monkeypatch.setattr(lm_scoring, "LEAST_OWNERS", owners)
+        return {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, F.col("doc_id") % 3 != 0, owner_bytes=1 << 20).collect()}
+
+    one, many = scores(1), scores(12)
+    assert len(one) == len(many) == 30
+    assert all(abs(many[k] / one[k] - 1) < 0.01 for k in one)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -434,3 +435,60 @@ def test_one_long_edit_in_the_middle(kind, k):
     anchors = [(20, 30)]
     (run,) = passage_match.repeats(x, y, anchors, 50, 5, 80, False)
     assert run == (20, 20 + len(copy))
+
+
+def test_shingles_and_seeds_of_many_texts_follow_their_words():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, (4, 1 << 40)[k % 2], n).astype(np.uint64) for k, n in enumerate((0, 24, 25, 26, 300, 49, 50, 51, 1, 120))]
+    flat, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    for width in (1, 2, 5, 6, 12, 25, 39, 50):
+        for text in texts:
+            n = min(width, len(text))
+            expected = []
+            for at in range(len(text) - n + 1 if n else 0):
+                key = n
+                for w in text[at : at + n].tolist():
+                    key = (key * 0xFF51AFD7ED558CCD + w) % (1 << 64)
+                expected.append(key)
+            assert hashing.shingle_hashes(text, width).tolist() == hashing.mix64(np.array(expected, np.uint64)).tolist()
+    for window in (25, 50):
+        got, own = passage_match.seed_tables(flat, bounds, 12, 14, window)
+        for k, text in enumerate(texts):
+            keys = hashing.shingle_hashes(text, 12)
+            order = [(int(v >> np.uint64(24)), p) for p, v in enumerate(hashing.mix64(keys ^ passage_match._SALT))]
+            least = [min(order[f : f + 14])[1] for f in range(len(text) - 24 if len(text) >= window else 0)]
+            first = [f for f, p in enumerate(least) if not f or p != least[f - 1]]
+            last = [*(f - 1 for f in first[1:]), len(least) - 1]
+            expected = [[int(keys[least[f]].view(np.int64)), least[f], f, min(e, len(text) - window)] for f, e in zip(first, last)]
+            assert got[own == k].tolist() == expected
+
+
+def test_documents_meet_by_packed_keys(monkeypatch):
+    """What a task has of a key and path is sent as one row; who meets is as by comparing all rows of a key."""
+    rng = np.random.default_rng(4)
+    rows = [
+        (k, p, bool(o), i) for k, p, o, i in zip(rng.integers(0, 60, 900).tolist(), rng.integers(0, 3, 900).tolist(),
+        rng.random(900) < 0.3, rng.integers(-40, 40, 900).tolist())
+    ] + [(99, 2, True, i) for i in range(50)] + [(98, 0, False, 7), (97, 0, True, 2**62), (97, 5, False, -(2**62))]
+    expected = {
+        (x[3], y[3]) for x in rows for y in rows
+        if x[0] == y[0] and x[2] and y[3] < x[3] and (x[1] != y[1] or x[1] == paragraph_dedup._ANY)
+    }
+    packed = defaultdict(list)
+    for k, p, o, i in rows:
+        packed[k, p, o].append(i)
+    table = pa.table({
+        "key": [k for k, _, _ in packed], "path": pa.array([p for _, p, _ in packed], pa.int32()), "open": [o for _, _, o in packed],
+        "ids": [np.array(i, np.int64).tobytes() for i in packed.values()],
+    })
+    for anchors in (1 << 18, 5):
+        monkeypatch.setattr(paragraph_dedup, "_ANCHORS", anchors)
+        got = [r for b in paragraph_dedup._meet(iter(table.to_batches(max_chunksize=7))) for r in zip(*b.to_pydict().values())]
+        assert set(got) == expected
+    assert list(paragraph_dedup._meet(iter([]))) == []
+    text = " ".join(f"w{k}" for k in range(200))
+    places = passage_match.seed_rows(hashing.word_hashes(*_flat([text.encode()]))[0], 12, 14, 25)[:, 1].tolist()
+    held = [[{"place": p, "open": True} for p in places]] * 8
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": [text] * 8, "places": held})
+    (sent,) = paragraph_dedup._meetings(12, 14, 5, 50, 80)(iter([batch]))
+    assert all(np.frombuffer(x, np.int64).tolist() == list(range(8)) for x in sent.column("ids").to_pylist())

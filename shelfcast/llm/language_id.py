@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfcast.llm import held
 from shelfcast.llm.hashing import slices
 
 #: Bounds of the sample of each language: rows, and characters over all of them.
@@ -131,16 +132,9 @@ def sample_texts(
     return samples
 
 
-_parsers: dict[int, tuple[dict, CrossParser]] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
     """One set of automata in a Python worker."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = (samples, CrossParser(samples))
-    return _parsers[key][1]
+    return held.model(("parser", *sorted(samples.items())), lambda: CrossParser(samples))
 
 
 def identify_language(

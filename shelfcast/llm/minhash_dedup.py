@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm import hashing
+from shelfcast.llm import hashing, held
 from shelfcast.llm.bbit_minhash import Banding, Sketcher, link_components, set_digest
 from shelfcast.llm.components import connected_components
 from shelfcast.llm.scratch import Scratch
@@ -28,6 +28,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, width: int, bandin
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.release()
         sketcher = Sketcher(banding)
         for piece in hashing.slices(batches, "text"):
             data, bounds = hashing.text_bytes(piece.column("text"))

@@ -12,6 +12,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from shelfcast.llm import held
+
 # Letters and numbers of ASCII, Latin-1 and Latin Extended-A, for patterns written with \p{L} and \p{N}.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ž", "0-9²³¹¼-¾"
 #: Any character beyond white space in ASCII and the printable ones of these blocks. U+0130 is left out:
@@ -147,12 +149,6 @@ class RankEncoder:
         return np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)])
 
 
-_encoders: dict[tuple, WordEncoder | RankEncoder] = {}
-
-
 def cached_encoder(make: Callable, *args: str) -> WordEncoder | RankEncoder:
-    """One encoder for each vocabulary in a Python worker."""
-    key = (make.__name__, *args)
-    if key not in _encoders:
-        _encoders[key] = make(*args)
-    return _encoders[key]
+    """One encoder in a Python worker."""
+    return held.model((make.__name__, *args), lambda: make(*args))

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from llm_cases import empty, frame, rows
 from tokenizers import Tokenizer
 
-from shelfcast.llm import byte_bpe, packing, token_scan, tokens
+from shelfcast.llm import byte_bpe, held, language_id, packing, paragraph_dedup, token_scan, tokens
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -143,3 +143,21 @@ def test_scan_of_any_stream(spark, stream, block):
     if start < len(stream):
         expected.append((ordinal, start, len(stream) - start, False))
     assert got == expected
+
+
+def test_a_worker_holds_the_last_model_and_none_beside_other_work(monkeypatch):
+    made = []
+
+    class Encoder:
+        def __init__(self, path):
+            made.append(path)
+
+    held.release()
+    first = tokens.cached_encoder(Encoder, "a")
+    assert tokens.cached_encoder(Encoder, "a") is first and made == ["a"]
+    parser = language_id._parser({"en": "the of and"})
+    assert language_id._parser({"en": "the of and"}) is parser and list(held._held.values()) == [parser]
+    assert tokens.cached_encoder(Encoder, "a") is not first and made == ["a", "a"]
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["one two"]})
+    list(paragraph_dedup._seeds(12, 14, 50)(iter([batch])))
+    assert not held._held
